@@ -33,14 +33,14 @@ from .workspace import Workspace
 FREQUENT_BOUND = 1 << 16
 #: A shingle is offered as frequent by a task that meets it in so many texts, and kept from so many in all.
 LOCAL_LEAST, GLOBAL_LEAST = 8, 24
-#: Longs of the parity bitmap that rejects unlike pairs before their texts are fetched.
-BITMAP_LONGS = 32
+#: Least and most bits of the parity bitmap that rejects unlike pairs before their texts are fetched.
+BITMAP_BITS = 1 << 11, 1 << 17
 #: Up to this many ids are broadcast to fetch texts without a shuffle; beyond, the texts are shuffled.
 BROADCAST_IDS = 200_000
 #: Distinct texts that one task remembers, so that a hot group of copies is indexed once per task.
 REMEMBERED = 1 << 18
 
-_SCAN = "doc_id long, n int, sid long, bits array<long>, token long, texts long"
+_SCAN = "doc_id long, n int, sid long, bits binary, token long, texts long"
 _INDEX = "sig long, sid long, n int, left int"
 
 
@@ -49,9 +49,35 @@ def _set_id(s: np.ndarray) -> int:
     return int(mix(np.array([total + U64(len(s))], U64)).view(np.int64)[0])
 
 
-def _parity(s: np.ndarray) -> np.ndarray:
-    odd = np.bincount((s & U64(64 * BITMAP_LONGS - 1)).astype(np.int64), minlength=64 * BITMAP_LONGS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def _parity(s: np.ndarray) -> bytes:
+    """Parity of the shingles in each of two to four times as many bits as there are shingles.
+
+    Two sets that differ in d shingles differ in at most d bits, also after the larger bitmap is
+    folded onto the size of the smaller one.
+    """
+    least, most = BITMAP_BITS
+    size = min(most, max(least, 1 << (2 * len(s) - 1).bit_length())) if len(s) else least
+    odd = np.bincount((s & U64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _prune(threshold: int):
+    """Keep pairs whose bitmaps differ in no more bits than linked sets of their sizes could."""
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
+                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                while len(a) > len(b):
+                    a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+                while len(b) > len(a):
+                    b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+                least = -(-threshold * (n + m) // (100 + threshold))
+                keep.append(int(np.bitwise_count(a ^ b).sum()) <= n + m - 2 * least)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return prune
 
 
 def _scan(size: int):
@@ -63,7 +89,7 @@ def _scan(size: int):
             keep = counts >= LOCAL_LEAST
             k = int(keep.sum())
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.list_(pa.int64())), pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep])],
+                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep])],
                 names=["doc_id", "n", "sid", "bits", "token", "texts"],
             )
 
@@ -73,9 +99,7 @@ def _scan(size: int):
                 k = len(sets)
                 n = np.array([len(s) for s in sets], np.int32)
                 ids = pa.array([_set_id(s) if len(s) else None for s in sets], pa.int64())
-                bits = pa.ListArray.from_arrays(
-                    pa.array(np.arange(k + 1, dtype=np.int32) * BITMAP_LONGS), pa.array(np.concatenate([_parity(s) for s in sets]))
-                )
+                bits = pa.array([_parity(s) for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(n), ids, bits, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())],
                     names=["doc_id", "n", "sid", "bits", "token", "texts"],
@@ -197,9 +221,8 @@ def ngram_jaccard_join(documents: DataFrame, threshold: int = 75, size: int = 5,
 
     def links(pairs: DataFrame) -> DataFrame:
         side = lambda k: texts.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
-        differ = F.expr("aggregate(zip_with(bits_u, bits_v, (x, y) -> bit_count(x ^ y)), 0, (t, x) -> t + x)")
-        most = F.expr(f"n_u + n_v - 2 * cast(ceil({threshold} * (n_u + n_v) / {100 + threshold}) as int)")
-        alike = work.save(pairs.join(side("u"), "u").join(side("v"), "v").where(differ <= most).select("u", "v"))
+        beside = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "bits_u", "bits_v")
+        alike = work.save(beside.mapInArrow(_prune(threshold), "u long, v long"))
         wanted = alike.select(F.col("u").alias("sid")).union(alike.select("v")).distinct().join(texts.select("sid", "doc_id"), "sid")
         wanted = work.save(wanted)
         small = wanted.count() <= BROADCAST_IDS
@@ -210,7 +233,7 @@ def ngram_jaccard_join(documents: DataFrame, threshold: int = 75, size: int = 5,
         work.drop(alike, wanted, fetched)
         return out
 
-    first = links(candidate_pairs(shared.withColumn("comp", F.col("sid")), threshold, limit=2))
+    first = links(candidate_pairs(shared.where("turn <= 2").withColumn("comp", F.col("sid")), threshold, limit=2))
     merged = connected_components(first, work)
     labelled = shared.join(merged.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
     second = links(candidate_pairs(labelled, threshold, limit=None))

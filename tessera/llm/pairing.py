@@ -26,10 +26,14 @@ PAIR_SCHEMA = "u long, v long"
 
 
 def shared_signatures(index: DataFrame) -> DataFrame:
-    """Rows of signatures that at least two different texts have, once per text, with group size."""
+    """Rows of signatures that at least two different texts have, once per text.
+
+    Adds the group's ``size``, and along each text's own shared signatures, earliest first, the
+    ``turn`` of this one and the signature before it (``before``).
+    """
     by = Window.partitionBy("sig").orderBy("n", "sid")
     whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return (
+    found = (
         index.select(
             "*",
             F.min("sid").over(whole).alias("_lo"),
@@ -40,12 +44,15 @@ def shared_signatures(index: DataFrame) -> DataFrame:
         .where("_lo < _hi and (_before is null or _before <> sid)")
         .drop("_lo", "_hi", "_before")
     )
+    along = Window.partitionBy("sid").orderBy(F.desc("left"), "sig")
+    return found.withColumn("turn", F.row_number().over(along)).withColumn("before", F.coalesce(F.lag("sig").over(along), F.col("sid")))
 
 
 def candidate_pairs(shared: DataFrame, threshold: int, limit: int | None) -> DataFrame:
     """Distinct pairs ``u < v`` of texts in one group whose sizes and bounds allow ``threshold`` %.
 
-    ``shared`` needs ``(sig, sid, n, left, size, comp)``; pairs of one ``comp`` are left out.
+    ``shared`` needs ``(sig, sid, n, left, before, size, comp)``; pairs of one ``comp`` are left out, and so
+    are pairs that have the signature before in common, since their group there has them already.
     ``limit`` pairs per member are emitted in the first pass, all of them with ``None``.
     """
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
@@ -55,12 +62,12 @@ def candidate_pairs(shared: DataFrame, threshold: int, limit: int | None) -> Dat
         rows = rows.withColumn("_k", other)
     else:
         rows = rows.withColumn("_k", F.struct(F.col("blk").alias("lo"), F.col("blk").alias("hi")))
-    rows = rows.select("sig", F.col("_k.lo").alias("lo"), F.col("_k.hi").alias("hi"), "n", "sid", "left", "comp", "blk")
+    rows = rows.select("sig", F.col("_k.lo").alias("lo"), F.col("_k.hi").alias("hi"), "n", "sid", "left", "comp", "blk", "before")
     dealt = rows.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "n", "sid")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
-        names = ["sig", "lo", "hi", "n", "sid", "left", "comp", "blk"]
+        names = ["sig", "lo", "hi", "n", "sid", "left", "comp", "blk", "before"]
         for batch in batches:
             now = {k: batch.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(names)}
             if held is not None:
@@ -96,6 +103,7 @@ def _pairs_of(x: dict[str, np.ndarray], threshold: int, limit: int | None) -> It
         both = n[alive] + n[back]
         need = -(-threshold * both // (100 + threshold))
         good = (comp[alive] != comp[back]) & (left[alive] >= need) & (left[back] >= need) & (sid[alive] != sid[back])
+        good &= x["before"][alive] != x["before"][back]
         good &= ~cross[alive] | (blk[alive] != blk[back])
         a, b = sid[alive[good]], sid[back[good]]
         us.append(np.minimum(a, b))

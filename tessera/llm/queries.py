@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontaminate import decontamination_report
+from .line_dedup import dedup_lines
 from .ngram_join import ngram_jaccard_join
+from .packing import best_fit_packing
+from .toxicity import fit_toxicity, score_toxicity
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -15,21 +20,76 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "lines_removed", "chunks_removed", F.length("text").cast("long").alias("n_chars_kept"), F.md5("text").alias("text_md5"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return score_toxicity(documents, fit_toxicity(documents, labels), threshold=0.7)
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"), threshold=75, size=5)
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(_table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_toxicity": op2_toxicity,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": r"""
+with l as (select doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i, unnest(string_split(text, chr(10))) as line,
+    from documents where text is not null),
+h as (select *, cast('0x' || substr(md5(line), 1, 8) as bigint) as h from l),
+r as (select *, (h + 31 * coalesce(lag(h) over (partition by doc_id order by i), 0)) % 4 = 0 as c from h),
+e as (select *, c and not coalesce(lag(c) over (partition by doc_id order by i), false) as e from r),
+k as (select *, coalesce(sum(cast(e as int)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as k from e),
+c as (select doc_id, k, count(*) as n, string_agg(line, chr(10) order by i) as body from k group by 1, 2),
+d as (select *, n >= 2 and row_number() over (partition by body order by doc_id, k) > 1 as gone from c),
+t as (select doc_id, coalesce(sum(n) filter (gone), 0) as lines_removed, count(*) filter (gone) as chunks_removed,
+    coalesce(string_agg(body, chr(10) order by k) filter (not gone), '') as text from d group by 1)
+select doc_id, cast(lines_removed as bigint) as lines_removed, chunks_removed, length(text) as n_chars_kept, md5(text) as text_md5 from t
+union all select doc_id, 0, 0, null, null from documents where text is null
+""",
+    "op9_decontamination": rf"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+g as (
+  select distinct item_id, least(8, len(w)) as n, unnest(list_transform(range(1, greatest(len(w) - 7, 1) + 1), lambda i: array_to_string(w[i:i + least(8, len(w)) - 1], ' '))) as g
+  from b where len(w) > 0),
+n as (select distinct n from g),
+p as (
+  select doc_id, n, unnest(range(1, len(w) - n + 2)) as p, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) as g
+  from d, n where len(w) >= n),
+h as (select p.doc_id, p.p, p.n, g.item_id from p join g on p.g = g.g and p.n = g.n),
+k as (select doc_id, count(*) as n_hit from (select distinct doc_id, unnest(range(p, p + n)) as at from h) group by 1),
+i as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as s from (select distinct doc_id, cast(item_id as varchar) as item from h) group by 1)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(s, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated
+from d left join k using (doc_id) left join i using (doc_id)
+""",
     "op4_ngram_jaccard_join": rf"""
 with recursive w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') as w from documents),
 s as (
   select doc_id, unnest(case when len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')]
-    else list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) end) as g from w),
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end) as g from w),
 n as (select doc_id, count(*) as n from s group by 1),
 o as (select a.doc_id as u, b.doc_id as v, count(*) as k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
 l as (select u, v from o join n x on x.doc_id = u join n y on y.doc_id = v where 100 * k >= 75 * (x.n + y.n - k)),
