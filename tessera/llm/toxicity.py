@@ -4,8 +4,9 @@ Each word is a sequence of UTF-8 bytes between boundary marks. At the highest or
 its own discounted counts; below it both classes back off to one Kneser-Ney model whose continuation
 counts come from all documents, labelled or not, so an expression that neither class has seen gets
 the same shared mass in both and moves the comparison little. A document's evidence is the
-length-normalised difference of its two log-likelihoods (per word), which a logistic curve fitted on
-the training rows turns into a score from 0 to 1.
+length-normalised difference of its two log-likelihoods (per word), as it is and as the mean excess
+over each of MARGINS, so that a few plainly toxic words in a long text still show. A logistic curve
+fitted on the training rows turns these means into a score from 0 to 1.
 
 Counts cover all documents and grow with them; labels come from at most ``train_bound`` training
 rows (all, if fewer; beyond, those with the smallest hash of doc_id). The model that is broadcast
@@ -32,8 +33,10 @@ ORDER = 5
 MODEL_BOUND = 1 << 22
 TRAIN_BOUND = 1_000_000
 DISCOUNT = 0.75
-#: Evidence is binned this finely for the logistic fit, and cut at +-LIMIT.
-BINS_PER_UNIT, LIMIT = 1024, 8
+#: A word's excess over each margin (in nats) is averaged over the words plus PRIOR_WORDS.
+MARGINS, PRIOR_WORDS = (2, 4, 6), 20
+#: Weight of the penalty on the logistic curve's slopes, in training rows.
+RIDGE = 1e-4
 _PAD = 32
 
 
@@ -119,20 +122,20 @@ def _shared(types: np.ndarray, above: np.ndarray, order: int) -> np.ndarray:
 class ToxicityModel:
     order: int
     table: object  # broadcast (sorted n-grams, log ratios)
-    slope: float = 1.0
+    slopes: tuple[float, ...] = (1.0,) + (0.0,) * len(MARGINS)
     offset: float = 0.0
 
     def evidence(self, documents: DataFrame, text: str = "text") -> DataFrame:
-        """``documents`` without ``text``, plus ``evidence``: mean log-likelihood ratio per word."""
+        """``documents`` without ``text``, plus ``evidence``: the mean log-likelihood ratio and excesses."""
         rest = [c for c in documents.columns if c != text]
         kept = documents.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("kept"), F.col(text).cast("string").alias("text"))
         schema = kept.schema["kept"].dataType.simpleString()
-        out = kept.mapInArrow(_scorer(self.table, self.order), f"kept {schema}, evidence double")
+        out = kept.mapInArrow(_scorer(self.table, self.order), f"kept {schema}, evidence array<double>")
         return out.select("kept.*", "evidence")
 
     def score(self, evidence: str = "evidence"):
-        x = F.least(F.lit(float(LIMIT)), F.greatest(F.lit(-float(LIMIT)), F.col(evidence)))
-        return 1 / (1 + F.exp(-(x * self.slope + self.offset)))
+        terms = [F.col(evidence)[k] * slope for k, slope in enumerate(self.slopes)]
+        return 1 / (1 + F.exp(-(sum(terms) + self.offset)))
 
 
 def _scorer(table, order: int):
@@ -141,16 +144,19 @@ def _scorer(table, order: int):
         for whole in batches:
             for batch in slices(whole):
                 found = Words(batch.column(1), ALNUM)
-                sums = np.zeros(found.rows)
+                means = np.zeros((found.rows, 1 + len(MARGINS)))
                 if len(found.starts) and len(grams):
                     at, which = _unique_words(found)
                     keys, owner = gram_keys(found, at, order)
                     place = np.minimum(np.searchsorted(grams, keys), len(grams) - 1)
                     ratio = np.where(grams[place] == keys, ratios[place], 0.0)
-                    words = np.bincount(owner, ratio, len(at))[which]
-                    total = np.r_[0.0, np.cumsum(words)]
-                    sums = (total[found.bounds[1:]] - total[found.bounds[:-1]]) / np.maximum(np.diff(found.bounds), 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums)], names=["kept", "evidence"])
+                    words = np.bincount(owner, ratio, len(at))
+                    size = np.diff(found.bounds) + PRIOR_WORDS
+                    for k, value in enumerate([words, *(np.maximum(words - m, 0) for m in MARGINS)]):
+                        total = np.r_[0.0, np.cumsum(value[which])]
+                        means[:, k] = (total[found.bounds[1:]] - total[found.bounds[:-1]]) / size
+                offsets = pa.array(np.arange(found.rows + 1, dtype=np.int32) * means.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(means.ravel()))], names=["kept", "evidence"])
 
     return score
 
@@ -182,35 +188,40 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, train_bound: int = TRA
     ratio = kneser_ney_ratio(gram, toxic, ordinary, order) if len(gram) else np.empty(0)
     model = ToxicityModel(order, spark.sparkContext.broadcast((gram, ratio.astype(np.float32))))
     seen = model.evidence(docs.join(F.broadcast(train), "doc_id").select("label", "text"))
-    edge = F.round(F.least(F.lit(float(LIMIT)), F.greatest(F.lit(-float(LIMIT)), F.col("evidence"))) * BINS_PER_UNIT).cast("int")
-    bins = seen.groupBy(edge.alias("x"), "label").agg(F.count("*").alias("n")).collect()
-    model.slope, model.offset = _logistic(np.array([[r.x / BINS_PER_UNIT, r.label, r.n] for r in bins]).reshape(-1, 3))
+    rows = seen.toArrow()
+    if rows.num_rows:
+        x = np.array(rows.column("evidence").to_pylist())
+        beta = _logistic(x, rows.column("label").to_numpy())
+        model.slopes, model.offset = tuple(map(float, beta[:-1])), float(beta[-1])
     return model
 
 
-def _logistic(rows: np.ndarray) -> tuple[float, float]:
-    """Weighted logistic fit by Newton steps; both classes weigh the same, with a slight ridge."""
-    if not len(rows):
-        return 1.0, 0.0
-    x, y, n = rows.T
-    w = n / np.where(y > 0, max(n[y > 0].sum(), 1), max(n[y <= 0].sum(), 1)) * n.sum() / 2
-    design = np.stack([x, np.ones(len(x))], 1)
-    beta = np.zeros(2)
-    for _ in range(60):
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Slopes and offset of a logistic fit by damped Newton steps; both classes weigh the same."""
+    scale = np.maximum(x.std(0), 1e-9)
+    design = np.c_[x / scale, np.ones(len(x))]
+    w = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y <= 0).sum(), 1))
+    ridge = np.r_[np.full(x.shape[1], RIDGE), 1e-9]
+    beta = np.zeros(design.shape[1])
+    loss = lambda b: (w * np.logaddexp(0, -np.where(y > 0, 1, -1) * (design @ b))).sum() + (ridge * b * b).sum() / 2
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -35, 35)))
-        slope = design.T @ (w * (y - p)) - np.array([1e-3, 1e-6]) * beta
-        bend = design.T @ (design * (w * p * (1 - p))[:, None]) + np.diag([1e-3, 1e-6])
-        step = np.linalg.solve(bend, slope)
-        beta += np.clip(step, -20, 20)
-        if np.abs(step).max() < 1e-9:
+        slope = design.T @ (w * ((y > 0) - p)) - ridge * beta
+        step = np.linalg.solve(design.T @ (design * (w * p * (1 - p))[:, None]) + np.diag(ridge + 1e-9), slope)
+        size = 1.0
+        while size > 1e-6 and loss(beta + size * step) > loss(beta):
+            size /= 2
+        beta = beta + size * step
+        if np.abs(size * step).max() < 1e-7:
             break
-    return float(beta[0]), float(beta[1])
+    beta[:-1] /= scale
+    return beta
 
 
 def score_toxicity(documents: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
-    """``doc_id, held_out, score, predicted, evidence`` of each row."""
+    """``doc_id, held_out, score, predicted, mean_ratio`` of each row."""
     return model.evidence(documents.select("doc_id", "text")).select(
-        "doc_id", held_out().alias("held_out"), model.score().alias("score"), (model.score() >= threshold).cast("int").alias("predicted"), "evidence"
+        "doc_id", held_out().alias("held_out"), model.score().alias("score"), (model.score() >= threshold).cast("int").alias("predicted"), F.col("evidence")[0].alias("mean_ratio")
     )
 
 
