@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .decontaminate import decontamination_report
+from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .ngram_join import ngram_jaccard_join
 from .packing import best_fit_packing
+from .substring_dedup import paragraph_report
+from .suffix_dedup import repeated_passages
 from .toxicity import fit_toxicity, score_toxicity
+from .url_filter import filter_urls
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -30,10 +35,31 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(documents, fit_toxicity(documents, labels), threshold=0.7)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"), threshold=75, size=5)
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return repeated_passages(_table(spark, sf_dir, "documents")).withColumn("spans", spans)
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+#: Fixed values of the url query.
+URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(_table(spark, sf_dir, "documents"))
 
@@ -42,15 +68,75 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_license_scan": op3_license_scan,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
+    "op7_url_filter": op7_url_filter,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_decontamination": op9_decontamination,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_suffix_array_dedup": rf"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select doc_id, unnest(range(1, len(w) - 48)) as p, unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' ')))) as g from d where len(w) >= 50),
+x as (select doc_id, p from (select *, row_number() over (partition by g order by doc_id, p) as k from g) where k > 1),
+y as (select distinct doc_id, unnest(range(p - 1, p + 49)) as i from x),
+z as (select doc_id, i, i - row_number() over (partition by doc_id order by i) as run from y),
+s as (select doc_id, min(i) as a, max(i) + 1 as b from z group by doc_id, run),
+r as (select doc_id, cast(sum(b - a) as bigint) as n_removed, string_agg(a || '-' || b, ',' order by a) as spans from s group by 1)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, coalesce(spans, '') as spans from d left join r using (doc_id)
+""",
+    "op7_url_filter": rf"""
+with recursive p as (
+  select page_id, url, html, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+h as (select page_id, url, html, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from p),
+n as (select *, case when host <> '' then regexp_replace(host, ':(80|443)$', '') || regexp_replace(path, '/+$', '') || coalesce('?' || nullif(array_to_string(
+    list_filter(string_split(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '&'), lambda x: not starts_with(x, 'utm_') and x <> ''), '&'), ''), '') end as node from h),
+rules(rule, verdict) as (values ('com/en/', 'block'), ('example.com/en/7', 'allow'), ('net/de/', 'allow'), ('example.net/de/8', 'block'), ('org/es/', 'block')),
+s as (select rule, verdict, split_part(rule, '/', 1) as rh, substr(rule, strpos(rule, '/')) as rp from rules),
+f as (select page_id, rule, verdict, row_number() over (partition by page_id order by length(rule) desc, rule desc) as k
+  from h join s on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp)),
+o as (select n.*, f.rule, f.verdict from n left join f on f.page_id = n.page_id and f.k = 1),
+link as (select distinct node as u, translate(regexp_extract(t, '://([^/?#]*)', 1), '{UPPER}', '{LOWER}') || regexp_replace(regexp_extract(t, '://[^/?#]*([^?#]*)', 1), '/+$', '') as v
+  from (select node, unnest(regexp_extract_all(html, '(?is)<link[^>]*rel="canonical"[^>]*href="([^"]+)"', 1)) as t from n)),
+e as (select u, v from link union select v, u from link),
+r(node, other) as (select distinct node, node from n where node is not null union select r.node, e.v from r join e on e.u = r.other),
+c as (select node, min(other) as c from r group by 1),
+v as (select c.c, bool_or(o.verdict = 'allow') as allowed, bool_or(o.verdict = 'block') as blocked from o join c using (node) where o.rule is not null group by 1)
+select o.page_id, o.host, o.path, o.rule,
+  coalesce(o.verdict, case when v.allowed then 'allow' when v.blocked then 'block' else 'allow' end) as verdict,
+  case when o.rule is not null then 'rule' when v.allowed is not null then 'alias' else 'default' end as reason
+from o left join c using (node) left join v on v.c = c.c
+""",
+    "op10_substring_dedup": rf"""
+with recursive l as (
+  select doc_id, unnest(range(len(string_split(text, chr(10))))) as par, unnest(string_split(text, chr(10))) as line from documents where text is not null),
+w as (select doc_id, par, regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') as w from l),
+q as (select doc_id, par, w, len(w) as words, array_to_string(w, ' ') as body from w where len(w) >= 25),
+t as (select body, row_number() over (order by body) as t, w from (select body, any_value(w) as w from q group by 1)),
+s as (select t, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) as g from t),
+n as (select t, count(*) as n from s group by 1),
+o as (select a.t as u, b.t as v, count(*) as k from s a join s b on a.g = b.g and a.t <> b.t group by 1, 2),
+e as (select u, v from o join n x on x.t = u join n y on y.t = v where 100 * k >= 75 * (x.n + y.n - k)),
+r(t, node) as (select t, t from t union select r.t, e.v from r join e on e.u = r.node),
+c as (select t, min(node) as c from r group by 1),
+p as (select q.*, row_number() over (partition by c.c order by q.doc_id, q.par) > 1 as gone from q join t on q.body = t.body join c on c.t = t.t),
+a as (select doc_id, count(*) as n_paragraphs, count(*) filter (gone) as n_removed, cast(coalesce(sum(words) filter (gone), 0) as bigint) as words_removed,
+  coalesce(string_agg(par, ',' order by par) filter (gone), '') as removed from p group by 1)
+select doc_id, coalesce(n_paragraphs, 0) as n_paragraphs, coalesce(n_removed, 0) as n_removed, coalesce(words_removed, 0) as words_removed, coalesce(removed, '') as removed
+from documents left join a using (doc_id)
+""",
     "op1_line_dedup": r"""
 with l as (select doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i, unnest(string_split(text, chr(10))) as line,
     from documents where text is not null),
