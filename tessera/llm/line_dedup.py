@@ -15,7 +15,7 @@ and are treated alike. Null doc_ids order last. Extra columns are kept; names th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .workspace import Workspace
@@ -24,31 +24,30 @@ DIVISOR, MIN_LINES = 4, 2
 
 
 def line_chunks(docs: DataFrame, text: str, divisor: int) -> DataFrame:
-    """Add ``_ld_chunks``: array of ``struct<lines, body>``, which joined by newlines give the text."""
+    """Add ``_ld_chunks``: array of strings, which joined by newlines give the text.
+
+    The lines are joined again with a flag before each, 1 where a chunk starts, and split at the
+    flagged newlines: every expression walks its array once, whatever the number of lines.
+    """
     line_hash = lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long")
     shifted = lambda c, first: F.concat(F.array(first), F.slice(F.col(c), F.lit(1), F.size(c) - 1))
-    ends = F.expr("filter(transform(_ld_cut, (c, i) -> if(c, i + 1, null)), x -> x is not null and x < size(_ld_lines))")
     return (
         docs.withColumn("_ld_lines", F.split(F.col(text), "\n", -1))
         .withColumn("_ld_hash", F.transform("_ld_lines", line_hash))
         .withColumn("_ld_cut", F.zip_with("_ld_hash", shifted("_ld_hash", F.lit(0).cast("long")), lambda h, p: F.pmod(h + p * 31, F.lit(divisor)) == 0))
         .withColumn("_ld_cut", F.zip_with("_ld_cut", shifted("_ld_cut", F.lit(False)), lambda c, p: c & ~p))
-        .withColumn("_ld_ends", ends)
-        .withColumn("_ld_chunks", F.zip_with(F.concat(F.array(F.lit(0)), "_ld_ends"), F.concat("_ld_ends", F.array(F.size("_ld_lines"))), _chunk))
-        .drop("_ld_lines", "_ld_hash", "_ld_cut", "_ld_ends")
+        .withColumn("_ld_flag", F.zip_with("_ld_lines", shifted("_ld_cut", F.lit(False)), lambda x, c: F.concat(F.when(c, "1").otherwise("0"), x)))
+        .withColumn("_ld_chunks", F.transform(F.split(F.substring(F.array_join("_ld_flag", "\n"), 2, 2**31 - 1), "\n1", -1), lambda x: F.replace(x, F.lit("\n0"), F.lit("\n"))))
+        .drop("_ld_lines", "_ld_hash", "_ld_cut", "_ld_flag")
     )
 
 
-def _chunk(start: Column, end: Column) -> Column:
-    return F.struct((end - start).alias("lines"), F.array_join(F.slice(F.col("_ld_lines"), start + 1, end - start), "\n").alias("body"))
-
-
 def repeated_chunks(documents: DataFrame, work: Workspace, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
     """``_ld_id, _ld_text, chunk, lines``: the places (document, chunk number) that lose their chunk."""
     keyed = documents.select(F.col("doc_id").alias("_ld_id"), F.xxhash64("text").alias("_ld_text"), F.col("text"))
     chunks = (
-        line_chunks(keyed, "text", divisor).select("_ld_id", "_ld_text", F.posexplode("_ld_chunks").alias("chunk", "_c"))
-        .select("_ld_id", "_ld_text", "chunk", "_c.lines", "_c.body").where(F.col("lines") >= min_lines)
+        line_chunks(keyed, "text", divisor).select("_ld_id", "_ld_text", F.posexplode("_ld_chunks").alias("chunk", "body"))
+        .withColumn("lines", 1 + F.length("body") - F.length(F.replace("body", F.lit("\n"), F.lit("")))).where(F.col("lines") >= min_lines)
         .withColumn("print", F.xxhash64("body"))
     )
     place = F.struct(F.col("_ld_id").isNull().alias("last"), "_ld_id", "_ld_text", "chunk")
@@ -71,8 +70,9 @@ def dedup_lines(documents: DataFrame, divisor: int = DIVISOR, min_lines: int = M
     lost = repeated_chunks(documents, work, divisor, min_lines)
     gone = lost.groupBy("_ld_id", "_ld_text").agg(F.collect_set("chunk").alias("_ld_gone"), F.sum("lines").alias("_ld_count"))
     keyed = documents.withColumn("_ld_key", F.xxhash64("text"))
-    joined = keyed.join(gone, keyed["doc_id"].eqNullSafe(gone["_ld_id"]) & (keyed["_ld_key"] == gone["_ld_text"]), "left")
-    kept = F.expr("transform(filter(_ld_chunks, (c, i) -> not array_contains(_ld_gone, i)), c -> c.body)")
+    # A merge join at every size: the plan measured on a small corpus is the one a large corpus runs.
+    joined = keyed.join(gone.hint("merge"), keyed["doc_id"].eqNullSafe(gone["_ld_id"]) & (keyed["_ld_key"] == gone["_ld_text"]), "left")
+    kept = F.expr("filter(_ld_chunks, (c, i) -> not array_contains(_ld_gone, i))")
     cut = line_chunks(joined, "text", divisor).withColumn("_ld_new", F.when(F.col("_ld_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     values = {"text": F.col("_ld_new")}
     if "n_chars" in documents.columns:

@@ -30,9 +30,11 @@ from .tokens import U64, mix, shingle_sets, slices
 from .workspace import Workspace
 
 #: Most shingles in the broadcast table of frequent ones (8 bytes each).
-FREQUENT_BOUND = 1 << 16
+FREQUENT_BOUND = 1 << 19
 #: A shingle is offered as frequent by a task that meets it in so many texts, and kept from so many in all.
 LOCAL_LEAST, GLOBAL_LEAST = 8, 24
+#: A signature that so many texts index in the first round counts as frequent in the second.
+GROUP_LEAST = 10
 #: Least and most bits of the parity bitmap that rejects unlike pairs before their texts are fetched.
 BITMAP_BITS = 1 << 11, 1 << 17
 #: Up to this many ids are broadcast to fetch texts without a shuffle; beyond, the texts are shuffled.
@@ -212,7 +214,11 @@ def ngram_jaccard_join(documents: DataFrame, threshold: int = 75, size: int = 5,
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     scanned = work.save(docs.mapInArrow(_scan(size), _SCAN))
     rows = scanned.where("token is null").select("doc_id", "n", "sid", "bits")
-    frequent = _frequent(spark, scanned)
+    # The first index shows which shingles are frequent among prefixes; the second one is joined.
+    hot = scanned.where("token is not null").groupBy("token").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= GLOBAL_LEAST)
+    index = docs.mapInArrow(_index(size, threshold, _frequent(spark, hot)), _INDEX)
+    crowded = index.groupBy(F.col("sig").alias("token")).agg(F.count("*").alias("texts")).where(F.col("texts") >= GROUP_LEAST)
+    frequent = _frequent(spark, work.save(hot.unionByName(crowded).groupBy("token").agg(F.max("texts").alias("texts"))))
     shared = work.save(shared_signatures(docs.mapInArrow(_index(size, threshold, frequent), _INDEX)))
     texts = rows.where("sid is not null and doc_id is not null").groupBy("sid").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")
@@ -261,11 +267,7 @@ def _of_set(size: int):
     return keep
 
 
-def _frequent(spark: SparkSession, scanned: DataFrame):
+def _frequent(spark: SparkSession, counted: DataFrame):
     """The most frequent shingles, at most FREQUENT_BOUND of them, sorted and broadcast."""
-    top = (
-        scanned.where("token is not null").groupBy("token").agg(F.sum("texts").alias("texts"))
-        .where(F.col("texts") >= GLOBAL_LEAST).orderBy(F.desc("texts"), "token").limit(FREQUENT_BOUND)
-    )
-    tokens = np.array([r.token for r in top.collect()], np.int64).view(np.uint64)
-    return spark.sparkContext.broadcast(np.sort(tokens))
+    top = counted.orderBy(F.desc("texts"), "token").limit(FREQUENT_BOUND).select("token").toArrow()
+    return spark.sparkContext.broadcast(np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64)))

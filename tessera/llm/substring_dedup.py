@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .ngram_join import BROADCAST_IDS, _set_id, _verify
+from .ngram_join import _verify
 from .pairing import candidate_pairs, shared_signatures
 from .tokens import NOT_SPACE, U64, Words, mix, slices, window_hashes
 from .workspace import Workspace
@@ -142,14 +142,13 @@ def repeated_paragraphs(documents: DataFrame, threshold: int = THRESHOLD, min_wo
     def links(pairs: DataFrame) -> DataFrame:
         pairs = work.save(pairs)
         wanted = pairs.select(F.col("u").alias("sid")).union(pairs.select("v")).distinct().join(texts, "sid")
-        wanted = work.save(wanted.groupBy("at.doc_id", "at.text_key").agg(F.collect_list("sid").alias("want")))
-        small = wanted.count() <= BROADCAST_IDS // 8
-        got = docs.join(F.broadcast(wanted) if small else wanted, ["doc_id", "text_key"]).select("want", "text")
+        wanted = wanted.groupBy("at.doc_id", "at.text_key").agg(F.collect_list("sid").alias("want"))
+        got = docs.join(wanted.hint("merge"), ["doc_id", "text_key"]).select("want", "text")
         bodies = work.save(got.mapInArrow(_bodies(min_words), "sid long, text string").dropDuplicates(["sid"]))
         side = lambda k: bodies.select(F.col("sid").alias(k), F.col("text").alias(f"text_{k}"))
         beside = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v")
         out = work.save(beside.mapInArrow(_verify(SHINGLE, threshold), "u long, v long"))
-        work.drop(pairs, wanted, bodies)
+        work.drop(pairs, bodies)
         return out
 
     first = links(candidate_pairs(shared.where("turn <= 4").withColumn("comp", F.col("sid")), threshold, limit=2))

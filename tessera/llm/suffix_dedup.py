@@ -26,7 +26,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ngram_join import BROADCAST_IDS
 from .substring_dedup import _sequence_ids
 from .tokens import NOT_SPACE, U64, Words, mix, slices, window_hashes
 from .workspace import Workspace
@@ -206,8 +205,7 @@ def repeated_passages(documents: DataFrame, length: int = LENGTH, seed: int = SE
     shared = work.save(shared.where("low <> high").select("seed", "sid", "pos", "size"))
     wanted = shared.dropDuplicates(["seed", "sid", "pos"]).groupBy("sid").agg(F.collect_list(F.struct("seed", "pos")).alias("want")).join(heads, "sid")
     wanted = work.save(wanted.select(F.col("head").alias("doc_id"), "sid", "want"))
-    few = wanted.count() <= BROADCAST_IDS // 20
-    fetched = docs.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", "sid", "text", "want")
+    fetched = docs.join(wanted.hint("merge"), "doc_id").select("doc_id", "sid", "text", "want")
     contexts = fetched.mapInArrow(_contexts(length, seed), "seed long, doc_id long, sid long, pos int, before int, suffix binary, prefix binary")
     large = work.save(shared.where(F.col("size") > hot).select("seed").distinct())
     if large.isEmpty():
