@@ -9,9 +9,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Letters, marks excluded, and numbers: what remains of ``\w`` without the underscore.
 TOKEN = r"[\p{L}\p{N}]+"
+_TOKENS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("position", "start", "end")]]))
 _PYTHON_TOKEN = re.compile(r"[^\W_]+")
 
 
@@ -28,13 +30,13 @@ def analyze(text: str) -> list[tuple[str, int, int, int]]:
     return [(m[0], i, m.start(), m.end()) for i, m in enumerate(_PYTHON_TOKEN.finditer(normalize(text)))]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc_casefold(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for text in texts:
         yield text.map(lambda x: None if x is None else normalize(x))
 
 
-@F.pandas_udf("array<struct<term:string,position:int,start:int,end:int>>")
+@F.pandas_udf(_TOKENS)
 def token_offsets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for text in texts:
         yield text.map(lambda x: [dict(zip(("term", "position", "start", "end"), t)) for t in analyze(x or "")])

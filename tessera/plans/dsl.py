@@ -199,7 +199,10 @@ def has_phrase(field: str, phrase: list[str]) -> Column:
     literal = F.array(*[F.lit(p) for p in phrase])
     starts = F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1)))
     found = F.exists(starts, lambda i: F.slice(words, i, F.lit(size)) == literal)
-    return (F.size(words) >= size) & F.array_contains(words, phrase[0]) & found
+    possible = F.size(words) >= size
+    for p in dict.fromkeys(phrase):
+        possible = possible & F.array_contains(words, p)
+    return F.when(possible, found).otherwise(False)
 
 
 def filter_predicate(field: str, op: str, value) -> Column:
