@@ -45,8 +45,9 @@ def line_chunks(docs: DataFrame, text: str, divisor: int) -> DataFrame:
 def repeated_chunks(documents: DataFrame, work: Workspace, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
     """``_ld_id, _ld_text, chunk, lines``: the places (document, chunk number) that lose their chunk."""
     keyed = documents.select(F.col("doc_id").alias("_ld_id"), F.xxhash64("text").alias("_ld_text"), F.col("text"))
+    # The outer form keeps the optimiser from repeating the whole expression in a filter below it.
     chunks = (
-        line_chunks(keyed, "text", divisor).select("_ld_id", "_ld_text", F.posexplode("_ld_chunks").alias("chunk", "body"))
+        line_chunks(keyed, "text", divisor).select("_ld_id", "_ld_text", F.posexplode_outer("_ld_chunks").alias("chunk", "body"))
         .withColumn("lines", 1 + F.length("body") - F.length(F.replace("body", F.lit("\n"), F.lit("")))).where(F.col("lines") >= min_lines)
         .withColumn("print", F.xxhash64("body"))
     )

@@ -24,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .pairing import candidate_pairs, shared_signatures
+from .pairing import linked_components, shared_signatures
 from .tokens import U64, mix, shingle_sets, slices
 from .workspace import Workspace
 
@@ -239,15 +238,11 @@ def ngram_jaccard_join(documents: DataFrame, threshold: int = 75, size: int = 5,
         work.drop(alike, wanted, fetched)
         return out
 
-    first = links(candidate_pairs(shared.where("turn <= 2").withColumn("comp", F.col("sid")), threshold, limit=2))
-    merged = connected_components(first, work)
-    labelled = shared.join(merged.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
-    second = links(candidate_pairs(labelled, threshold, limit=None))
-    roots = connected_components(merged.select(F.col("node").alias("u"), F.col("root").alias("v")).union(second), work)
+    roots = linked_components(shared, threshold, links, work)
     named = texts.select("sid", "doc_id").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = work.save(named.join(least, "root").select("sid", "component_id"))
-    work.drop(shared, texts, first, second)
+    work.drop(shared, texts)
     return rows.join(named, "sid", "left").select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),

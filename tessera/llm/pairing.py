@@ -10,15 +10,20 @@ Groups above BLOCK members are cut into blocks, and the second pass visits every
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import connected_components
+from .workspace import Workspace
+
 #: Expected members of one block of a signature's group, which bounds a task's working set.
 BLOCK = 2048
+#: The limited passes: signatures of a text up to this turn, pairs per member and group.
+PASSES = ((2, 2), (8, 2), (24, 3))
 #: How far apart, in a group sorted by size, the members of a first-pass pair may be.
 REACH = 12
 
@@ -122,3 +127,23 @@ def _pairs_of(x: dict[str, np.ndarray], threshold: int, limit: int | None) -> It
 def _batch(us: list[np.ndarray], vs: list[np.ndarray]) -> pa.RecordBatch:
     both = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)]), axis=1)
     return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["u", "v"])
+
+
+def linked_components(shared: DataFrame, threshold: int, links: Callable[[DataFrame], DataFrame], work: Workspace) -> DataFrame:
+    """``node, root`` of the graph of verified pairs; ``links`` keeps the pairs that hold.
+
+    Each limited pass merges most of what is left of large groups; the last pass tries every pair
+    of texts that are still in different components.
+    """
+    merged = None
+    for turns, limit in (*PASSES, (None, None)):
+        rows = shared if turns is None else shared.where(F.col("turn") <= turns)
+        if merged is None:
+            rows = rows.withColumn("comp", F.col("sid"))
+        else:
+            rows = rows.join(merged.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
+        new = links(candidate_pairs(rows, threshold, limit))
+        if merged is not None:
+            new = merged.select(F.col("node").alias("u"), F.col("root").alias("v")).union(new)
+        merged = connected_components(new, work)
+    return merged

@@ -21,9 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
 from .ngram_join import _verify
-from .pairing import candidate_pairs, shared_signatures
+from .pairing import linked_components, shared_signatures
 from .tokens import NOT_SPACE, U64, Words, mix, slices, window_hashes
 from .workspace import Workspace
 
@@ -151,12 +150,8 @@ def repeated_paragraphs(documents: DataFrame, threshold: int = THRESHOLD, min_wo
         work.drop(pairs, bodies)
         return out
 
-    first = links(candidate_pairs(shared.where("turn <= 4").withColumn("comp", F.col("sid")), threshold, limit=2))
-    merged = connected_components(first, work)
-    labelled = shared.join(merged.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
-    second = links(candidate_pairs(labelled, threshold, limit=None))
-    roots = connected_components(merged.select(F.col("node").alias("u"), F.col("root").alias("v")).union(second), work)
-    work.drop(shared, first, second)
+    roots = linked_components(shared, threshold, links, work)
+    work.drop(shared)
     named = places.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("cluster", F.coalesce("root", "sid"))
     place = F.struct("doc_id", "text_key", "par")
     heads = named.groupBy("cluster").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where("head <> tail").select("cluster", "head")

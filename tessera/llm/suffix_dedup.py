@@ -32,7 +32,7 @@ from .workspace import Workspace
 
 LENGTH, SEED = 50, 20
 #: Suffixes of one seed that a task sorts and compares at once.
-HOT = 100_000
+HOT = 50_000
 REMEMBERED = 1 << 18
 
 
@@ -80,7 +80,11 @@ def _suffixes(length: int, seed: int):
 
 
 def _contexts(length: int, seed: int):
-    """For each wanted suffix the words of all windows around its seed, as 4-byte hashes."""
+    """For each wanted suffix the words of all windows around its seed, as 4-byte hashes.
+
+    A suffix whose surroundings stood earlier in its text gives a lost span instead: ``pos`` and
+    ``before`` are its start and end, and the other columns are null.
+    """
     side = length - seed
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,10 +100,16 @@ def _contexts(length: int, seed: int):
                         continue  # another row of this doc_id
                     a, b = int(found.bounds[i]), int(found.bounds[i + 1])
                     doc = batch.column(0)[i].as_py()
-                    for w in want:
+                    seen: set[tuple] = set()
+                    for w in sorted(want, key=lambda w: w["pos"]):
                         p = a + w["pos"]
                         lo, hi = max(a, p - side), min(b, p + length)
-                        row = w["seed"], doc, ids[i], w["pos"], p - lo, short[p:hi].byteswap().tobytes(), short[lo:p].tobytes()
+                        suffix, prefix = short[p:hi].byteswap().tobytes(), short[lo:p].tobytes()
+                        if (w["seed"], suffix, prefix) in seen:  # no window here is the first of its content
+                            row = None, doc, ids[i], lo - a, hi - a, None, None
+                        else:
+                            seen.add((w["seed"], suffix, prefix))
+                            row = w["seed"], doc, ids[i], w["pos"], p - lo, suffix, prefix
                         for c, x in zip(out, row):
                             c.append(x)
                 yield pa.RecordBatch.from_arrays(
@@ -112,7 +122,22 @@ def _contexts(length: int, seed: int):
 def _windows(x: dict, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Member, first word (in its text) and hash of every window around every member's seed."""
     who, start, out = [], [], []
+    usual = max(map(len, x["suffix"])), max(x["before"])
+    whole = [i for i, (s, b) in enumerate(zip(x["suffix"], x["before"])) if (len(s), b) == usual and len(s) == 4 * length]
+    if whole:
+        right = np.frombuffer(b"".join(x["suffix"][i] for i in whole), np.uint32).byteswap().reshape(len(whole), -1)
+        left = np.frombuffer(b"".join(x["prefix"][i] for i in whole), np.uint32).reshape(len(whole), -1)
+        words = mix(np.c_[left, right].astype(U64))
+        count = usual[1] + 1
+        runs = window_hashes(words.ravel(), length)
+        at = np.arange(len(whole))[:, None] * words.shape[1] + np.arange(count)
+        who.append(np.repeat(np.array(whole), count))
+        start.append((np.array([x["pos"][i] for i in whole])[:, None] - usual[1] + np.arange(count)).ravel())
+        out.append(runs[at].ravel())
+    settled = set(whole)
     for i, (suffix, prefix, pos, before) in enumerate(zip(x["suffix"], x["prefix"], x["pos"], x["before"])):
+        if i in settled:
+            continue
         words = np.concatenate([np.frombuffer(prefix, np.uint32), np.frombuffer(suffix, np.uint32).byteswap()]).astype(U64)
         hashes = window_hashes(mix(words), length)[: before + 1]
         who.append(np.full(len(hashes), i))
@@ -207,14 +232,17 @@ def repeated_passages(documents: DataFrame, length: int = LENGTH, seed: int = SE
     wanted = work.save(wanted.select(F.col("head").alias("doc_id"), "sid", "want"))
     fetched = docs.join(wanted.hint("merge"), "doc_id").select("doc_id", "sid", "text", "want")
     contexts = fetched.mapInArrow(_contexts(length, seed), "seed long, doc_id long, sid long, pos int, before int, suffix binary, prefix binary")
+    contexts = work.save(contexts)
+    inside = contexts.where("suffix is null").select("sid", F.col("pos").alias("start"), F.col("before").alias("end"))
+    contexts = contexts.where("suffix is not null")
     large = work.save(shared.where(F.col("size") > hot).select("seed").distinct())
     if large.isEmpty():
         usual, crowded = contexts, None
     else:
-        contexts = work.save(contexts)
         usual, crowded = contexts.join(large, "seed", "left_anti"), contexts.join(large, "seed", "left_semi")
     names = ["seed", "doc_id", "sid", "pos", "before", "suffix", "prefix"]
     lost = usual.select(*names).repartition("seed").sortWithinPartitions("seed", "suffix", "doc_id", "pos").mapInArrow(_compare(length), "sid long, start int, end int")
+    lost = lost.union(inside)
     if crowded is not None:
         windows = work.save(crowded.select(*names).mapInArrow(_hot_windows(length), "doc_id long, sid long, start int, hash long"))
         at = F.struct("doc_id", "start")
