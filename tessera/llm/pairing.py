@@ -23,7 +23,7 @@ from .workspace import Workspace
 #: Expected members of one block of a signature's group, which bounds a task's working set.
 BLOCK = 2048
 #: The limited passes: signatures of a text up to this turn, pairs per member and group.
-PASSES = ((2, 2), (8, 2), (24, 3))
+PASSES = ((4, 3), (24, 3))
 #: How far apart, in a group sorted by size, the members of a first-pass pair may be.
 REACH = 12
 

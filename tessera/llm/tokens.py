@@ -17,7 +17,7 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Text bytes handled at once; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _all = np.arange(256)
 LOWER = np.where((_all >= 65) & (_all <= 90), _all + 32, _all).astype(np.uint8)
