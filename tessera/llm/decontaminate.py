@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import ALNUM, U64, Words, slices, window_hashes
+from .workspace import bound_batches
 
 WINDOW = 8
 #: Words of test items in one broadcast part.
@@ -111,6 +112,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def benchmark_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
     """``kept`` (a struct of the row's other columns) ``, text, n_words, hits`` (word positions) ``, items``."""
     spark = documents.sparkSession
+    bound_batches(spark)
     out = documents.select(
         F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != "text"]).alias("kept"), F.col("text").cast("string").alias("text"),
         F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"),

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import ALNUM, Words, slices
+from .workspace import bound_batches
 
 ORDER = 5
 #: Most distinct n-grams in the broadcast model (12 bytes each).
@@ -65,6 +66,7 @@ def gram_keys(found: Words, at: np.ndarray, order: int) -> tuple[np.ndarray, np.
 def _counter(order: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        most = 1 << 19
 
         def merged() -> np.ndarray:
             keys, which = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
@@ -82,8 +84,9 @@ def _counter(order: int):
                 keys, owner = gram_keys(found, at, order)
                 counts = [np.bincount(which, w, len(at)) for w in (np.ones(len(which)), of_word == 1, of_word == 0)]
                 held.append(np.stack([keys, *(c[owner].astype(np.int64) for c in counts)]))
-                if sum(h.shape[1] for h in held) > 1 << 21:
+                if sum(h.shape[1] for h in held) > most:
                     held = [merged()]
+                    most = max(most, 2 * held[0].shape[1])
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in merged()], names=["gram", "n", "toxic", "ordinary"])
 
@@ -169,6 +172,7 @@ def held_out(doc_id: str = "doc_id"):
 def fit_toxicity(documents: DataFrame, labels: DataFrame, train_bound: int = TRAIN_BOUND, order: int = ORDER) -> ToxicityModel:
     """Fit on ``documents(doc_id, text)`` and ``labels(doc_id, toxic)``."""
     spark = documents.sparkSession
+    bound_batches(spark)
     train = (
         labels.where("doc_id is not null and toxic is not null").where(~held_out())
         .groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("label"))

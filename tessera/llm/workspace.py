@@ -33,10 +33,25 @@ def _remove_fallback() -> None:
         shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
+#: Rows and bytes of one Arrow batch between the JVM and a Python worker; texts can be long.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch limits to what these operators' memory is reckoned with."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key, None)
+        number = int(now) if now and now.lstrip("-").isdigit() else 0
+        if not 0 < number <= most:
+            spark.conf.set(key, str(most))
+
+
 class Workspace:
     """Names, writes, rereads and drops the intermediate tables of one operator run."""
 
     def __init__(self, spark: SparkSession, label: str):
+        bound_batches(spark)
         self.spark = spark
         self.root = f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
         self._count = 0
