@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pairing import linked_components, shared_signatures
+from .pairing import linked_components, parity, shared_signatures
 from .tokens import U64, mix, shingle_sets, slices
 from .workspace import Workspace
 
@@ -41,7 +41,7 @@ BROADCAST_IDS = 200_000
 #: Distinct texts that one task remembers, so that a hot group of copies is indexed once per task.
 REMEMBERED = 1 << 18
 
-_SCAN = "doc_id long, n int, sid long, bits binary, token long, texts long"
+_SCAN = "doc_id long, n int, sid long, bits binary, sketch binary, token long, texts long"
 _INDEX = "sig long, sid long, n int, left int"
 
 
@@ -51,15 +51,9 @@ def _set_id(s: np.ndarray) -> int:
 
 
 def _parity(s: np.ndarray) -> bytes:
-    """Parity of the shingles in each of two to four times as many bits as there are shingles.
-
-    Two sets that differ in d shingles differ in at most d bits, also after the larger bitmap is
-    folded onto the size of the smaller one.
-    """
+    """Parity bitmap with two to four times as many bits as there are shingles."""
     least, most = BITMAP_BITS
-    size = min(most, max(least, 1 << (2 * len(s) - 1).bit_length())) if len(s) else least
-    odd = np.bincount((s & U64(size - 1)).astype(np.int64), minlength=size) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+    return parity(s, min(most, max(least, 1 << (2 * len(s) - 1).bit_length())) if len(s) else least)
 
 
 def _prune(threshold: int):
@@ -90,8 +84,8 @@ def _scan(size: int):
             keep = counts >= LOCAL_LEAST
             k = int(keep.sum())
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep])],
-                names=["doc_id", "n", "sid", "bits", "token", "texts"],
+                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep])],
+                names=["doc_id", "n", "sid", "bits", "sketch", "token", "texts"],
             )
 
         for whole in batches:
@@ -101,9 +95,10 @@ def _scan(size: int):
                 n = np.array([len(s) for s in sets], np.int32)
                 ids = pa.array([_set_id(s) if len(s) else None for s in sets], pa.int64())
                 bits = pa.array([_parity(s) for s in sets], pa.binary())
+                sketch = pa.array([parity(s) for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n), ids, bits, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())],
-                    names=["doc_id", "n", "sid", "bits", "token", "texts"],
+                    [batch.column(0), pa.array(n), ids, bits, sketch, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())],
+                    names=["doc_id", "n", "sid", "bits", "sketch", "token", "texts"],
                 )
                 pending.extend(s for s in sets if len(s))
                 held += int(n.sum())
@@ -212,7 +207,7 @@ def ngram_jaccard_join(documents: DataFrame, threshold: int = 75, size: int = 5,
     work = Workspace(spark, "ngram-join")
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     scanned = work.save(docs.mapInArrow(_scan(size), _SCAN))
-    rows = scanned.where("token is null").select("doc_id", "n", "sid", "bits")
+    rows = scanned.where("token is null").select("doc_id", "n", "sid", "bits", "sketch")
     # The first index shows which shingles are frequent among prefixes; the second one is joined.
     hot = scanned.where("token is not null").groupBy("token").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= GLOBAL_LEAST)
     index = docs.mapInArrow(_index(size, threshold, _frequent(spark, hot)), _INDEX)
@@ -220,7 +215,7 @@ def ngram_jaccard_join(documents: DataFrame, threshold: int = 75, size: int = 5,
     frequent = _frequent(spark, work.save(hot.unionByName(crowded).groupBy("token").agg(F.max("texts").alias("texts"))))
     shared = work.save(shared_signatures(docs.mapInArrow(_index(size, threshold, frequent), _INDEX)))
     texts = rows.where("sid is not null and doc_id is not null").groupBy("sid").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch")
     )
     texts = work.save(texts)
 
@@ -238,7 +233,7 @@ def ngram_jaccard_join(documents: DataFrame, threshold: int = 75, size: int = 5,
         work.drop(alike, wanted, fetched)
         return out
 
-    roots = linked_components(shared, threshold, links, work)
+    roots = linked_components(shared, threshold, links, work, texts.select("sid", "sketch"))
     named = texts.select("sid", "doc_id").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = work.save(named.join(least, "root").select("sid", "component_id"))

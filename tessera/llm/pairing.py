@@ -2,10 +2,12 @@
 
 An *index* is a table ``(sig, sid, n, left)``: signature, id of a distinct text, its set size, and an
 upper bound of the overlap that a pair meeting first at this signature can still reach. A first pass
-emits at most ``limit`` pairs per member and group; once these are verified and merged into
-components, an exhaustive second pass emits only pairs that lie in different components, so a group
-of a million near copies costs a few pairs per member while no link between components is lost.
-Groups above BLOCK members are cut into blocks, and the second pass visits every pair of blocks.
+emits at most ``limit`` pairs per member and group, and the pair of each member with the group's hub:
+copies edited from one original are often too unlike each other to link but all link to it. Once
+these are verified and merged into components, an exhaustive second pass emits only pairs that lie
+in different components, so a group of a million near copies costs a few pairs per member while no
+link between components is lost. Groups above BLOCK members are cut into blocks, and the second
+pass visits every pair of blocks.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ BLOCK = 2048
 PASSES = ((4, 3), (24, 3))
 #: How far apart, in a group sorted by size, the members of a first-pass pair may be.
 REACH = 12
+#: Bits of the parity sketch that rejects unlike pairs inside their group.
+SKETCH_BITS = 512
 
 PAIR_SCHEMA = "u long, v long"
 
@@ -33,8 +37,9 @@ PAIR_SCHEMA = "u long, v long"
 def shared_signatures(index: DataFrame) -> DataFrame:
     """Rows of signatures that at least two different texts have, once per text.
 
-    Adds the group's ``size``, and along each text's own shared signatures, earliest first, the
-    ``turn`` of this one and the signature before it (``before``).
+    Adds the group's ``size``, the sum of sizes over the text's groups (``reach``), and along each
+    text's own shared signatures, earliest first, the ``turn`` of this one and the signature before
+    it (``before``).
     """
     by = Window.partitionBy("sig").orderBy("n", "sid")
     whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -50,15 +55,25 @@ def shared_signatures(index: DataFrame) -> DataFrame:
         .drop("_lo", "_hi", "_before")
     )
     along = Window.partitionBy("sid").orderBy(F.desc("left"), "sig")
+    found = found.withColumn("reach", F.sum("size").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return found.withColumn("turn", F.row_number().over(along)).withColumn("before", F.coalesce(F.lag("sig").over(along), F.col("sid")))
 
 
+def hub_pairs(shared: DataFrame, threshold: int) -> DataFrame:
+    """Each member of a group with the member of most ``reach``: at most one pair per row."""
+    hubs = shared.groupBy("sig").agg(F.max(F.struct("reach", "sid", "n", "left", "comp")).alias("hub"))
+    need = F.expr(f"({threshold} * (n + hub.n) + {99 + threshold}) div {100 + threshold}")
+    met = shared.join(hubs, "sig").where((F.col("comp") != F.col("hub.comp")) & (F.least("left", "hub.left", "n", "hub.n") >= need))
+    return met.select(F.least("sid", "hub.sid").alias("u"), F.greatest("sid", "hub.sid").alias("v"))
+
+
 def candidate_pairs(shared: DataFrame, threshold: int, limit: int | None) -> DataFrame:
     """Distinct pairs ``u < v`` of texts in one group whose sizes and bounds allow ``threshold`` %.
 
-    ``shared`` needs ``(sig, sid, n, left, before, size, comp)``; pairs of one ``comp`` are left out, and so
+    ``shared`` needs ``(sig, sid, n, left, before, size, reach, comp)``; pairs of one ``comp`` are left out, and so
     are pairs that have the signature before in common, since their group there has them already.
-    ``limit`` pairs per member are emitted in the first pass, all of them with ``None``.
+    With a column ``sketch`` (of ``parity``) pairs are left out whose sketches differ too much to link.
+    ``limit`` pairs per member and those with hubs are emitted in the first passes, all of them with ``None``.
     """
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
     rows = shared.withColumn("_n", blocks).withColumn("blk", F.expr("cast(pmod(xxhash64(sid), _n) as int)"))
@@ -67,7 +82,8 @@ def candidate_pairs(shared: DataFrame, threshold: int, limit: int | None) -> Dat
         rows = rows.withColumn("_k", other)
     else:
         rows = rows.withColumn("_k", F.struct(F.col("blk").alias("lo"), F.col("blk").alias("hi")))
-    rows = rows.select("sig", F.col("_k.lo").alias("lo"), F.col("_k.hi").alias("hi"), "n", "sid", "left", "comp", "blk", "before")
+    sketched = ["sketch"] if "sketch" in shared.columns else []
+    rows = rows.select("sig", F.col("_k.lo").alias("lo"), F.col("_k.hi").alias("hi"), "n", "sid", "left", "comp", "blk", "before", *sketched)
     dealt = rows.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "n", "sid")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,8 +91,11 @@ def candidate_pairs(shared: DataFrame, threshold: int, limit: int | None) -> Dat
         names = ["sig", "lo", "hi", "n", "sid", "left", "comp", "blk", "before"]
         for batch in batches:
             now = {k: batch.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(names)}
+            if sketched:
+                raw = b"".join(batch.column(len(names)).to_pylist())
+                now["sketch"] = np.frombuffer(raw, np.uint64).reshape(batch.num_rows, -1)
             if held is not None:
-                now = {k: np.concatenate([held[k], now[k]]) for k in names}
+                now = {k: np.concatenate([held[k], x]) for k, x in now.items()}
             if not len(now["sig"]):
                 continue
             same = (now["sig"] == now["sig"][-1]) & (now["lo"] == now["lo"][-1]) & (now["hi"] == now["hi"][-1])
@@ -87,7 +106,8 @@ def candidate_pairs(shared: DataFrame, threshold: int, limit: int | None) -> Dat
         if held is not None:
             yield from _pairs_of(held, threshold, limit)
 
-    return dealt.mapInArrow(pairs, PAIR_SCHEMA).distinct()
+    found = dealt.mapInArrow(pairs, PAIR_SCHEMA)
+    return (found if limit is None else found.union(hub_pairs(shared, threshold))).distinct()
 
 
 def _pairs_of(x: dict[str, np.ndarray], threshold: int, limit: int | None) -> Iterator[pa.RecordBatch]:
@@ -110,6 +130,10 @@ def _pairs_of(x: dict[str, np.ndarray], threshold: int, limit: int | None) -> It
         good = (comp[alive] != comp[back]) & (left[alive] >= need) & (left[back] >= need) & (sid[alive] != sid[back])
         good &= x["before"][alive] != x["before"][back]
         good &= ~cross[alive] | (blk[alive] != blk[back])
+        if "sketch" in x:
+            at = np.flatnonzero(good)
+            odd = np.bitwise_count(x["sketch"][alive[at]] ^ x["sketch"][back[at]]).sum(1, dtype=np.int64)
+            good[at] = odd <= (both - 2 * need)[at]
         a, b = sid[alive[good]], sid[back[good]]
         us.append(np.minimum(a, b))
         vs.append(np.maximum(a, b))
@@ -124,14 +148,23 @@ def _pairs_of(x: dict[str, np.ndarray], threshold: int, limit: int | None) -> It
         yield _batch(us, vs)
 
 
+def parity(s: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
+    """Parity of the members of a set in each of ``bits`` places: two sets that differ in d members
+    differ in at most d bits, also after a larger bitmap is folded onto the size of a smaller one."""
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _batch(us: list[np.ndarray], vs: list[np.ndarray]) -> pa.RecordBatch:
     both = np.unique(np.stack([np.concatenate(us), np.concatenate(vs)]), axis=1)
     return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["u", "v"])
 
 
-def linked_components(shared: DataFrame, threshold: int, links: Callable[[DataFrame], DataFrame], work: Workspace) -> DataFrame:
+def linked_components(shared: DataFrame, threshold: int, links: Callable[[DataFrame], DataFrame], work: Workspace, sketches: DataFrame | None = None) -> DataFrame:
     """``node, root`` of the graph of verified pairs; ``links`` keeps the pairs that hold.
 
+    ``sketches(sid, sketch)`` are fetched for the last pass, unless ``shared`` has them already.
+
     Each limited pass merges most of what is left of large groups; the last pass tries every pair
     of texts that are still in different components.
     """
@@ -142,6 +175,8 @@ def linked_components(shared: DataFrame, threshold: int, links: Callable[[DataFr
             rows = rows.withColumn("comp", F.col("sid"))
         else:
             rows = rows.join(merged.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
+        if limit is None and sketches is not None:
+            rows = rows.join(sketches, "sid")
         new = links(candidate_pairs(rows, threshold, limit))
         if merged is not None:
             new = merged.select(F.col("node").alias("u"), F.col("root").alias("v")).union(new)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ngram_join import _verify
-from .pairing import linked_components, shared_signatures
+from .pairing import linked_components, parity, shared_signatures
 from .tokens import NOT_SPACE, U64, Words, mix, slices, window_hashes
 from .workspace import Workspace
 
@@ -31,7 +31,7 @@ MIN_WORDS, SHINGLE, THRESHOLD = 25, 5, 75
 REMEMBERED = 1 << 18
 _SEEDS = mix(np.arange(1, ROWS * BANDS + 1, dtype=U64) * U64(0x8CB92BA72F3D8DD7)) | U64(1)
 PLACES = "doc_id long, text_key long, par int, words int, sid long"
-_INDEX = "sig long, sid long, n int, left int"
+_INDEX = "sig long, sid long, n int, left int, sketch binary"
 
 
 def _paragraphs(texts: list[str | None], min_words: int) -> tuple[list[int], list[int], Words, np.ndarray]:
@@ -95,12 +95,14 @@ def _bands(min_words: int):
                 for k, seed in enumerate(_SEEDS):
                     scrambled = padded * seed
                     lows[k] = np.minimum.reduceat(scrambled ^ (scrambled >> U64(31)), cuts)[::2]
-                n = np.array([len(np.unique(runs[a:b])) for a, b in zip(starts, ends)], np.int32)
+                sets = [np.unique(runs[a:b]) for a, b in zip(starts, ends)]
+                n = np.array([len(s) for s in sets], np.int32)
+                sketch = pa.array([parity(s) for s in sets], pa.binary())
                 for band in range(BANDS):
                     sig = np.full(len(own), U64(band + 1))
                     for k in range(band * ROWS, band * ROWS + ROWS):
                         sig = mix(sig * U64(0x9E3779B97F4A7C15) + lows[k])
-                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(own), pa.array(n), pa.array(n)], names=["sig", "sid", "n", "left"])
+                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(own), pa.array(n), pa.array(n), sketch], names=["sig", "sid", "n", "left", "sketch"])
 
     return bands
 
