@@ -30,8 +30,8 @@ ROWS, BANDS = 3, 14
 MIN_WORDS, SHINGLE, THRESHOLD = 25, 5, 75
 REMEMBERED = 1 << 18
 _SEEDS = mix(np.arange(1, ROWS * BANDS + 1, dtype=U64) * U64(0x8CB92BA72F3D8DD7)) | U64(1)
-PLACES = "doc_id long, text_key long, par int, words int, sid long"
-_INDEX = "sig long, sid long, n int, left int, sketch binary"
+PLACES = "doc_id long, text_key long, par int, words int, sid long, sketch binary"
+_INDEX = "sig long, sid long, n int, left int"
 
 
 def _paragraphs(texts: list[str | None], min_words: int) -> tuple[list[int], list[int], Words, np.ndarray]:
@@ -55,16 +55,27 @@ def _sequence_ids(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _places(min_words: int):
+    """Every paragraph; the sketch of a text comes with its first place in a task."""
+
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for whole in batches:
             for batch in slices(whole):
                 row, number, found, hashes = _paragraphs(batch.column(2).to_pylist(), min_words)
                 words = np.diff(found.bounds)
                 keep = np.flatnonzero(words >= min_words)
                 at = pa.array(np.array(row, np.int64)[keep])
+                sids = _sequence_ids(hashes, found.bounds)[keep]
+                runs = window_hashes(hashes, SHINGLE)
+                sketches: list[bytes | None] = []
+                for sid, a, b in zip(sids.tolist(), found.bounds[keep].tolist(), found.bounds[keep + 1].tolist()):
+                    sketches.append(None if sid in seen else parity(np.unique(runs[a : max(a, b - SHINGLE + 1)])))
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(sid)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.array(number, np.int32)[keep]), pa.array(words[keep].astype(np.int32)),
-                     pa.array(_sequence_ids(hashes, found.bounds)[keep])], names=["doc_id", "text_key", "par", "words", "sid"])
+                     pa.array(sids), pa.array(sketches, pa.binary())], names=["doc_id", "text_key", "par", "words", "sid", "sketch"])
 
     return places
 
@@ -97,12 +108,11 @@ def _bands(min_words: int):
                     lows[k] = np.minimum.reduceat(scrambled ^ (scrambled >> U64(31)), cuts)[::2]
                 sets = [np.unique(runs[a:b]) for a, b in zip(starts, ends)]
                 n = np.array([len(s) for s in sets], np.int32)
-                sketch = pa.array([parity(s) for s in sets], pa.binary())
                 for band in range(BANDS):
                     sig = np.full(len(own), U64(band + 1))
                     for k in range(band * ROWS, band * ROWS + ROWS):
                         sig = mix(sig * U64(0x9E3779B97F4A7C15) + lows[k])
-                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(own), pa.array(n), pa.array(n), sketch], names=["sig", "sid", "n", "left", "sketch"])
+                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(own), pa.array(n), pa.array(n)], names=["sig", "sid", "n", "left"])
 
     return bands
 
@@ -152,9 +162,10 @@ def repeated_paragraphs(documents: DataFrame, threshold: int = THRESHOLD, min_wo
         work.drop(pairs, bodies)
         return out
 
-    roots = linked_components(shared, threshold, links, work)
+    sketches = places.where("sketch is not null").groupBy("sid").agg(F.first("sketch").alias("sketch"))
+    roots = linked_components(shared, threshold, links, work, sketches)
     work.drop(shared)
-    named = places.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("cluster", F.coalesce("root", "sid"))
+    named = places.drop("sketch").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("cluster", F.coalesce("root", "sid"))
     place = F.struct("doc_id", "text_key", "par")
     heads = named.groupBy("cluster").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where("head <> tail").select("cluster", "head")
     return named.join(heads, "cluster", "left").select(
