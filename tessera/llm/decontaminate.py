@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import ALNUM, U64, Words, slices, window_hashes
+from .tokens import ALNUM, U64, Words, lean, slices, window_hashes
 from .workspace import bound_batches
 
 WINDOW = 8
@@ -124,7 +124,7 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, window: int = WIN
     for k in range(parts):
         part = items.where(F.expr(f"pmod(xxhash64(item_id, text), {parts}) = {k}"))
         tables = spark.sparkContext.broadcast(_tables([(r.item_id, r.text) for r in part.toLocalIterator()], window))
-        out = out.mapInArrow(_scan(tables), schema)
+        out = out.mapInArrow(lean(_scan(tables)), schema)
     return out
 
 
@@ -148,7 +148,7 @@ def remove_benchmark_spans(documents: DataFrame, benchmark: DataFrame) -> DataFr
     names = documents.columns
     marked = benchmark_hits(documents, benchmark)
     schema = marked.schema["kept"].dataType.simpleString()
-    cut = marked.select("kept", "text", "hits").mapInArrow(_cut, f"kept {schema}, text string, touched boolean")
+    cut = marked.select("kept", "text", "hits").mapInArrow(lean(_cut), f"kept {schema}, text string, touched boolean")
     new = cut.where(f"not touched or text rlike '{ANY_WORD}'").select("kept.*", "text", "touched")
     counted = F.when(F.col("touched"), F.length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in names else None
     return new.select(*[counted.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names])

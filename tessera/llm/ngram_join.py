@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .pairing import linked_components, parity, shared_signatures
-from .tokens import U64, mix, shingle_sets, slices
+from .tokens import U64, lean, mix, shingle_sets, slices
 from .workspace import Workspace
 
 #: Most shingles in the broadcast table of frequent ones (8 bytes each).
@@ -206,14 +206,14 @@ def ngram_jaccard_join(documents: DataFrame, threshold: int = 75, size: int = 5,
     spark = documents.sparkSession
     work = Workspace(spark, "ngram-join")
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    scanned = work.save(docs.mapInArrow(_scan(size), _SCAN))
+    scanned = work.save(docs.mapInArrow(lean(_scan(size)), _SCAN))
     rows = scanned.where("token is null").select("doc_id", "n", "sid", "bits", "sketch")
     # The first index shows which shingles are frequent among prefixes; the second one is joined.
     hot = scanned.where("token is not null").groupBy("token").agg(F.sum("texts").alias("texts")).where(F.col("texts") >= GLOBAL_LEAST)
-    index = docs.mapInArrow(_index(size, threshold, _frequent(spark, hot)), _INDEX)
+    index = docs.mapInArrow(lean(_index(size, threshold, _frequent(spark, hot))), _INDEX)
     crowded = index.groupBy(F.col("sig").alias("token")).agg(F.count("*").alias("texts")).where(F.col("texts") >= GROUP_LEAST)
     frequent = _frequent(spark, work.save(hot.unionByName(crowded).groupBy("token").agg(F.max("texts").alias("texts"))))
-    shared = work.save(shared_signatures(docs.mapInArrow(_index(size, threshold, frequent), _INDEX)))
+    shared = work.save(shared_signatures(docs.mapInArrow(lean(_index(size, threshold, frequent)), _INDEX)))
     texts = rows.where("sid is not null and doc_id is not null").groupBy("sid").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch")
     )
@@ -222,14 +222,14 @@ def ngram_jaccard_join(documents: DataFrame, threshold: int = 75, size: int = 5,
     def links(pairs: DataFrame) -> DataFrame:
         side = lambda k: texts.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
         beside = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "n_u", "n_v", "bits_u", "bits_v")
-        alike = work.save(beside.mapInArrow(_prune(threshold), "u long, v long"))
+        alike = work.save(beside.mapInArrow(lean(_prune(threshold)), "u long, v long"))
         wanted = alike.select(F.col("u").alias("sid")).union(alike.select("v")).distinct().join(texts.select("sid", "doc_id"), "sid")
         wanted = work.save(wanted)
         small = wanted.count() <= BROADCAST_IDS
-        fetched = docs.join(F.broadcast(wanted) if small else wanted, "doc_id").select("sid", "text").mapInArrow(_of_set(size), "sid long, text string")
+        fetched = docs.join(F.broadcast(wanted) if small else wanted, "doc_id").select("sid", "text").mapInArrow(lean(_of_set(size)), "sid long, text string")
         fetched = work.save(fetched.dropDuplicates(["sid"]))
         side = lambda k: fetched.select(F.col("sid").alias(k), F.col("text").alias(f"text_{k}"))
-        out = work.save(alike.join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(_verify(size, threshold), "u long, v long"))
+        out = work.save(alike.join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(lean(_verify(size, threshold)), "u long, v long"))
         work.drop(alike, wanted, fetched)
         return out
 

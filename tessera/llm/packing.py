@@ -16,13 +16,14 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CAPACITIES = (512, 1024, 2048, 4096)
 OVERHEAD, QUADRATIC = 32, 32768
 SHARD = 1 << 15
+PLACED = ["doc_id", "piece", "start", "n_words", "bin_id", "offset", "capacity"]
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -70,17 +71,15 @@ def best_fit_packing(documents: DataFrame, capacities: tuple[int, ...] = CAPACIT
     shards = max(1, -(-int(count) // shard))
     dealt = pieces.withColumn("shard", F.expr(f"cast(pmod(xxhash64(doc_id, h, piece), {shards}) as int)"))
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n_words", "doc_id", "piece", "h"], ascending=[False, True, True, True], kind="stable")
-        full = rows[rows.n_words > 0]
-        places = pack(full.n_words.tolist(), capacities)
-        bins = pd.DataFrame(places, columns=["bin", "offset", "capacity"], index=full.index, dtype="int64")
-        rows = rows.join(bins)
-        name = rows.shard.astype(str) + "-" + rows.bin.astype("Int64").astype(str)
-        rows["bin_id"] = name.where(rows.bin.notna(), None)
-        rows["doc_id"], rows["offset"], rows["capacity"] = rows.doc_id.astype("Int64"), rows.offset.astype("Int64"), rows.capacity.astype("Int64")
-        return rows[["doc_id", "piece", "start", "n_words", "bin_id", "offset", "capacity"]]
-
-    return dealt.groupBy("shard").applyInPandas(
+    def one(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("n_words", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("h", "ascending")])
+        lengths = [n for n in rows["n_words"].to_pylist() if n]  # the wordless come last
+        places = [*pack(lengths, capacities), *[(None, None, None)] * (rows.num_rows - len(lengths))]
+        bins, offsets, sizes = zip(*places)
+        names = [None if k is None else f"{s}-{k}" for s, k in zip(rows["shard"].to_pylist(), bins)]
+        columns = [rows[c] for c in ("doc_id", "piece", "start", "n_words")]
+        return pa.table([*columns, pa.array(names, pa.string()), pa.array(offsets, pa.int64()), pa.array(sizes, pa.int64())], names=PLACED)
+
+    return dealt.groupBy("shard").applyInArrow(
         one, "doc_id long, piece int, start long, n_words long, bin_id string, offset long, capacity long"
     )

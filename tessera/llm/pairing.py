@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .tokens import lean
 from .workspace import Workspace
 
 #: Expected members of one block of a signature's group, which bounds a task's working set.
@@ -106,7 +107,7 @@ def candidate_pairs(shared: DataFrame, threshold: int, limit: int | None) -> Dat
         if held is not None:
             yield from _pairs_of(held, threshold, limit)
 
-    found = dealt.mapInArrow(pairs, PAIR_SCHEMA)
+    found = dealt.mapInArrow(lean(pairs), PAIR_SCHEMA)
     return (found if limit is None else found.union(hub_pairs(shared, threshold))).distinct()
 
 

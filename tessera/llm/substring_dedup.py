@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .ngram_join import _verify
 from .pairing import linked_components, parity, shared_signatures
-from .tokens import NOT_SPACE, U64, Words, mix, slices, window_hashes
+from .tokens import NOT_SPACE, U64, Words, lean, mix, slices, window_hashes
 from .workspace import Workspace
 
 ROWS, BANDS = 3, 14
@@ -146,8 +146,8 @@ def repeated_paragraphs(documents: DataFrame, threshold: int = THRESHOLD, min_wo
     spark = documents.sparkSession
     work = Workspace(spark, "substring-dedup")
     docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    places = work.save(docs.mapInArrow(_places(min_words), PLACES))
-    shared = work.save(shared_signatures(docs.mapInArrow(_bands(min_words), _INDEX)))
+    places = work.save(docs.mapInArrow(lean(_places(min_words)), PLACES))
+    shared = work.save(shared_signatures(docs.mapInArrow(lean(_bands(min_words)), _INDEX)))
     texts = places.groupBy("sid").agg(F.min(F.struct("doc_id", "text_key")).alias("at"))
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -155,10 +155,10 @@ def repeated_paragraphs(documents: DataFrame, threshold: int = THRESHOLD, min_wo
         wanted = pairs.select(F.col("u").alias("sid")).union(pairs.select("v")).distinct().join(texts, "sid")
         wanted = wanted.groupBy("at.doc_id", "at.text_key").agg(F.collect_list("sid").alias("want"))
         got = docs.join(wanted.hint("merge"), ["doc_id", "text_key"]).select("want", "text")
-        bodies = work.save(got.mapInArrow(_bodies(min_words), "sid long, text string").dropDuplicates(["sid"]))
+        bodies = work.save(got.mapInArrow(lean(_bodies(min_words)), "sid long, text string").dropDuplicates(["sid"]))
         side = lambda k: bodies.select(F.col("sid").alias(k), F.col("text").alias(f"text_{k}"))
         beside = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v")
-        out = work.save(beside.mapInArrow(_verify(SHINGLE, threshold), "u long, v long"))
+        out = work.save(beside.mapInArrow(lean(_verify(SHINGLE, threshold)), "u long, v long"))
         work.drop(pairs, bodies)
         return out
 

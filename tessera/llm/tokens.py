@@ -8,7 +8,8 @@ non-ASCII character is 0x80 or above and belongs to a word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Text bytes handled at once; a longer text is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _all = np.arange(256)
 LOWER = np.where((_all >= 65) & (_all <= 90), _all + 32, _all).astype(np.uint8)
@@ -99,6 +100,27 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix(total)
 
 
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work``, after which its worker, kept for later tasks, gives freed memory back to the system."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    if len(_powers[0]) > SLICE_BYTES + 1:
+        _powers[:] = [np.empty(0, U64), np.empty(0, U64)]
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut a record batch so that each piece holds at most SLICE_BYTES of text, or one row."""
     column = batch.column(batch.schema.get_field_index(text))

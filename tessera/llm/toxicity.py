@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import ALNUM, Words, slices
+from .tokens import ALNUM, Words, lean, slices
 from .workspace import bound_batches
 
 ORDER = 5
@@ -66,7 +66,7 @@ def gram_keys(found: Words, at: np.ndarray, order: int) -> tuple[np.ndarray, np.
 def _counter(order: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        most = 1 << 19
+        most = 1 << 17
 
         def merged() -> np.ndarray:
             keys, which = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
@@ -133,7 +133,7 @@ class ToxicityModel:
         rest = [c for c in documents.columns if c != text]
         kept = documents.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("kept"), F.col(text).cast("string").alias("text"))
         schema = kept.schema["kept"].dataType.simpleString()
-        out = kept.mapInArrow(_scorer(self.table, self.order), f"kept {schema}, evidence array<double>")
+        out = kept.mapInArrow(lean(_scorer(self.table, self.order)), f"kept {schema}, evidence array<double>")
         return out.select("kept.*", "evidence")
 
     def score(self, evidence: str = "evidence"):
@@ -180,7 +180,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, train_bound: int = TRA
     )
     docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     marked = docs.join(F.broadcast(train), "doc_id", "left").select("text", "label")
-    counted = marked.mapInArrow(_counter(order), "gram long, n long, toxic long, ordinary long")
+    counted = marked.mapInArrow(lean(_counter(order)), "gram long, n long, toxic long, ordinary long")
     grams = counted.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "ordinary")]).persist()
     while grams.count() > MODEL_BOUND and order > 2:
         order -= 1
