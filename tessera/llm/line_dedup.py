@@ -7,6 +7,10 @@ stands, and chunks between cuts have two lines or more. Chunks of at least ``min
 occur at several places are grouped by fingerprint, then by their bytes; the first place (smallest
 doc_id, then chunk number) keeps the chunk and the other places lose it.
 
+Chunks miss repeats that hold no two cuts. ``dedup_runs`` has no cuts: every run of ``min_lines``
+lines is a window, identified by its MD5, and all lines of a window that occurs earlier (smallest
+doc_id, then line number) go, so every repeated run of ``min_lines`` lines or more is found.
+
 Null texts stay null, texts without repeated chunks stay as they are, and a text all of whose
 chunks go becomes empty: no row is dropped. Equal rows (same doc_id and text) count as one document
 and are treated alike. Null doc_ids order last. Extra columns are kept; names that start with
@@ -83,3 +87,45 @@ def dedup_lines(documents: DataFrame, divisor: int = DIVISOR, min_lines: int = M
         F.coalesce("_ld_count", F.lit(0)).cast("long").alias("lines_removed"),
         F.coalesce(F.size("_ld_gone"), F.lit(0)).cast("long").alias("chunks_removed"),
     )
+
+
+def repeated_runs(documents: DataFrame, work: Workspace, min_lines: int = MIN_LINES) -> DataFrame:
+    """``_ld_id, _ld_text, at``: the windows of ``min_lines`` lines, by first line, that occur earlier."""
+    keyed = documents.select(F.col("doc_id").alias("_ld_id"), F.xxhash64("text").alias("_ld_text"), F.split("text", "\n", -1).alias("_ld_lines"))
+    keyed = keyed.withColumn("_ld_body", F.col("_ld_lines"))
+    for k in range(1, min_lines):
+        keyed = keyed.withColumn("_ld_body", F.zip_with("_ld_body", F.slice("_ld_lines", F.lit(k + 1), F.greatest(F.size("_ld_lines") - k, F.lit(0))), lambda a, b: F.concat(a, F.lit("\n"), b)))
+    # Windows that run over the end are null: zip_with fills the shorter array with nulls.
+    windows = keyed.select("_ld_id", "_ld_text", F.posexplode_outer(F.transform("_ld_body", lambda x: F.unhex(F.md5(x)))).alias("at", "print")).where("print is not null")
+    windows = work.save(windows)
+    place = F.struct(F.col("_ld_id").isNull().alias("last"), "_ld_id", "_ld_text", "at")
+    first = windows.groupBy("print").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("print", "low")
+    lost = work.save(windows.join(first.hint("merge"), "print").where(place != F.col("low")).select("_ld_id", "_ld_text", "at").distinct())
+    work.drop(windows)
+    return lost
+
+
+def dedup_runs(documents: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """``documents`` without the lines of repeated runs, plus ``lines_removed``.
+
+    ``n_chars``, if there is such a column, is recounted where the text changed.
+    """
+    lost = repeated_runs(documents, Workspace(documents.sparkSession, "line-runs"), min_lines)
+    gone = lost.groupBy("_ld_id", "_ld_text").agg(F.collect_set("at").alias("_ld_gone"))
+    keyed = documents.withColumn("_ld_key", F.xxhash64("text"))
+    joined = keyed.join(gone.hint("merge"), keyed["doc_id"].eqNullSafe(gone["_ld_id"]) & (keyed["_ld_key"] == gone["_ld_text"]), "left")
+    # array_except hashes: the work grows with the lines, not with their square.
+    lines = F.flatten(F.transform("_ld_gone", lambda at: F.sequence(at, at + (min_lines - 1))))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_ld_lines") - 1), lines)
+    cut = (
+        joined.withColumn("_ld_lines", F.split("text", "\n", -1))
+        .withColumn("_ld_kept", F.when(F.col("_ld_gone").isNotNull(), F.transform(kept, lambda i: F.get("_ld_lines", i))))
+        .withColumn("_ld_new", F.coalesce(F.array_join("_ld_kept", "\n"), F.col("text")))
+    )
+    values = {"text": F.col("_ld_new")}
+    if "n_chars" in documents.columns:
+        values["n_chars"] = F.when(F.col("_ld_gone").isNull(), F.col("n_chars")).otherwise(F.length("_ld_new").cast("long"))
+    return cut.select(
+        *[values.get(c, F.col(f"`{c}`")).alias(c) for c in documents.columns],
+        F.coalesce(F.size("_ld_lines") - F.size("_ld_kept"), F.lit(0)).cast("long").alias("lines_removed"),
+    )

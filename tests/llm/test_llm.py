@@ -123,6 +123,36 @@ def test_line_dedup_and_shifts(spark):
     assert all(kept[i].lines_removed >= 25 for i in range(1, 5)) and kept[0].lines_removed == 0
 
 
+def test_every_embedded_run_is_found(spark):
+    rng = random.Random(12)
+    lines = lambda k: ["".join(rng.choice("abcdef ") for _ in range(20)) for _ in range(k)]
+    passages = [lines(k) for k in range(2, 9) for _ in range(5)]
+    texts = ["\n".join(lines(6) + p + lines(5)) for p in passages + passages] + ["x\n" * 5, "a\nb", "", None]
+    got = {r.doc_id: r for r in line_dedup.dedup_runs(table(spark, texts)).collect()}
+    seen, want = set(), []
+    for t in texts:
+        own, lost = (t or "").split("\n"), set()
+        for i, window in enumerate(zip(own, own[1:])):
+            lost |= {i, i + 1} if window in seen else set()
+            seen.add(window)
+        want.append(None if t is None else "\n".join(x for i, x in enumerate(own) if i not in lost))
+    assert [got[i].text for i in range(len(texts))] == want
+    n = len(passages)
+    assert [got[n + i].lines_removed for i in range(n)] == [len(p) for p in passages]
+    assert all(got[i].n_chars == (None if t is None else len(t)) for i, t in enumerate(want))
+
+
+def test_pipeline_drops_a_short_run(spark):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    lines = lambda k: ["".join(rng.choice("abcdef ") for _ in range(20)) for _ in range(k)]
+    passages = [lines(3) for _ in range(20)]
+    docs = table(spark, ["\n".join(lines(4) + p + lines(4)) for p in passages + passages])
+    texts = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert not any(x in texts[20 + i].split("\n") for i, p in enumerate(passages) for x in p)
+
+
 def test_suffix_dedup_equals_marking_windows(spark):
     texts = [*corpus(random.Random(9)), "one two " * 120, "two one " * 90, None]
     docs = table(spark, texts)
