@@ -12,6 +12,8 @@ doc_id and text share their result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +26,9 @@ _BEFORE, _AFTER = rf"(?<![{_W}])", rf"(?![{_W}])"
 #: Phrase and label.
 BASE = (("mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Label, SPDX identifier, keyword, name pattern (spaces stand for any gap), address.
+#: Label, SPDX identifier, keyword (or several, with | between), name pattern (spaces stand for any gap), address.
 LICENSES = (
-    ("mit", "MIT", "mit", r"(?:mit|expat) licen[cs]e", r"opensource\.org/licenses?/mit"),
+    ("mit", "MIT", "mit|expat", r"(?:mit|expat) licen[cs]e", r"opensource\.org/licenses?/mit"),
     ("apache-2", "Apache-2.0", "apache", r"apache (?:software )?licen[cs]e,? (?:version |v)?2(?:\.0)?", r"apache\.org/licenses/license-2\.0"),
     ("apache-1.1", "Apache-1.1", "apache", r"apache (?:software )?licen[cs]e,? (?:version |v)?1\.1", r"apache\.org/licenses/license-1\.1"),
     ("gpl-2", "GPL-2.0", "general public", r"(?:gnu )?general public licen[cs]e,? (?:version |v)?2", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"),
@@ -61,12 +63,12 @@ LICENSES = (
     ("odbl", "ODbL-1.0", "database", r"open (?:data commons )?(?:open )?database licen[cs]e", r"opendatacommons\.org/licenses/odbl"),
     ("pddl", "PDDL-1.0", "public domain", r"public domain dedication and licen[cs]e", r"opendatacommons\.org/licenses/pddl"),
     ("cc0", "CC0-1.0", "cc0", r"cc0(?: 1\.0)?(?: universal)?", r"creativecommons\.org/publicdomain/zero"),
-    ("cc-by", "CC-BY-4.0", "cc", r"cc by(?: \d\.\d)?", r"creativecommons\.org/licenses/by/"),
-    ("cc-by-sa", "CC-BY-SA-4.0", "cc", r"cc by sa(?: \d\.\d)?", r"creativecommons\.org/licenses/by-sa"),
-    ("cc-by-nd", "CC-BY-ND-4.0", "cc", r"cc by nd(?: \d\.\d)?", r"creativecommons\.org/licenses/by-nd"),
-    ("cc-by-nc", "CC-BY-NC-4.0", "cc", r"cc by nc(?: \d\.\d)?", r"creativecommons\.org/licenses/by-nc/"),
-    ("cc-by-nc-sa", "CC-BY-NC-SA-4.0", "cc", r"cc by nc sa(?: \d\.\d)?", r"creativecommons\.org/licenses/by-nc-sa"),
-    ("cc-by-nc-nd", "CC-BY-NC-ND-4.0", "cc", r"cc by nc nd(?: \d\.\d)?", r"creativecommons\.org/licenses/by-nc-nd"),
+    ("cc-by", "CC-BY-4.0", "cc by", r"cc by(?: \d\.\d)?", r"creativecommons\.org/licenses/by/"),
+    ("cc-by-sa", "CC-BY-SA-4.0", "cc by", r"cc by sa(?: \d\.\d)?", r"creativecommons\.org/licenses/by-sa"),
+    ("cc-by-nd", "CC-BY-ND-4.0", "cc by", r"cc by nd(?: \d\.\d)?", r"creativecommons\.org/licenses/by-nd"),
+    ("cc-by-nc", "CC-BY-NC-4.0", "cc by", r"cc by nc(?: \d\.\d)?", r"creativecommons\.org/licenses/by-nc/"),
+    ("cc-by-nc-sa", "CC-BY-NC-SA-4.0", "cc by", r"cc by nc sa(?: \d\.\d)?", r"creativecommons\.org/licenses/by-nc-sa"),
+    ("cc-by-nc-nd", "CC-BY-NC-ND-4.0", "cc by", r"cc by nc nd(?: \d\.\d)?", r"creativecommons\.org/licenses/by-nc-nd"),
     ("cc-by", "CC-BY-3.0", "creative commons", r"creative commons attribution(?: licen[cs]e)?", r"creativecommons\.org/licenses/by/3"),
     ("cc-by-sa", "CC-BY-SA-3.0", "creative commons", r"creative commons attribution share ?alike", r"creativecommons\.org/licenses/by-sa/3"),
     ("cc-by-nc", "CC-BY-NC-3.0", "creative commons", r"creative commons attribution non ?commercial", r"creativecommons\.org/licenses/by-nc/3"),
@@ -96,30 +98,45 @@ NOTICES = (
     ("copyright", 1, "copyright", r"copyright (?:c )?(?:19|20)\d\d"),
 )
 CONFIDENCE = {1: 0.4, 2: 0.7, 3: 0.9, 4: 1.0}
-#: Selects texts in which any rule or base phrase can match.
-PREFILTER = (
-    r"(?i)licen[cs]|spdx|wtfpl|cc0|\bcc[^0-9a-z]+by|creative ?commons|copyright|all rights reserved|permission (?:is|to)|redistribution and use"
-    r"|free software|public domain|confidential|creativecommons\.org|gnu\.org|mozilla\.org|apache\.org|eclipse\.org"
-)
 
 
-def signature_rules() -> list[tuple[int, str, int, str, str]]:
-    """``(number, label, priority, keyword, regex)`` of every rule, in order."""
-    spaced = lambda p: p.replace(" ?", rf"(?:{_GAP})?").replace(" ", _GAP)
+def _bodies() -> list[tuple[str, int, str, str]]:
+    """``(label, priority, keyword, pattern)`` of every rule, in order; the keyword may have several words."""
     out = []
     for label, spdx, keyword, name, url in LICENSES:
         for priority, form in FORMS:
             own = spdx.lower().split("-")[0] if form.endswith(" ID") else url.split("\\")[0] if form == "URL" else keyword
             body = form.replace("NAME", name).replace("ID", spdx.replace(".", r"\.")).replace("URL", url)
-            out.append((label, priority, own.split(" ")[0], body))
-    out += [(label, priority, keyword.split(" ")[0], body) for label, priority, keyword, body in NOTICES]
-    return [(i, label, priority, keyword, f"(?i){_BEFORE}(?:{spaced(body)}){_AFTER}") for i, (label, priority, keyword, body) in enumerate(out)]
+            out.append((label, priority, own, body))
+    return out + [(label, priority, keyword, body) for label, priority, keyword, body in NOTICES]
+
+
+def signature_rules() -> list[tuple[int, str, int, str, str]]:
+    """``(number, label, priority, keyword, regex)`` of every rule, in order."""
+    spaced = lambda p: p.replace(" ?", rf"(?:{_GAP})?").replace(" ", _GAP)
+    first = lambda k: "|".join(x.split(" ")[0] for x in k.split("|"))
+    return [(i, label, priority, first(keyword), f"(?i){_BEFORE}(?:{spaced(body)}){_AFTER}") for i, (label, priority, keyword, body) in enumerate(_bodies())]
+
+
+def _prefilter() -> str:
+    """Selects the texts in which any rule can match: where "licen" is no must, by the rule's whole keyword, with any gap."""
+    needs = set()
+    for _, _, keyword, body in _bodies():
+        must = body
+        while (shorter := re.sub(r"\(\?:[^()]*\)\?", "", must)) != must:
+            must = shorter
+        if "licen" not in must:
+            needs.update(keyword.split("|"))
+    return rf"(?i)licen[cs]|{_BEFORE}(?:{'|'.join(sorted(_phrase(k) for k in needs))})"
 
 
 def _phrase(words: str) -> str:
     return _GAP.join(words.split(" "))
 
 
+PREFILTER = _prefilter()
+
+
 def scan_licenses(documents: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` of each row."""
     any_base = f"{_BEFORE}(?:{'|'.join(_phrase(p) for p, _ in BASE)}){_AFTER}"
@@ -132,7 +149,7 @@ def scan_licenses(documents: DataFrame) -> DataFrame:
     found = F.array_compact(F.array(*[F.when(F.col("text").rlike(f"(?i){_BEFORE}{_phrase(p)}{_AFTER}"), F.lit(label)) for p, label in BASE]))
     base = (
         docs.withColumn("n_words", words(F.col("text")))
-        .withColumn("n_base", F.when(F.col("_may"), F.regexp_count("text", F.lit(f"(?i){any_base}"))).otherwise(0).cast("long"))
+        .withColumn("n_base", F.regexp_count("text", F.lit(f"(?i){any_base}")).cast("long"))
         .select(
             F.col("doc_id"), F.col("_key"), F.col("n_words"), F.col("n_base"),
             F.when(some, words(before(".*?"))).alias("first_word"),
@@ -157,9 +174,9 @@ def detections(documents: DataFrame) -> DataFrame:
 
 
 def _survivors(docs: DataFrame) -> DataFrame:
-    rules = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(a).alias("label"), F.lit(p).alias("priority"), F.lit(k).alias("keyword"), F.lit(x).alias("regex")) for i, a, p, k, x in signature_rules()])
+    rules = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(a).alias("label"), F.lit(p).alias("priority"), F.array(*map(F.lit, k.split("|"))).alias("keywords"), F.lit(x).alias("regex")) for i, a, p, k, x in signature_rules()])
     low = docs.withColumn("_low", F.lower("text"))
-    tried = low.select("doc_id", "_key", "text", F.explode(F.filter(rules, lambda r: F.contains(F.col("_low"), r["keyword"]))).alias("r"))
+    tried = low.select("doc_id", "_key", "text", F.explode(F.filter(rules, lambda r: F.exists(r["keywords"], lambda k: F.contains(F.col("_low"), k)))).alias("r"))
     matched = tried.withColumn("_m", F.expr("regexp_extract_all(text, r.regex, 0)")).where("size(_m) > 0")
     places = matched.withColumn("_gap", F.slice(F.split("text", F.col("r.regex"), -1), F.lit(1), F.size("_m"))).select(
         "doc_id", "_key", "r.rule", "r.label", "r.priority",

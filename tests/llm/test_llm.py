@@ -238,6 +238,49 @@ def test_licenses(spark):
     assert [(s.start, s.end, s.priority) for s in spans] == [(0, 30, 4)]
 
 
+def test_every_license_rule_passes_prefilter_and_keyword():
+    from re import _parser
+
+    rng = random.Random(14)
+    python = lambda p: p.replace(r"\x{80}", r"\x80").replace(r"\x{10FFFF}", r"\U0010FFFF")
+
+    def sample(items):
+        out = ""
+        for op, value in items:
+            kind = str(op)
+            if kind == "LITERAL":
+                out += chr(value)
+            elif kind == "IN":
+                out += rng.choice(" \n_*-") if str(value[0][0]) == "NEGATE" else "1" if str(value[0][0]) == "CATEGORY" else chr(value[0][1] if str(value[0][0]) == "LITERAL" else value[0][1][0])
+            elif kind == "MAX_REPEAT":
+                out += "".join(sample(value[2]) for _ in range(rng.randint(value[0], min(value[1], value[0] + 1))))
+            elif kind == "SUBPATTERN":
+                out += sample(value[3])
+            elif kind == "BRANCH":
+                out += sample(rng.choice(value[1]))
+            elif kind == "ANY":
+                out += "x"
+            else:
+                assert kind == "ASSERT_NOT", kind
+        return out
+
+    prefilter = re.compile(python(license_scan.PREFILTER))
+    for number, label, _, keyword, regex in license_scan.signature_rules():
+        regex = python(regex)
+        for _ in range(20):
+            text = "_" + sample(_parser.parse(regex)) + "_"
+            assert re.search(regex, text), (number, label, text)
+            assert prefilter.search(text) and any(k in text.lower() for k in keyword.split("|")), (number, label, text)
+
+
+def test_licenses_between_marks_and_over_line_ends(spark):
+    texts = ["_CC BY-NC_ photo", "Redistribution and\nuse in source and binary forms", "All rights\nreserved", "free\nsoftware: you can redistribute it and/or modify it",
+             "placed in the public\ndomain", "see scripts.sil.org/OFL", "joinup.ec.europa.eu/x/eupl", "the Expat License"]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(table(spark, texts)).collect()}
+    assert (got[0].n_base, got[0].first_word, got[0].last_word, got[0].base_labels) == (1, 0, 0, "cc-by-nc")
+    assert [got[i].labels for i in range(1, 8)] == ["bsd", "proprietary", "gpl", "public-domain", "ofl", "eupl", "mit"]
+
+
 def test_url_filter(spark):
     link = '<link rel="canonical" href="{}">'
     pages = [
