@@ -6,8 +6,8 @@ residuals are fitted on at most TRAIN_BOUND vectors (those with the smallest has
 vector is then indexed: its list, its codes, itself. The index is dealt by hash into shards of about
 SHARD vectors, queries into blocks of about QUERY_BLOCK, and each task searches one shard with one
 block, so memory is bounded and no crowded list is hot. A query visits its nearest lists, ranks
-their members with a distance table over the codes, and the best RERANK x k are measured exactly
-on the original vectors in double precision. How many lists it visits is set on the sample, so that
+their members with a distance table over the codes, and the best RERANK x k, with all that tie with
+the last of them, are measured exactly on the original vectors in double precision. How many lists it visits is set on the sample, so that
 they hold COVERAGE of the true neighbours there.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors of
@@ -134,9 +134,11 @@ def _search(model, k: int):
         take = min(len(ids), k * RERANK)
         out = [], [], []
         for i in range(len(q)):
-            best = np.argpartition(-rough[i], take - 1)[:take]
-            best = best[np.isfinite(rough[i, best]) & (ids[best] != own[i])]
-            exact = x[best].astype(float) @ q[i].astype(float)
+            free = np.where(ids == own[i], -np.inf, rough[i])
+            least = -np.partition(-free, take - 1)[take - 1]
+            best = np.flatnonzero((free >= least) & np.isfinite(free))
+            # Summed row by row: equal vectors get equal scores whatever stands beside them.
+            exact = (x[best].astype(float) * q[i].astype(float)).sum(1)
             top = np.lexsort((ids[best], -exact))[:k]
             for c, v in zip(out, (np.full(len(top), own[i]), ids[best][top], exact[top])):
                 c.append(v)

@@ -340,6 +340,20 @@ def test_neighbours(spark):
     assert hits >= 0.9 * 400 and {r.query_id for r in got} == set(range(0, 800, 20))
 
 
+def test_neighbours_in_a_hot_group_of_copies(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 16)).astype(np.float32).astype(float)
+    hot = np.sort(rng.permutation(3000)[:1500])
+    x[hot] = 3 * x[hot[0]]
+    order = rng.permutation(3000)
+    rows = [(int(i), [float(v) for v in x[i]]) for i in order]
+    asked = [int(i) for i in hot[[0, 7, 700, 1499]]]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id").isin(asked), k=10).collect()
+    for q in asked:
+        own = sorted((r["rank"], r.vec_id) for r in got if r.query_id == q)
+        assert [i for _, i in own] == [int(i) for i in hot if i != q][:10], q
+
+
 @pytest.mark.parametrize("rows", ["odd", "empty"])
 def test_odd_and_empty_tables(spark, rows):
     docs = odd(spark) if rows == "odd" else odd(spark).limit(0)
