@@ -8,7 +8,8 @@ SHARD vectors, queries into blocks of about QUERY_BLOCK, and each task searches
 block, so memory is bounded and no crowded list is hot. A query visits its nearest lists, ranks
 their members with a distance table over the codes, and the best RERANK x k, with all that tie with
 the last of them, are measured exactly on the original vectors in double precision. How many lists it visits is set on the sample, so that
-they hold COVERAGE of the true neighbours there.
+they hold COVERAGE of the true neighbours there; a query whose lists hold fewer than k vectors of
+other vec_ids, over all shards, visits further ones.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors of
 another length than the most common one. Several rows of one vec_id are candidates each; a query
@@ -107,7 +108,7 @@ def _encode(model):
     return encode
 
 
-def _search(model, k: int):
+def _search(model, k: int, sizes: np.ndarray):
     def search(index: pa.Table, asked: pa.Table) -> pa.Table:
         m = model.value
         names = ["query_id", "vec_id", "score"]
@@ -120,7 +121,10 @@ def _search(model, k: int):
         wide = np.c_[q, np.zeros(len(q))].astype(np.float32)
         order = np.argsort(-_list_order(wide, m.centroids), 1)
         visits = np.zeros((len(q), len(m.centroids)), bool)
-        np.put_along_axis(visits, order[:, : m.probes], True, 1)
+        # Rows of the query's own vec_id do not count towards the k.
+        before = np.cumsum(sizes[order], 1) - sizes[order]
+        wanted = (np.arange(order.shape[1]) < m.probes) | (before < k + asked.column("copies").to_numpy()[:, None])
+        np.put_along_axis(visits, order, wanted, 1)
         tables = [wide[:, a:b] @ book.T for a, b, book in zip(m.edges, m.edges[1:], m.books)]
         coarse = wide @ m.centroids.T
         rough = np.full((len(q), len(ids)), -np.inf, np.float32)
@@ -171,9 +175,13 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     shards, blocks = -(-facts.n // SHARD), -(-facts.asked // QUERY_BLOCK)
     index = good.mapInArrow(_encode(model), "vec_id long, embedding array<double>, list int, codes binary")
     index = work.save(index.withColumn("shard", F.expr(f"cast(pmod(xxhash64(vec_id), {shards}) as int)")))
-    asked = good.where(queries).dropDuplicates(["vec_id"]).withColumn("block", F.expr(f"cast(pmod(xxhash64(vec_id, 1), {blocks}) as int)"))
+    sizes = np.zeros(len(model.value.centroids), np.int64)
+    for row in index.groupBy("list").count().collect():
+        sizes[row["list"]] = row["count"]
+    copies = good.groupBy("vec_id").agg(F.count("*").alias("copies"))
+    asked = good.where(queries).dropDuplicates(["vec_id"]).join(copies, "vec_id").withColumn("block", F.expr(f"cast(pmod(xxhash64(vec_id, 1), {blocks}) as int)"))
     left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(int(blocks - 1)))))
     right = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(int(shards - 1)))))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_search(model, k), "query_id long, vec_id long, score double")
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_search(model, k, sizes), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

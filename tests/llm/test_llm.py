@@ -354,6 +354,17 @@ def test_neighbours_in_a_hot_group_of_copies(spark):
         assert [i for _, i in own] == [int(i) for i in hot if i != q][:10], q
 
 
+def test_neighbours_visit_further_lists_until_k(spark, monkeypatch):
+    monkeypatch.setattr(ann, "COVERAGE", 0.0)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in rng.normal(size=8)]) for i in range(60)] + [(0, [float(v) for v in rng.normal(size=8)]) for _ in range(15)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for k, n in ((20, 20), (70, 59)):
+        got = ann.nearest(df, F.col("vec_id").isin(0, 1), k=k).collect()
+        assert sum(r.query_id == 0 for r in got) == n
+        assert sum(r.query_id == 1 for r in got) == min(k, 74)
+
+
 @pytest.mark.parametrize("rows", ["odd", "empty"])
 def test_odd_and_empty_tables(spark, rows):
     docs = odd(spark) if rows == "odd" else odd(spark).limit(0)
