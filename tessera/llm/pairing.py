@@ -7,7 +7,7 @@ copies edited from one original are often too unlike each other to link but all
 these are verified and merged into components, an exhaustive second pass emits only pairs that lie
 in different components, so a group of a million near copies costs a few pairs per member while no
 link between components is lost. Groups above BLOCK members are cut into blocks, and the second
-pass visits every pair of blocks.
+pass visits every pair of blocks that can hold members of different components.
 """
 
 from __future__ import annotations
@@ -55,6 +55,8 @@ def shared_signatures(index: DataFrame) -> DataFrame:
         .where("_lo < _hi and (_before is null or _before <> sid)")
         .drop("_lo", "_hi", "_before")
     )
+    if "left" not in index.columns:
+        found = found.withColumn("left", F.col("n"))
     along = Window.partitionBy("sid").orderBy(F.desc("left"), "sig")
     found = found.withColumn("reach", F.sum("size").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return found.withColumn("turn", F.row_number().over(along)).withColumn("before", F.coalesce(F.lag("sig").over(along), F.col("sid")))
@@ -68,6 +70,33 @@ def hub_pairs(shared: DataFrame, threshold: int) -> DataFrame:
     return met.select(F.least("sid", "hub.sid").alias("u"), F.greatest("sid", "hub.sid").alias("v"))
 
 
+def _own_cells(shared: DataFrame) -> DataFrame:
+    """Each row once, in its block of its group."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
+    rows = shared.withColumn("_n", blocks).withColumn("blk", F.expr("cast(pmod(xxhash64(sid), _n) as int)"))
+    return rows.withColumn("lo", F.col("blk")).withColumn("hi", F.col("blk"))
+
+
+def _all_cells(shared: DataFrame) -> DataFrame:
+    """Each row in every cell (pair of blocks) in which it can meet a row of another component.
+
+    A large group that is one component already is left out. In the others the members of the largest
+    component never meet each other: their blocks only pair with those of the other members, so a
+    group of one large component and a few more texts costs a row per member and a few copies of these.
+    """
+    small = shared.where(F.col("size") <= BLOCK).withColumn("blk", F.lit(0)).withColumn("lo", F.lit(0)).withColumn("hi", F.lit(0))
+    large = shared.where(F.col("size") > BLOCK)
+    parts = large.groupBy("sig", "comp").agg(F.count("*").alias("_c"))
+    facts = parts.groupBy("sig").agg(F.max_by("comp", F.struct("_c", "comp")).alias("_major"), F.max("_c").alias("_most"), F.sum("_c").alias("_all")).where("_most < _all")
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    rows = large.join(facts, "sig").withColumn("_m", blocks(F.col("_most"))).withColumn("_o", blocks(F.col("_all") - F.col("_most")))
+    mine = F.col("comp") == F.col("_major")
+    rows = rows.withColumn("blk", F.when(mine, F.expr("cast(pmod(xxhash64(sid), _m) as int) + _o")).otherwise(F.expr("cast(pmod(xxhash64(sid), _o) as int)")))
+    rows = rows.withColumn("_with", F.explode(F.sequence(F.lit(0), F.when(mine, F.col("_o")).otherwise(F.col("_o") + F.col("_m")) - 1)))
+    rows = rows.withColumn("lo", F.least("blk", "_with")).withColumn("hi", F.greatest("blk", "_with"))
+    return small.unionByName(rows.select(*small.columns))
+
+
 def candidate_pairs(shared: DataFrame, threshold: int, limit: int | None) -> DataFrame:
     """Distinct pairs ``u < v`` of texts in one group whose sizes and bounds allow ``threshold`` %.
 
@@ -76,15 +105,10 @@ def candidate_pairs(shared: DataFrame, threshold: int, limit: int | None) -> Dat
     With a column ``sketch`` (of ``parity``) pairs are left out whose sketches differ too much to link.
     ``limit`` pairs per member and those with hubs are emitted in the first passes, all of them with ``None``.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
-    rows = shared.withColumn("_n", blocks).withColumn("blk", F.expr("cast(pmod(xxhash64(sid), _n) as int)"))
-    if limit is None:
-        other = F.explode(F.expr("transform(sequence(0, _n - 1), j -> struct(least(blk, j) as lo, greatest(blk, j) as hi))"))
-        rows = rows.withColumn("_k", other)
-    else:
-        rows = rows.withColumn("_k", F.struct(F.col("blk").alias("lo"), F.col("blk").alias("hi")))
     sketched = ["sketch"] if "sketch" in shared.columns else []
-    rows = rows.select("sig", F.col("_k.lo").alias("lo"), F.col("_k.hi").alias("hi"), "n", "sid", "left", "comp", "blk", "before", *sketched)
+    columns = ["sig", "lo", "hi", "n", "sid", "left", "comp", "blk", "before", *sketched]
+    rows = _all_cells(shared) if limit is None else _own_cells(shared)
+    rows = rows.select(*columns)
     dealt = rows.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "n", "sid")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,6 +137,13 @@ def candidate_pairs(shared: DataFrame, threshold: int, limit: int | None) -> Dat
 
 def _pairs_of(x: dict[str, np.ndarray], threshold: int, limit: int | None) -> Iterator[pa.RecordBatch]:
     """Compare each row with the one ``d`` places before it, for growing ``d``, all rows at once."""
+    first = np.ones(len(x["sig"]), bool)
+    first[1:] = (x["sig"][1:] != x["sig"][:-1]) | (x["lo"][1:] != x["lo"][:-1]) | (x["hi"][1:] != x["hi"][:-1])
+    at = np.flatnonzero(first)
+    mixed = np.minimum.reduceat(x["comp"], at) < np.maximum.reduceat(x["comp"], at)
+    if not mixed.all():  # groups of one component have nothing to find
+        keep = np.repeat(mixed, np.diff(np.r_[at, len(first)]))
+        x = {k: v[keep] for k, v in x.items()}
     n, sid, comp, left, blk = (x[k].astype(np.int64) for k in ("n", "sid", "comp", "left", "blk"))
     cross = x["lo"] != x["hi"]
     alive = np.arange(len(n))

@@ -121,9 +121,16 @@ from o left join c using (node) left join v on v.c = c.c
 """,
     "op10_substring_dedup": rf"""
 with recursive l as (
-  select doc_id, unnest(range(len(string_split(text, chr(10))))) as par, unnest(string_split(text, chr(10))) as line from documents where text is not null),
-w as (select doc_id, par, regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') as w from l),
-q as (select doc_id, par, w, len(w) as words, array_to_string(w, ' ') as body from w where len(w) >= 25),
+  select doc_id, unnest(range(len(string_split(text, chr(10))))) as ln, unnest(string_split(text, chr(10))) as line from documents where text is not null),
+v as (select doc_id, ln, regexp_extract_all(translate(line, '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') as w from l),
+y as (select doc_id, ln, len(w) as n, unnest(range(1, len(w) + 1)) as i, unnest(w) as word from v where len(w) > 0),
+f as (select *, cast(cast('0x' || substr(hex(word), 1, 8) as bigint) as hugeint) as f from y),
+x as (select *, case when i < n then (f * 1812433253 + lead(f) over (partition by doc_id, ln order by i) * 1664525) % 2147483647 end as x from f),
+b as (select *, coalesce(i > 8 and n - i > 8 and x < min(x) over (partition by doc_id, ln order by i rows between 8 preceding and 1 preceding)
+  and x < min(x) over (partition by doc_id, ln order by i rows between 1 following and 8 following), false) as cut from x),
+k as (select *, coalesce(sum(cast(cut as int)) over (partition by doc_id, ln order by i rows between unbounded preceding and 1 preceding), 0) as k from b),
+g as (select doc_id, ln, k, count(*) as words, list(word order by i) as w from k group by 1, 2, 3),
+q as (select *, array_to_string(w, ' ') as body from (select *, row_number() over (partition by doc_id order by ln, k) - 1 as par from g) where words >= 5),
 t as (select body, row_number() over (order by body) as t, w from (select body, any_value(w) as w from q group by 1)),
 s as (select t, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) as g from t),
 n as (select t, count(*) as n from s group by 1),
@@ -133,9 +140,12 @@ r(t, node) as (select t, t from t union select r.t, e.v from r join e on e.u = r
 c as (select t, min(node) as c from r group by 1),
 p as (select q.*, row_number() over (partition by c.c order by q.doc_id, q.par) > 1 as gone from q join t on q.body = t.body join c on c.t = t.t),
 a as (select doc_id, count(*) as n_paragraphs, count(*) filter (gone) as n_removed, cast(coalesce(sum(words) filter (gone), 0) as bigint) as words_removed,
-  coalesce(string_agg(par, ',' order by par) filter (gone), '') as removed from p group by 1)
-select doc_id, coalesce(n_paragraphs, 0) as n_paragraphs, coalesce(n_removed, 0) as n_removed, coalesce(words_removed, 0) as words_removed, coalesce(removed, '') as removed
-from documents left join a using (doc_id)
+  coalesce(string_agg(par, ',' order by par) filter (gone), '') as removed from p group by 1),
+h as (select doc_id, words, par - row_number() over (partition by doc_id order by par) as run from p where gone),
+m as (select doc_id, count(*) as n_passages from (select doc_id from h group by doc_id, run having sum(words) >= 20) group by 1)
+select doc_id, coalesce(n_paragraphs, 0) as n_paragraphs, coalesce(n_removed, 0) as n_removed, coalesce(words_removed, 0) as words_removed, coalesce(n_passages, 0) as n_passages,
+  coalesce(removed, '') as removed
+from documents left join a using (doc_id) left join m using (doc_id)
 """,
     "op1_line_dedup": r"""
 with l as (select doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i, unnest(string_split(text, chr(10))) as line,

@@ -1,15 +1,24 @@
 """Substring deduplication of paragraphs by MinHash banding.
 
-A paragraph is a line with at least ``min_words`` words. Paragraphs with equal word sequences are one
-*text*, so copies are never paired. Each text gets ROWS x BANDS minimum hashes over its five-word
-shingles; texts that agree in all rows of a band collide, colliding ones are verified by exact
-Jaccard similarity (``100 * |intersection| >= threshold * |union|``), and components of verified
-pairs are clusters. At 75 % a pair is missed by all 14 bands with a probability of 0.0005. The first
-place of a cluster (smallest doc_id, then paragraph number) stays, the others are removed.
-
-Null and wordless texts have no paragraphs; rows with a null doc_id are left alone; rows that share a
-doc_id are one document. Shorter lines are kept as they are. Extra columns are ignored by the report
-and kept by ``remove_repeated_paragraphs``.
+A text is cut at line ends, and long lines are cut further where their content says so: a place
+between two words has a print, made from the first bytes of both, and where it is less than the
+prints of the REACH places on either side (all in the same line) a paragraph ends. A cut thus depends
+on 18 neighbouring words alone, so a passage spliced into the middle of other text is cut there as
+anywhere else, and its inner paragraphs are equal in all its places. A paragraph cut from a line has
+REACH + 1 words or more.
+
+Paragraphs with equal word sequences are one *text*, so copies are never paired. Each text gets
+ROWS x BANDS minimum hashes over its five-word shingles; texts that agree in all rows of a band
+collide, colliding ones are verified by exact Jaccard similarity
+(``100 * |intersection| >= threshold * |union|``), and components of verified pairs are clusters. At
+75 % a pair is missed by all bands with a probability of 0.003. The first place of a cluster
+(smallest doc_id, then paragraph number) stays, the others are removed. Removed paragraphs in a row
+with PASSAGE words or more in all are a *passage*.
+
+Null and wordless texts have no paragraphs; paragraphs of less than a shingle's five words take no
+part and stay; rows with a null doc_id are left alone; rows that share a doc_id are one document, and
+equal rows are treated alike. A text of any length is handled whole. Extra columns, whatever their
+names, are ignored by the report and kept by ``remove_repeated_paragraphs``.
 """
 
 from __future__ import annotations
@@ -22,132 +31,166 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ngram_join import _verify
-from .pairing import linked_components, parity, shared_signatures
-from .tokens import NOT_SPACE, U64, Words, lean, mix, slices, window_hashes
-from .workspace import Workspace
+from .pairing import linked_components, shared_signatures
+from .tokens import NOT_SPACE, U64, Words, lean, mix, sequence_ids, slices, window_hashes
+from .workspace import Workspace, fresh
 
-ROWS, BANDS = 3, 14
-MIN_WORDS, SHINGLE, THRESHOLD = 25, 5, 75
+ROWS, BANDS = 2, 7
+SHINGLE, THRESHOLD = 5, 75
+REACH, PASSAGE = 8, 20
 REMEMBERED = 1 << 18
+#: A print is (FIRST * left + SECOND * right) modulo PRIME, of the leading four bytes of both words.
+FIRST, SECOND, PRIME = 1812433253, 1664525, 2147483647
 _SEEDS = mix(np.arange(1, ROWS * BANDS + 1, dtype=U64) * U64(0x8CB92BA72F3D8DD7)) | U64(1)
 PLACES = "doc_id long, text_key long, par int, words int, sid long, sketch binary"
-_INDEX = "sig long, sid long, n int, left int"
-
-
-def _paragraphs(texts: list[str | None], min_words: int) -> tuple[list[int], list[int], Words, np.ndarray]:
-    """Row and number of each long enough paragraph, its words, and their hashes."""
-    row, number, body = [], [], []
-    for i, text in enumerate(texts):
-        for k, line in enumerate((text or "").split("\n")):
-            if len(line) >= 2 * min_words - 1:
-                row.append(i)
-                number.append(k)
-                body.append(line)
-    found = Words(pa.array(body, pa.string()), NOT_SPACE)
-    return row, number, found, found.hashes()
-
-
-def _sequence_ids(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Hash of each word sequence, from its word hashes and their places."""
-    place = np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))
-    total = np.r_[U64(0), np.cumsum(mix(hashes + place.astype(U64) * U64(0x9E3779B97F4A7C15)), dtype=U64)]
-    return mix(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(U64)).view(np.int64)
-
-
-def _places(min_words: int):
-    """Every paragraph; the sketch of a text comes with its first place in a task."""
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for whole in batches:
-            for batch in slices(whole):
-                row, number, found, hashes = _paragraphs(batch.column(2).to_pylist(), min_words)
-                words = np.diff(found.bounds)
-                keep = np.flatnonzero(words >= min_words)
-                at = pa.array(np.array(row, np.int64)[keep])
-                sids = _sequence_ids(hashes, found.bounds)[keep]
-                runs = window_hashes(hashes, SHINGLE)
-                sketches: list[bytes | None] = []
-                for sid, a, b in zip(sids.tolist(), found.bounds[keep].tolist(), found.bounds[keep + 1].tolist()):
-                    sketches.append(None if sid in seen else parity(np.unique(runs[a : max(a, b - SHINGLE + 1)])))
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen.add(sid)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.array(number, np.int32)[keep]), pa.array(words[keep].astype(np.int32)),
-                     pa.array(sids), pa.array(sketches, pa.binary())], names=["doc_id", "text_key", "par", "words", "sid", "sketch"])
-
-    return places
-
-
-def _bands(min_words: int):
-    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for whole in batches:
-            for batch in slices(whole):
-                _, _, found, hashes = _paragraphs(batch.column(2).to_pylist(), min_words)
-                runs = window_hashes(hashes, SHINGLE)
-                ids = _sequence_ids(hashes, found.bounds).tolist()
-                starts, ends, own = [], [], []
-                for sid, a, b in zip(ids, found.bounds.tolist(), found.bounds[1:].tolist()):
-                    if b - a < min_words or sid in seen:
-                        continue
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen.add(sid)
-                    starts.append(a)
-                    ends.append(b - SHINGLE + 1)
-                    own.append(sid)
-                if not own:
-                    continue
-                cuts = np.stack([starts, ends], 1).ravel()
-                lows = np.empty((len(_SEEDS), len(own)), U64)
-                padded = np.r_[runs, U64(0)]
-                for k, seed in enumerate(_SEEDS):
-                    scrambled = padded * seed
-                    lows[k] = np.minimum.reduceat(scrambled ^ (scrambled >> U64(31)), cuts)[::2]
-                sets = [np.unique(runs[a:b]) for a, b in zip(starts, ends)]
-                n = np.array([len(s) for s in sets], np.int32)
-                for band in range(BANDS):
-                    sig = np.full(len(own), U64(band + 1))
-                    for k in range(band * ROWS, band * ROWS + ROWS):
-                        sig = mix(sig * U64(0x9E3779B97F4A7C15) + lows[k])
-                    yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(own), pa.array(n), pa.array(n)], names=["sig", "sid", "n", "left"])
-
-    return bands
-
-
-def _bodies(min_words: int):
-    """The wanted paragraphs of the fetched documents."""
-
-    def bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole):
-                sids, out = [], []
-                for want, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    lines = [x for x in (text or "").split("\n") if len(x) >= 2 * min_words - 1]
-                    found = Words(pa.array(lines, pa.string()), NOT_SPACE)
-                    wanted = set(want)
-                    for sid, line in zip(_sequence_ids(found.hashes(), found.bounds).tolist(), lines):
-                        if sid in wanted:
-                            wanted.discard(sid)
-                            sids.append(sid)
-                            out.append(line)
-                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(out, pa.string())], names=["sid", "text"])
-
-    return bodies
-
-
-def repeated_paragraphs(documents: DataFrame, threshold: int = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
+_INDEX = "sig long, sid long, n int"
+
+
+def paragraph_starts(found: Words, reach: int = REACH) -> np.ndarray:
+    """Index of the first word of every paragraph."""
+    count = len(found.starts)
+    if not count:
+        return np.empty(0, np.int64)
+    lines = np.searchsorted(np.flatnonzero(found.data == 10), found.starts)
+    fresh_line = np.ones(count, bool)
+    fresh_line[1:] = lines[1:] != lines[:-1]
+    fresh_line[found.bounds[:-1][np.diff(found.bounds) > 0]] = True
+    lead = np.zeros(count, U64)
+    size = found.ends - found.starts
+    padded = np.r_[found.data, np.zeros(3, np.uint8)]
+    for j in range(4):
+        lead = np.where(size > j, (lead << U64(8)) | padded[found.starts + j], lead)
+    prints = np.zeros(count, U64)
+    prints[:-1] = (lead[:-1] * U64(FIRST) + lead[1:] * U64(SECOND)) % U64(PRIME)
+    first = np.flatnonzero(fresh_line)
+    length = np.diff(np.r_[first, count])
+    begin, end = np.repeat(first, length), np.repeat(first + length, length)
+    after = np.arange(1, count + 1)
+    cut = (after - begin > reach) & (end - after > reach)
+    for j in range(1, reach + 1):
+        less = prints[j:] < prints[:-j]
+        cut[j:] &= less
+        cut[:-j] &= prints[:-j] < prints[j:]
+    starts = fresh_line
+    starts[1:] |= cut[:-1]
+    return np.flatnonzero(starts)
+
+
+class _Cut:
+    """The paragraphs of a slice of texts: words, row, number in the text, and sequence id of each."""
+
+    def __init__(self, column: pa.Array):
+        self.found = Words(column, NOT_SPACE)
+        self.hashes = self.found.hashes()
+        starts = paragraph_starts(self.found)
+        self.bounds = np.r_[starts, len(self.hashes)]
+        self.row = np.searchsorted(self.found.bounds, starts, "right") - 1
+        first = np.r_[True, self.row[1:] != self.row[:-1]] if len(starts) else np.empty(0, bool)
+        at = np.arange(len(starts))
+        self.number = at - np.maximum.accumulate(np.where(first, at, 0)) if len(starts) else at
+        self.words = np.diff(self.bounds)
+        self.ids = sequence_ids(self.hashes, self.bounds)
+
+    def new(self, seen: set[int], least: int) -> np.ndarray:
+        """Paragraphs of ``least`` words or more, one of each text that is not in ``seen``, which they enter."""
+        where = np.flatnonzero(self.words >= least)
+        _, first = np.unique(self.ids[where], return_index=True)
+        where = where[np.sort(first)]
+        keep = np.array([i not in seen for i in self.ids[where].tolist()], bool)
+        if len(seen) >= REMEMBERED:
+            seen.clear()
+        where = where[keep]
+        seen.update(self.ids[where].tolist())
+        return where
+
+    def shingles(self, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct shingle hashes of the paragraphs ``where``, and the bounds of each one's."""
+        runs = window_hashes(self.hashes, SHINGLE)
+        count = self.words[where] - SHINGLE + 1
+        owner = np.repeat(np.arange(len(where)), count)
+        inner = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        every = runs[self.bounds[where][owner] + inner]
+        _, first = np.unique(mix(every + owner.astype(U64) * U64(0x9E3779B97F4A7C15)), return_index=True)
+        first = np.sort(first)
+        return every[first], np.searchsorted(owner[first], np.arange(len(where) + 1))
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every paragraph; the parity sketch of a text comes with its first place in a task."""
+    seen: set[int] = set()
+    for whole in batches:
+        for batch in slices(whole):
+            cut = _Cut(batch.column(2))
+            new = cut.new(seen, SHINGLE)
+            keep = np.flatnonzero(cut.words >= SHINGLE)
+            sketch = np.full(len(cut.words), None, object)
+            if len(new):
+                members, bounds = cut.shingles(new)
+                odd = np.bitwise_xor.reduceat(U64(1) << (members & U64(63)), bounds[:-1])
+                sketch[new] = [x.tobytes() for x in odd]
+            at = pa.array(cut.row[keep])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(cut.number[keep].astype(np.int32)), pa.array(cut.words[keep].astype(np.int32)),
+                 pa.array(cut.ids[keep]), pa.array(sketch[keep].tolist(), pa.binary())], names=["doc_id", "text_key", "par", "words", "sid", "sketch"])
+
+
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The band signatures of every text; a set of one or two shingles only links with equal ones and has one."""
+    seen: set[int] = set()
+    for whole in batches:
+        for batch in slices(whole):
+            cut = _Cut(batch.column(2))
+            new = cut.new(seen, SHINGLE)
+            if not len(new):
+                continue
+            members, bounds = cut.shingles(new)
+            n = np.diff(bounds).astype(np.int32)
+            ids, large = cut.ids[new], np.flatnonzero(n > 2)
+            out = [], [], []
+            for band in range(BANDS):
+                sig = np.full(len(new), U64(band + 1))
+                for seed in _SEEDS[band * ROWS : band * ROWS + ROWS]:
+                    scrambled = members * seed
+                    sig = mix(sig * U64(0x9E3779B97F4A7C15) + np.minimum.reduceat(scrambled ^ (scrambled >> U64(31)), bounds[:-1]))
+                take = large if band else slice(None)
+                for column, values in zip(out, (sig.view(np.int64)[take], ids[take], n[take])):
+                    column.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["sig", "sid", "n"])
+
+
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of the wanted paragraphs of the fetched documents, joined by spaces."""
+    for whole in batches:
+        for batch in slices(whole):
+            cut = _Cut(batch.column(1))
+            sids, out = [], []
+            bounds = np.searchsorted(cut.row, np.arange(batch.num_rows + 1))
+            for i, want in enumerate(batch.column(0).to_pylist()):
+                wanted, a = set(want), int(bounds[i])
+                for k, sid in enumerate(cut.ids[a : int(bounds[i + 1])].tolist(), a):
+                    if sid in wanted:
+                        wanted.discard(sid)
+                        first, last = int(cut.bounds[k]), int(cut.bounds[k + 1])
+                        sids.append(sid)
+                        out.append(cut.found.data[cut.found.starts[first] : cut.found.ends[last - 1]].tobytes().decode())
+            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(out, pa.string())], names=["sid", "text"])
+
+
+def _documents(documents: DataFrame) -> DataFrame:
+    body = F.col("text").cast("string")
+    return documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("text_key"), body.alias("text"))
+
+
+def repeated_paragraphs(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Every place of a paragraph: ``doc_id, text_key, par, words, cluster, removed``.
 
     ``cluster`` identifies the component, ``removed`` is true at all its places but the first.
     """
     spark = documents.sparkSession
     work = Workspace(spark, "substring-dedup")
-    docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    places = work.save(docs.mapInArrow(lean(_places(min_words)), PLACES))
-    shared = work.save(shared_signatures(docs.mapInArrow(lean(_bands(min_words)), _INDEX)))
+    docs = _documents(documents)
+    places = work.save(docs.mapInArrow(lean(_places), PLACES))
+    shared = work.save(shared_signatures(docs.mapInArrow(lean(_bands), _INDEX)))
     texts = places.groupBy("sid").agg(F.min(F.struct("doc_id", "text_key")).alias("at"))
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -155,7 +198,7 @@ def repeated_paragraphs(documents: DataFrame, threshold: int = THRESHOLD, min_wo
         wanted = pairs.select(F.col("u").alias("sid")).union(pairs.select("v")).distinct().join(texts, "sid")
         wanted = wanted.groupBy("at.doc_id", "at.text_key").agg(F.collect_list("sid").alias("want"))
         got = docs.join(wanted.hint("merge"), ["doc_id", "text_key"]).select("want", "text")
-        bodies = work.save(got.mapInArrow(lean(_bodies(min_words)), "sid long, text string").dropDuplicates(["sid"]))
+        bodies = work.save(got.mapInArrow(lean(_bodies), "sid long, text string").dropDuplicates(["sid"]))
         side = lambda k: bodies.select(F.col("sid").alias(k), F.col("text").alias(f"text_{k}"))
         beside = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v")
         out = work.save(beside.mapInArrow(lean(_verify(SHINGLE, threshold)), "u long, v long"))
@@ -165,34 +208,69 @@ def repeated_paragraphs(documents: DataFrame, threshold: int = THRESHOLD, min_wo
     sketches = places.where("sketch is not null").groupBy("sid").agg(F.first("sketch").alias("sketch"))
     roots = linked_components(shared, threshold, links, work, sketches)
     work.drop(shared)
-    named = places.drop("sketch").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("cluster", F.coalesce("root", "sid"))
+    named = places.drop("sketch").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("cluster", F.coalesce("root", "sid")).drop("root")
     place = F.struct("doc_id", "text_key", "par")
     heads = named.groupBy("cluster").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where("head <> tail").select("cluster", "head")
-    return named.join(heads, "cluster", "left").select(
+    # A table of its own: a cluster with many places is then a skewed side of a join, which can be split.
+    heads = work.save(heads)
+    return named.join(heads.hint("merge"), "cluster", "left").select(
         "doc_id", "text_key", "par", "words", "cluster", F.coalesce(place != F.col("head"), F.lit(False)).alias("removed")
     )
 
 
-def paragraph_report(documents: DataFrame, threshold: int = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id, n_paragraphs, n_removed, words_removed, removed`` (paragraph numbers) of each row."""
-    found = repeated_paragraphs(documents, threshold, min_words).distinct().groupBy(F.col("doc_id").alias("_id"), "text_key").agg(
-        F.count("*").alias("n"), F.count(F.when(F.col("removed"), 1)).alias("gone"), F.sum(F.when(F.col("removed"), F.col("words"))).alias("words"),
-        F.array_sort(F.collect_list(F.when(F.col("removed"), F.col("par")))).alias("removed"),
+def _passages(lost: str) -> F.Column:
+    """How many runs of neighbouring paragraphs in the sorted array ``lost(par, words)`` have PASSAGE words."""
+    start = F.expr("cast(struct(-2 as par, 0 as words, 0 as n) as struct<par:int,words:int,n:int>)")
+
+    def step(state, x):
+        goes_on = x["par"] == state["par"] + 1
+        words = F.when(goes_on, state["words"]).otherwise(0) + x["words"]
+        counted = (words >= PASSAGE) & ~(goes_on & (state["words"] >= PASSAGE))
+        return F.struct(x["par"].alias("par"), words.cast("int").alias("words"), (state["n"] + counted.cast("int")).alias("n"))
+
+    return F.aggregate(lost, start, step, lambda s: s["n"].cast("long"))
+
+
+def paragraph_report(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """``doc_id, n_paragraphs, n_removed, words_removed, n_passages, removed`` (paragraph numbers) of each row."""
+    gone = F.when(F.col("removed"), F.struct("par", "words"))
+    found = repeated_paragraphs(documents, threshold).distinct().groupBy(F.col("doc_id").alias("_id"), "text_key").agg(
+        F.count("*").alias("n"), F.array_sort(F.collect_list(gone)).alias("lost"),
     )
-    rows = documents.select("doc_id", F.xxhash64("text").alias("_key"))
+    rows = documents.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("_key"))
+    total = F.aggregate("lost", F.lit(0).cast("long"), lambda s, x: s + x["words"])
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return rows.join(found, (rows["doc_id"] == found["_id"]) & (rows["_key"] == found["text_key"]), "left").select(
-        "doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_paragraphs"), F.coalesce("gone", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("words", F.lit(0)).cast("long").alias("words_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"),
+        "doc_id", zero(F.col("n")).alias("n_paragraphs"), zero(F.when(F.col("lost").isNotNull(), F.size("lost"))).alias("n_removed"), zero(total).alias("words_removed"),
+        zero(_passages("lost")).alias("n_passages"), F.coalesce(F.array_join(F.transform("lost", lambda x: x["par"].cast("string")), ","), F.lit("")).alias("removed"),
     )
 
 
-def remove_repeated_paragraphs(documents: DataFrame, threshold: int = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
+def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without the listed paragraphs, each cut from its first word to the next paragraph's."""
+    for whole in batches:
+        for batch in slices(whole):
+            text, gone = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            dirty = [i for i, g in enumerate(gone) if g]
+            if dirty:
+                cut = _Cut(pa.array([text[i] for i in dirty], pa.string()))
+                bounds = np.searchsorted(cut.row, np.arange(len(dirty) + 1))
+                for k, i in enumerate(dirty):
+                    raw, lost = text[i].encode(), set(gone[i])
+                    begins = (cut.found.starts[cut.bounds[bounds[k] : bounds[k + 1]]] - cut.found.offs[k]).tolist()
+                    parts = [raw[: begins[0]], *(raw[a:b] for p, (a, b) in enumerate(zip(begins, [*begins[1:], len(raw)])) if p not in lost)]
+                    text[i] = b"".join(parts).decode()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], names=["kept", "text"])
+
+
+def remove_repeated_paragraphs(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``documents`` without the removed paragraphs; other columns stay as they are."""
-    gone = repeated_paragraphs(documents, threshold, min_words).where("removed").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_k")).agg(
-        F.collect_set("par").alias("_gone")
-    )
-    rows = documents.withColumn("_key", F.xxhash64("text"))
-    joined = rows.join(gone, (rows["doc_id"] == gone["_id"]) & (rows["_key"] == gone["_k"]), "left")
-    kept = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> not array_contains(_gone, i)), '\\n')")
-    new = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
-    return joined.select(*[new.alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns])
+    key, doc, other, pars = fresh(documents.columns, "key", "doc", "other", "pars")
+    gone = repeated_paragraphs(documents, threshold).where("removed").groupBy(F.col("doc_id").alias(doc), F.col("text_key").alias(other)).agg(F.collect_set("par").alias(pars))
+    rows = documents.withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    joined = rows.join(gone, (rows["doc_id"] == gone[doc]) & (rows[key] == gone[other]), "left")
+    rest = [c for c in documents.columns if c != "text"]
+    packed = joined.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("kept"), F.col("text").cast("string").alias("text"), F.col(pars).alias("gone"))
+    schema = packed.schema["kept"].dataType.simpleString()
+    out = packed.mapInArrow(lean(_drop), f"kept {schema}, text string")
+    return out.select(*[F.col("text") if c == "text" else F.col(f"kept.`{c}`") for c in documents.columns])

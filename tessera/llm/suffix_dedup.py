@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .substring_dedup import _sequence_ids
-from .tokens import NOT_SPACE, U64, Words, mix, slices, window_hashes
+from .tokens import NOT_SPACE, U64, Words, mix, sequence_ids, slices, window_hashes
 from .workspace import Workspace
 
 LENGTH, SEED = 50, 20
@@ -49,7 +48,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(whole):
             found = Words(batch.column(1), NOT_SPACE)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(_sequence_ids(found.hashes(), found.bounds)), pa.array(np.diff(found.bounds))], names=["doc_id", "sid", "words"])
+                [batch.column(0), pa.array(sequence_ids(found.hashes(), found.bounds)), pa.array(np.diff(found.bounds))], names=["doc_id", "sid", "words"])
 
 
 def _suffixes(length: int, seed: int):
@@ -61,7 +60,7 @@ def _suffixes(length: int, seed: int):
                 hashes = found.hashes()
                 runs = window_hashes(hashes, seed)
                 keys, ids, at = [], [], []
-                for sid, a, b in zip(_sequence_ids(hashes, found.bounds).tolist(), found.bounds.tolist(), found.bounds[1:].tolist()):
+                for sid, a, b in zip(sequence_ids(hashes, found.bounds).tolist(), found.bounds.tolist(), found.bounds[1:].tolist()):
                     if b - a < length or sid in seen:
                         continue
                     if len(seen) >= REMEMBERED:
@@ -92,7 +91,7 @@ def _contexts(length: int, seed: int):
             for batch in slices(whole, "text"):
                 found = Words(batch.column(2), NOT_SPACE)
                 hashes = found.hashes()
-                ids = _sequence_ids(hashes, found.bounds).tolist()
+                ids = sequence_ids(hashes, found.bounds).tolist()
                 short = (hashes >> U64(32)).astype(np.uint32)
                 out = [], [], [], [], [], [], []
                 for i, want in enumerate(batch.column(3).to_pylist()):

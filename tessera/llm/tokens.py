@@ -100,6 +100,13 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix(total)
 
 
+def sequence_ids(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Hash of each word sequence, from the hashes of all words and where each sequence begins and ends."""
+    place = np.arange(len(hashes)) - np.repeat(bounds[:-1], np.diff(bounds))
+    total = np.r_[U64(0), np.cumsum(mix(hashes + place.astype(U64) * U64(0x9E3779B97F4A7C15)), dtype=U64)]
+    return mix(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(U64)).view(np.int64)
+
+
 def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``work``, after which its worker, kept for later tasks, gives freed memory back to the system."""
 

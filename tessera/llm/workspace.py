@@ -33,6 +33,18 @@ def _remove_fallback() -> None:
         shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """``names``, each with so many underscores before it that no column in ``taken`` has that name."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while (name := f"_{name}") in used:
+            pass
+        used.add(name)
+        out.append(name)
+    return out
+
+
 #: Rows and bytes of one Arrow batch between the JVM and a Python worker; texts can be long.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 

@@ -169,12 +169,55 @@ def test_suffix_dedup_equals_marking_windows(spark):
         assert [got[i] for i in range(len(texts))] == want, hot
 
 
+def plain_paragraphs(text):
+    """Line by line, word by word: cut where the print is least among eight on either side."""
+    out = []
+    for line in (text or "").split("\n"):
+        words = re.findall(r"[^\x20\x09-\x0D]+", line.translate(A_TO_Z))
+        lead = [int.from_bytes(w.encode()[:4], "big") for w in words]
+        prints = [(a * 1812433253 + b * 1664525) % 2147483647 for a, b in zip(lead, lead[1:])]
+        at = 0
+        for i in range(8, len(words) - 9):
+            if all(prints[i] < prints[j] for j in range(i - 8, i + 9) if j != i):
+                out.append(words[at : i + 1])
+                at = i + 1
+        out += [words[at:]] if words else []
+    return out
+
+
 def test_paragraphs_equal_all_pairs(spark):
-    lines = corpus(random.Random(11), 80)
-    lines = [x for x in lines if len(x.split()) >= 25]
-    got = {r.doc_id: r.n_removed for r in substring_dedup.paragraph_report(table(spark, ["short line\n" + x for x in lines])).collect()}
-    roots, _ = plain_components(lines)
-    assert [got[i] for i in range(len(lines))] == [int(r != i) for i, r in enumerate(roots)]
+    rng = random.Random(11)
+    texts = [*corpus(rng, 70), "a " * 20, "a " * 30 + "\nb c", "", None, "one two three four", "one two three four"]
+    texts = [t if t is None or i % 3 else t.replace(" ", "\n", 2) for i, t in enumerate(texts)]
+    places = [(i, k, p) for i, t in enumerate(texts) for k, p in enumerate(plain_paragraphs(t)) if len(p) >= 5]
+    roots, _ = plain_components([" ".join(p) for _, _, p in places])
+    lost = {}
+    for root, at, (i, k, p) in zip(roots, range(len(places)), places):
+        if root != at:
+            lost.setdefault(i, []).append((k, len(p)))
+    docs = table(spark, texts).withColumn("_key", F.lit(1)).withColumn("removed", F.lit("x"))
+    got = {r.doc_id: r for r in substring_dedup.paragraph_report(docs).collect()}
+    assert [(got[i].n_removed, got[i].words_removed, got[i].removed) for i in range(len(texts))] == [
+        (len(x), sum(n for _, n in x), ",".join(str(k) for k, _ in x)) for x in (lost.get(i, []) for i in range(len(texts)))
+    ]
+    assert sum(len(x) for x in lost.values()) > 50
+    kept = substring_dedup.remove_repeated_paragraphs(docs)
+    assert kept.columns == docs.columns
+    for r in kept.collect():
+        gone = {k for k, _ in lost.get(r.doc_id, [])}
+        left = [w for k, p in enumerate(plain_paragraphs(texts[r.doc_id])) if k not in gone for w in p]
+        assert r.text is None if texts[r.doc_id] is None else r.text.translate(A_TO_Z).split() == left
+
+
+def test_passages_spliced_into_lines_are_found(spark):
+    rng = random.Random(21)
+    words = lambda k: ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 8))) for _ in range(k)]
+    passages = [words(rng.randint(55, 80)) for _ in range(40)]
+    holders = [" ".join(words(rng.randint(10, 60)) + passages[i % 40] + words(rng.randint(10, 60))) for i in range(80)]
+    clean = [" ".join(words(rng.randint(20, 200))) for _ in range(40)]
+    got = {r.doc_id: r for r in substring_dedup.paragraph_report(table(spark, holders + clean)).collect()}
+    assert sum(got[i].n_passages > 0 for i in range(40, 80)) >= 39
+    assert all(got[i].n_removed == 0 for i in [*range(40), *range(80, 120)])
 
 
 def test_decontamination_equals_plain_scan(spark):
