@@ -3,18 +3,26 @@
 Passages of ``length`` words or more that occur again are found at the word level. Of all suffixes
 only those at minimiser positions are kept: in every run of ``length - SEED + 1`` neighbouring
 SEED-word seeds the one with the least hash is selected, so each ``length``-word window holds a
-selected position, and the same one wherever the window occurs. Suffixes are sorted by their seed and
-the words after it; neighbours that share a seed are compared and extended to the left and right,
-within the ``length``-word windows around the seed. A window's first place (smallest doc_id, then
-position) stays; the words of all other places are removed. The result equals marking every window
-but the first of its content, and so does not depend on which positions are selected.
+selected position, and the same one wherever the window occurs. Suffixes that share their seed with
+another are sorted by their words; neighbours are compared, which gives the length of their common
+prefix, and each match is extended to the left and right: a window that begins ``k`` words before the
+seed is the same in two places if the suffixes have ``length - k`` words in common and the ``k``
+words before them are equal. A window's first place (smallest doc_id, then position) stays; the words
+of all other places are removed. The result equals marking every window but the first of its content,
+and so does not depend on which positions are selected.
+
+The suffixes of a seed are dealt into blocks of about BLOCK, each sorted and compared by one task, so
+no seed is gathered whole. A window that is the first in its block is then compared with those of the
+seed's other blocks by an aggregate over the windows' hashes, to which each block adds it once.
 
 Texts with equal word sequences are one *text*; the copies of a text that do not have its smallest
-doc_id are wholly removed if they have ``length`` words. Groups of more than HOT suffixes with one
-seed are not gathered: their windows are compared by a partial aggregate instead.
+doc_id are wholly removed if they have ``length`` words. Suffixes whose surroundings stood earlier in
+their own text are settled there and not indexed.
 
 Null and short texts lose nothing; rows with a null doc_id are left alone; rows that share a doc_id
-are one document. Extra columns are ignored. Words are lower-cased (A-Z) runs of non-space.
+are one document. Texts of any length are handled whole. Extra columns, whatever their names, are
+ignored. Words are lower-cased (A-Z) runs of non-space; around a seed they are compared by 32 bits of
+their hashes (the whole ``length`` of them must agree).
 """
 
 from __future__ import annotations
@@ -23,16 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import NOT_SPACE, U64, Words, mix, sequence_ids, slices, window_hashes
+from .tokens import NOT_SPACE, U64, Words, lean, mix, power_tables, sequence_ids, slices, window_hashes
 from .workspace import Workspace
 
 LENGTH, SEED = 50, 20
-#: Suffixes of one seed that a task sorts and compares at once.
-HOT = 50_000
+#: Expected suffixes of one seed that a task sorts and compares at once.
+BLOCK = 16_384
 REMEMBERED = 1 << 18
+_STEP = U64(0x9E3779B97F4A7C15)
 
 
 def selected(hashes: np.ndarray, run: int) -> np.ndarray:
@@ -52,6 +61,9 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _suffixes(length: int, seed: int):
+    """``seed, sid, pos`` of the suffixes of each text; with a null seed, a span ``pos`` to ``end`` that is lost."""
+    side = length - seed
+
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for whole in batches:
@@ -59,7 +71,7 @@ def _suffixes(length: int, seed: int):
                 found = Words(batch.column(1), NOT_SPACE)
                 hashes = found.hashes()
                 runs = window_hashes(hashes, seed)
-                keys, ids, at = [], [], []
+                keys, ids, at, spans = [], [], [], []
                 for sid, a, b in zip(sequence_ids(hashes, found.bounds).tolist(), found.bounds.tolist(), found.bounds[1:].tolist()):
                     if b - a < length or sid in seen:
                         continue
@@ -68,21 +80,44 @@ def _suffixes(length: int, seed: int):
                     seen.add(sid)
                     own = runs[a : b - seed + 1]
                     where = selected(own, length - seed + 1)
-                    keys.append(own[where])
+                    chosen = own[where]
+                    if len(np.unique(chosen)) < len(chosen):
+                        around: set[tuple] = set()
+                        fresh = []
+                        for p in where.tolist():
+                            lo, hi = max(0, p - side), min(b - a, p + length)
+                            key = p - lo, hashes[a + lo : a + hi].tobytes()
+                            if key in around:  # no window here is the first of its content
+                                spans.append((sid, lo, hi))
+                            else:
+                                around.add(key)
+                                fresh.append(p)
+                        where = np.array(fresh, np.int64)
+                        chosen = own[where]
+                    keys.append(chosen)
                     ids.append(np.full(len(where), sid))
                     at.append(where.astype(np.int32))
                 if keys:
+                    key, k = np.concatenate(keys).view(np.int64), len(spans)
+                    sid, lo, hi = (np.array([s[i] for s in spans], np.int64) for i in range(3))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(at))], names=["seed", "sid", "pos"])
+                        [pa.concat_arrays([pa.array(key), pa.nulls(k, pa.int64())]), pa.array(np.r_[np.concatenate(ids), sid]), pa.array(np.r_[np.concatenate(at), lo].astype(np.int32)),
+                         pa.concat_arrays([pa.nulls(len(key), pa.int32()), pa.array(hi.astype(np.int32))])], names=["seed", "sid", "pos", "end"])
 
     return suffixes
 
 
+_CONTEXT = "seed long, blk int, blocks int, doc_id long, sid long, pos int, before int, after int, suffix binary, prefix binary"
+_FIELDS = [c.split(" ")[0] for c in _CONTEXT.split(", ")]
+_FOUND = "sid long, start int, end int, doc_id long, print long"
+
+
 def _contexts(length: int, seed: int):
-    """For each wanted suffix the words of all windows around its seed, as 4-byte hashes.
+    """Each wanted suffix with the words of all windows around its seed, 4 bytes each.
 
-    A suffix whose surroundings stood earlier in its text gives a lost span instead: ``pos`` and
-    ``before`` are its start and end, and the other columns are null.
+    ``suffix`` starts at the seed, most significant byte first, so that bytes sort as words do;
+    ``prefix`` goes backwards from the word before. Both are filled up with zeros; ``after`` and
+    ``before`` count their words.
     """
     side = length - seed
 
@@ -91,112 +126,112 @@ def _contexts(length: int, seed: int):
             for batch in slices(whole, "text"):
                 found = Words(batch.column(2), NOT_SPACE)
                 hashes = found.hashes()
-                ids = sequence_ids(hashes, found.bounds).tolist()
-                short = (hashes >> U64(32)).astype(np.uint32)
-                out = [], [], [], [], [], [], []
-                for i, want in enumerate(batch.column(3).to_pylist()):
-                    if ids[i] != batch.column(1)[i].as_py():
-                        continue  # another row of this doc_id
-                    a, b = int(found.bounds[i]), int(found.bounds[i + 1])
-                    doc = batch.column(0)[i].as_py()
-                    seen: set[tuple] = set()
-                    for w in sorted(want, key=lambda w: w["pos"]):
-                        p = a + w["pos"]
-                        lo, hi = max(a, p - side), min(b, p + length)
-                        suffix, prefix = short[p:hi].byteswap().tobytes(), short[lo:p].tobytes()
-                        if (w["seed"], suffix, prefix) in seen:  # no window here is the first of its content
-                            row = None, doc, ids[i], lo - a, hi - a, None, None
-                        else:
-                            seen.add((w["seed"], suffix, prefix))
-                            row = w["seed"], doc, ids[i], w["pos"], p - lo, suffix, prefix
-                        for c, x in zip(out, row):
-                            c.append(x)
+                ids = sequence_ids(hashes, found.bounds)
+                short = np.r_[np.zeros(side, np.uint32), (hashes >> U64(32)).astype(np.uint32), np.zeros(length, np.uint32)]
+                mine = np.flatnonzero(ids == batch.column(1).to_numpy())  # others are further rows of this doc_id
+                wants = batch.column(3).take(pa.array(mine))
+                count = np.diff(wants.offsets.to_numpy())
+                if not len(mine) or not count.sum():
+                    continue
+                flat = wants.flatten()
+                key, pos, blocks = (flat.field(i).to_numpy() for i in range(3))
+                row = np.repeat(mine, count)
+                a, b = found.bounds[row], found.bounds[row + 1]
+                at = a + pos
+                after, before = np.minimum(b - at, length), np.minimum(at - a, side)
+                right = short[(at + side)[:, None] + np.arange(length)]
+                right[np.arange(length) >= after[:, None]] = 0
+                left = short[(at + side - 1)[:, None] - np.arange(side)]
+                left[np.arange(side) >= before[:, None]] = 0
+                fixed = lambda x, width: pa.Array.from_buffers(pa.binary(4 * width), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary())
+                block = (mix(ids[row].view(U64) + pos.astype(U64) * _STEP) % blocks.astype(U64)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), pa.array(out[4], pa.int32()),
-                     pa.array(out[5], pa.binary()), pa.array(out[6], pa.binary())], names=["seed", "doc_id", "sid", "pos", "before", "suffix", "prefix"])
+                    [pa.array(key), pa.array(block), pa.array(blocks), batch.column(0).take(pa.array(row)), pa.array(ids[row]), pa.array(pos),
+                     pa.array(before.astype(np.int32)), pa.array(after.astype(np.int32)), fixed(right.byteswap(), length), fixed(left, side)], names=_FIELDS)
 
     return contexts
 
 
-def _windows(x: dict, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Member, first word (in its text) and hash of every window around every member's seed."""
-    who, start, out = [], [], []
-    usual = max(map(len, x["suffix"])), max(x["before"])
-    whole = [i for i, (s, b) in enumerate(zip(x["suffix"], x["before"])) if (len(s), b) == usual and len(s) == 4 * length]
-    if whole:
-        right = np.frombuffer(b"".join(x["suffix"][i] for i in whole), np.uint32).byteswap().reshape(len(whole), -1)
-        left = np.frombuffer(b"".join(x["prefix"][i] for i in whole), np.uint32).reshape(len(whole), -1)
-        words = mix(np.c_[left, right].astype(U64))
-        count = usual[1] + 1
-        runs = window_hashes(words.ravel(), length)
-        at = np.arange(len(whole))[:, None] * words.shape[1] + np.arange(count)
-        who.append(np.repeat(np.array(whole), count))
-        start.append((np.array([x["pos"][i] for i in whole])[:, None] - usual[1] + np.arange(count)).ravel())
-        out.append(runs[at].ravel())
-    settled = set(whole)
-    for i, (suffix, prefix, pos, before) in enumerate(zip(x["suffix"], x["prefix"], x["pos"], x["before"])):
-        if i in settled:
-            continue
-        words = np.concatenate([np.frombuffer(prefix, np.uint32), np.frombuffer(suffix, np.uint32).byteswap()]).astype(U64)
-        hashes = window_hashes(mix(words), length)[: before + 1]
-        who.append(np.full(len(hashes), i))
-        start.append(pos - before + np.arange(len(hashes)))
-        out.append(hashes)
-    return np.concatenate(who), np.concatenate(start), np.concatenate(out)
-
-
-def _compare(length: int):
-    """Windows of one seed's suffixes, in suffix order: all but the first of each content are lost."""
-    names = ["seed", "doc_id", "sid", "pos", "before", "suffix", "prefix"]
-
-    def lost(x: dict) -> pa.RecordBatch:
-        who, start, hashes = _windows(x, length)
-        seed, doc, sid = (np.array(x[k], np.int64) for k in ("seed", "doc_id", "sid"))
-        order = np.lexsort((start, doc[who], hashes, seed[who]))
-        who, start, hashes = who[order], start[order], hashes[order]
-        fresh = np.ones(len(who), bool)
-        fresh[1:] = (hashes[1:] != hashes[:-1]) | (seed[who][1:] != seed[who][:-1])
-        head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
-        later = (doc[who] != doc[who[head]]) | (start != start[head])  # a window can stand around several seeds of its own
-        who, start = who[later], start[later]
-        order = np.lexsort((start, who))
-        who, start = who[order], start[order]
-        new = np.ones(len(who), bool)
-        new[1:] = (who[1:] != who[:-1]) | (start[1:] != start[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.r_[first[1:], len(who)] - 1 if len(first) else first
-        return pa.RecordBatch.from_arrays([pa.array(sid[who[first]]), pa.array(start[first].astype(np.int32)), pa.array((start[last] + length).astype(np.int32))], names=["sid", "start", "end"])
+def _words(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, width)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {k: [] for k in names}
-        for batch in batches:
-            for k in names:
-                held[k] += batch.column(names.index(k)).to_pylist()
-            last = held["seed"][-1] if held["seed"] else None
-            cut = len(held["seed"])
-            while cut and held["seed"][cut - 1] == last:
-                cut -= 1
-            if cut:
-                yield lost({k: x[:cut] for k, x in held.items()})
-                held = {k: x[cut:] for k, x in held.items()}
-        if held["seed"]:
-            yield lost(held)
-
-    return compare
 
+def _compare(length: int, seed: int):
+    """Of the suffixes of each seed and block, in suffix order: the windows that are not the first of their
+    content, joined to spans. Where a seed has several blocks, also each first window, with its print."""
+    side = length - seed
 
-def _hot_windows(length: int):
-    names = ["seed", "doc_id", "sid", "pos", "before", "suffix", "prefix"]
+    def windows(x: dict[str, np.ndarray]) -> pa.RecordBatch:
+        size = len(x["seed"])
+        group = np.cumsum(np.r_[True, (x["seed"][1:] != x["seed"][:-1]) | (x["blk"][1:] != x["blk"][:-1])])
+        # Neighbours in suffix order: how many words they have in common.
+        differ = x["suffix"][1:] != x["suffix"][:-1]
+        common = np.where(differ.any(1), differ.argmax(1), length)
+        common = np.r_[-1, np.where(group[1:] == group[:-1], np.minimum(common, np.minimum(x["after"][1:], x["after"][:-1])), -1)]
+        # Hash of the k words before the seed, for each k.
+        left = np.zeros((size, side + 1), U64)
+        for k in range(side):
+            left[:, k + 1] = mix(left[:, k] * _STEP + x["prefix"][:, k].astype(U64) + U64(1))
+        who, back, print_ = [], [], []
+        for k in range(side + 1):
+            # Suffixes in a row that have length - k words in common are of one class.
+            kind = np.cumsum(common < length - k)
+            own = np.flatnonzero((x["before"] >= k) & (x["after"] >= length - k))
+            who.append(own)
+            back.append(np.full(len(own), k))
+            print_.append(mix(left[own, k] + kind[own].astype(U64) * U64(0xD1B54A32D192ED03) + U64(k)))
+        who, back, print_ = np.concatenate(who), np.concatenate(back), np.concatenate(print_)
+        start = x["pos"][who] - back
+        order = np.lexsort((start, x["doc_id"][who], print_))
+        who, back, start, print_ = who[order], back[order], start[order], print_[order]
+        head = np.r_[True, print_[1:] != print_[:-1]] if len(who) else np.empty(0, bool)
+        first = np.flatnonzero(head)[np.cumsum(head) - 1] if len(who) else head
+        later = (x["doc_id"][who] != x["doc_id"][who[first]]) | (start != start[first])  # a window can stand around several seeds of its own
+        lost, at = who[later], start[later]
+        order = np.lexsort((at, lost))
+        lost, at = lost[order], at[order]
+        new = np.r_[True, (lost[1:] != lost[:-1]) | (at[1:] != at[:-1] + 1)] if len(lost) else np.empty(0, bool)
+        begin = np.flatnonzero(new)
+        last = np.r_[begin[1:], len(lost)] - 1 if len(begin) else begin
+        columns = [[x["sid"][lost[begin]]], [at[begin]], [at[last] + length]]
+        none = len(begin)
+        many = np.flatnonzero(head & (x["blocks"][who] > 1))
+        if len(many):
+            own, k = who[many], back[many]
+            # The whole window's hash, equal in every block: from its first word to its last.
+            every = np.concatenate([x["prefix"][:, ::-1], x["suffix"]], 1)
+            power, inverse = power_tables(side + length + 1)
+            sums = np.zeros((size, side + length + 1), U64)
+            np.cumsum((mix(every.astype(U64) + U64(1))) * power[: side + length], axis=1, out=sums[:, 1:])
+            whole = mix((sums[own, side - k + length] - sums[own, side - k]) * inverse[side - k] + x["seed"][own].view(U64))
+            for c, v in zip(columns, (x["sid"][own], start[many], start[many] + length)):
+                c.append(v)
+            doc, key = x["doc_id"][own], whole.view(np.int64)
+        else:
+            doc = key = np.empty(0, np.int64)
+        sid, begins, ends = (np.concatenate(c) for c in columns)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(sid), pa.array(begins.astype(np.int32)), pa.array(ends.astype(np.int32)),
+             pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(doc)]), pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(key)])], names=["sid", "start", "end", "doc_id", "print"])
 
-    def hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None
         for batch in batches:
-            if batch.num_rows:
-                x = {k: batch.column(i).to_pylist() for i, k in enumerate(names)}
-                who, start, hashes = _windows(x, length)
-                take = pa.array(who)
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(2).take(take), pa.array(start.astype(np.int32)), pa.array(hashes.view(np.int64))], names=["doc_id", "sid", "start", "hash"])
+            if not batch.num_rows:
+                continue
+            now = {k: batch.column(i).to_numpy() for i, k in enumerate(_FIELDS[:-2])}
+            now["suffix"], now["prefix"] = _words(batch.column(len(_FIELDS) - 2), length).byteswap(), _words(batch.column(len(_FIELDS) - 1), side)
+            if held is not None:
+                now = {k: np.concatenate([held[k], v]) for k, v in now.items()}
+            same = (now["seed"] == now["seed"][-1]) & (now["blk"] == now["blk"][-1])
+            cut = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1
+            if cut:
+                yield windows({k: v[:cut] for k, v in now.items()})
+            held = {k: v[cut:] for k, v in now.items()}
+        if held is not None:
+            yield windows(held)
 
-    return hot
+    return compare
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,39 +250,30 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind), pa.array(words, pa.int64())], names=["sid", "spans", "lost"])
 
 
-def repeated_passages(documents: DataFrame, length: int = LENGTH, seed: int = SEED, hot: int = HOT) -> DataFrame:
+def repeated_passages(documents: DataFrame, length: int = LENGTH, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_words, n_removed, spans`` of each row; spans are of words, end exclusive."""
     work = Workspace(documents.sparkSession, "suffix-dedup")
     every = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = every.where("doc_id is not null and text is not null")
-    texts = work.save(every.mapInArrow(_texts, "doc_id long, sid long, words long"))
+    texts = work.save(every.mapInArrow(lean(_texts), "doc_id long, sid long, words long"))
     heads = work.save(texts.where("doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("head")))
-    index = docs.mapInArrow(_suffixes(length, seed), "seed long, sid long, pos int")
-    by = Window.partitionBy("seed")
-    place = F.struct("sid", "pos")
-    shared = index.withColumn("low", F.min(place).over(by)).withColumn("high", F.max(place).over(by)).withColumn("size", F.count("*").over(by))
-    shared = work.save(shared.where("low <> high").select("seed", "sid", "pos", "size"))
-    wanted = shared.dropDuplicates(["seed", "sid", "pos"]).groupBy("sid").agg(F.collect_list(F.struct("seed", "pos")).alias("want")).join(heads, "sid")
+    index = work.save(docs.mapInArrow(lean(_suffixes(length, seed)), "seed long, sid long, pos int, end int"))
+    place = F.xxhash64("sid", "pos")
+    seeds = index.where("seed is not null").groupBy("seed").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("n")).where("low < high")
+    seeds = work.save(seeds.select("seed", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    shared = index.where("seed is not null").join(seeds.hint("merge"), "seed")
+    wanted = shared.groupBy("sid").agg(F.collect_set(F.struct("seed", "pos", "blocks")).alias("want")).join(heads, "sid")
     wanted = work.save(wanted.select(F.col("head").alias("doc_id"), "sid", "want"))
     fetched = docs.join(wanted.hint("merge"), "doc_id").select("doc_id", "sid", "text", "want")
-    contexts = fetched.mapInArrow(_contexts(length, seed), "seed long, doc_id long, sid long, pos int, before int, suffix binary, prefix binary")
-    contexts = work.save(contexts)
-    inside = contexts.where("suffix is null").select("sid", F.col("pos").alias("start"), F.col("before").alias("end"))
-    contexts = contexts.where("suffix is not null")
-    large = work.save(shared.where(F.col("size") > hot).select("seed").distinct())
-    if large.isEmpty():
-        usual, crowded = contexts, None
-    else:
-        usual, crowded = contexts.join(large, "seed", "left_anti"), contexts.join(large, "seed", "left_semi")
-    names = ["seed", "doc_id", "sid", "pos", "before", "suffix", "prefix"]
-    lost = usual.select(*names).repartition("seed").sortWithinPartitions("seed", "suffix", "doc_id", "pos").mapInArrow(_compare(length), "sid long, start int, end int")
-    lost = lost.union(inside)
-    if crowded is not None:
-        windows = work.save(crowded.select(*names).mapInArrow(_hot_windows(length), "doc_id long, sid long, start int, hash long"))
-        at = F.struct("doc_id", "start")
-        first = windows.groupBy("hash").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last")
-        lost = lost.union(windows.join(first, "hash").where(at != F.col("first")).select("sid", "start", (F.col("start") + length).alias("end")))
-    spans = lost.groupBy("sid").agg(F.collect_list(F.struct("start", "end")).alias("spans")).mapInArrow(
+    contexts = fetched.mapInArrow(lean(_contexts(length, seed)), _CONTEXT)
+    found = work.save(contexts.repartition("seed", "blk").sortWithinPartitions("seed", "blk", "suffix", "doc_id", "pos").mapInArrow(lean(_compare(length, seed)), _FOUND))
+    at = F.struct("doc_id", "start")
+    between = found.where("print is not null")
+    first = work.save(between.groupBy("print").agg(F.min(at).alias("low"), F.max(at).alias("high")).where("low <> high").select("print", "low"))
+    across = between.join(first.hint("merge"), "print").where(at != F.col("low"))
+    lost = found.where("print is null").select("sid", "start", "end").union(across.select("sid", "start", "end"))
+    lost = lost.union(index.where("seed is null").select("sid", F.col("pos").alias("start"), "end"))
+    spans = lost.groupBy("sid").agg(F.collect_set(F.struct("start", "end")).alias("spans")).mapInArrow(
         _merge, "sid long, spans array<struct<start:int,end:int>>, lost long"
     )
     spans = work.save(spans)

@@ -30,7 +30,7 @@ ALNUM = ((_all >= 48) & (_all <= 57)) | ((_all >= 97) & (_all <= 122)) | (_all >
 _powers: list[np.ndarray] = [np.empty(0, U64), np.empty(0, U64)]
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, _BASE_INVERSE)):
             steps = np.full(max(n, SLICE_BYTES + 1), U64(base))
@@ -80,7 +80,7 @@ class Words:
         self.bounds = np.searchsorted(self.starts, self.offs)
 
     def hashes(self) -> np.ndarray:
-        power, inverse = _power_tables(len(self.data) + 1)
+        power, inverse = power_tables(len(self.data) + 1)
         sums = np.zeros(len(self.data) + 1, U64)
         np.cumsum((self.data.astype(U64) + U64(1)) * power[: len(self.data)], out=sums[1:])
         return mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
