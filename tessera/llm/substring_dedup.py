@@ -191,11 +191,12 @@ def repeated_paragraphs(documents: DataFrame, threshold: int = THRESHOLD) -> Dat
     docs = _documents(documents)
     places = work.save(docs.mapInArrow(lean(_places), PLACES))
     shared = work.save(shared_signatures(docs.mapInArrow(lean(_bands), _INDEX)))
-    texts = places.groupBy("sid").agg(F.min(F.struct("doc_id", "text_key")).alias("at"))
+    place = F.struct("doc_id", "text_key", "par")
+    texts = work.save(places.groupBy("sid").agg(F.min(place).alias("at"), (F.min(place) < F.max(place)).alias("several"), F.first("sketch", ignorenulls=True).alias("sketch")))
 
     def links(pairs: DataFrame) -> DataFrame:
         pairs = work.save(pairs)
-        wanted = pairs.select(F.col("u").alias("sid")).union(pairs.select("v")).distinct().join(texts, "sid")
+        wanted = pairs.select(F.col("u").alias("sid")).union(pairs.select("v")).distinct().join(texts.select("sid", "at"), "sid")
         wanted = wanted.groupBy("at.doc_id", "at.text_key").agg(F.collect_list("sid").alias("want"))
         got = docs.join(wanted.hint("merge"), ["doc_id", "text_key"]).select("want", "text")
         bodies = work.save(got.mapInArrow(lean(_bodies), "sid long, text string").dropDuplicates(["sid"]))
@@ -205,14 +206,13 @@ def repeated_paragraphs(documents: DataFrame, threshold: int = THRESHOLD) -> Dat
         work.drop(pairs, bodies)
         return out
 
-    sketches = places.where("sketch is not null").groupBy("sid").agg(F.first("sketch").alias("sketch"))
-    roots = linked_components(shared, threshold, links, work, sketches)
+    roots = linked_components(shared, threshold, links, work, texts.select("sid", "sketch")).withColumnRenamed("node", "sid")
     work.drop(shared)
-    named = places.drop("sketch").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("cluster", F.coalesce("root", "sid")).drop("root")
-    place = F.struct("doc_id", "text_key", "par")
-    heads = named.groupBy("cluster").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where("head <> tail").select("cluster", "head")
+    clusters = texts.join(roots, "sid", "left").groupBy(F.coalesce("root", "sid").alias("cluster"))
+    heads = clusters.agg(F.min("at").alias("head"), (F.max("several") | (F.count("*") > 1)).alias("repeats")).where("repeats").select("cluster", "head")
     # A table of its own: a cluster with many places is then a skewed side of a join, which can be split.
     heads = work.save(heads)
+    named = places.drop("sketch").join(roots, "sid", "left").withColumn("cluster", F.coalesce("root", "sid")).drop("root")
     return named.join(heads.hint("merge"), "cluster", "left").select(
         "doc_id", "text_key", "par", "words", "cluster", F.coalesce(place != F.col("head"), F.lit(False)).alias("removed")
     )
@@ -233,10 +233,8 @@ def _passages(lost: str) -> F.Column:
 
 def paragraph_report(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``doc_id, n_paragraphs, n_removed, words_removed, n_passages, removed`` (paragraph numbers) of each row."""
-    gone = F.when(F.col("removed"), F.struct("par", "words"))
-    found = repeated_paragraphs(documents, threshold).distinct().groupBy(F.col("doc_id").alias("_id"), "text_key").agg(
-        F.count("*").alias("n"), F.array_sort(F.collect_list(gone)).alias("lost"),
-    )
+    found = repeated_paragraphs(documents, threshold).groupBy(F.col("doc_id").alias("_id"), "text_key").agg(F.collect_set(F.struct("par", "words", "removed")).alias("every"))
+    found = found.select("_id", "text_key", F.size("every").alias("n"), F.array_sort(F.filter("every", lambda x: x["removed"])).alias("lost"))
     rows = documents.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("_key"))
     total = F.aggregate("lost", F.lit(0).cast("long"), lambda s, x: s + x["words"])
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
