@@ -39,7 +39,7 @@ from .workspace import Workspace
 
 LENGTH, SEED = 50, 20
 #: Expected suffixes of one seed that a task sorts and compares at once.
-BLOCK = 16_384
+BLOCK = 2048
 REMEMBERED = 1 << 18
 _STEP = U64(0x9E3779B97F4A7C15)
 

@@ -164,7 +164,7 @@ def test_suffix_dedup_equals_marking_windows(spark):
             if first.setdefault(tuple(w[p : p + 50]), (i, p)) != (i, p):
                 lost.update(range(p, p + 50))
         want.append(len(lost))
-    for block in (16_384, 2):
+    for block in (2048, 2):
         got = {r.doc_id: r.n_removed for r in suffix_dedup.repeated_passages(docs, block=block).collect()}
         assert [got[i] for i in range(len(texts))] == want, block
 
