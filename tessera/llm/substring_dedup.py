@@ -30,7 +30,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ngram_join import _verify
 from .pairing import linked_components, shared_signatures
 from .tokens import NOT_SPACE, U64, Words, lean, mix, sequence_ids, slices, window_hashes
 from .workspace import Workspace, fresh
@@ -42,7 +41,7 @@ REMEMBERED = 1 << 18
 #: A print is (FIRST * left + SECOND * right) modulo PRIME, of the leading four bytes of both words.
 FIRST, SECOND, PRIME = 1812433253, 1664525, 2147483647
 _SEEDS = mix(np.arange(1, ROWS * BANDS + 1, dtype=U64) * U64(0x8CB92BA72F3D8DD7)) | U64(1)
-PLACES = "doc_id long, text_key long, par int, words int, sid long, sketch binary"
+PLACES = "doc_id long, text_key long, par int, words int, sid long"
 _INDEX = "sig long, sid long, n int"
 
 
@@ -116,22 +115,14 @@ class _Cut:
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every paragraph; the parity sketch of a text comes with its first place in a task."""
-    seen: set[int] = set()
     for whole in batches:
         for batch in slices(whole):
             cut = _Cut(batch.column(2))
-            new = cut.new(seen, SHINGLE)
             keep = np.flatnonzero(cut.words >= SHINGLE)
-            sketch = np.full(len(cut.words), None, object)
-            if len(new):
-                members, bounds = cut.shingles(new)
-                odd = np.bitwise_xor.reduceat(U64(1) << (members & U64(63)), bounds[:-1])
-                sketch[new] = [x.tobytes() for x in odd]
             at = pa.array(cut.row[keep])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(cut.number[keep].astype(np.int32)), pa.array(cut.words[keep].astype(np.int32)),
-                 pa.array(cut.ids[keep]), pa.array(sketch[keep].tolist(), pa.binary())], names=["doc_id", "text_key", "par", "words", "sid", "sketch"])
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(cut.number[keep].astype(np.int32)), pa.array(cut.words[keep].astype(np.int32)), pa.array(cut.ids[keep])],
+                names=["doc_id", "text_key", "par", "words", "sid"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,22 +149,39 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["sig", "sid", "n"])
 
 
-def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of the wanted paragraphs of the fetched documents, joined by spaces."""
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sorted shingles of the wanted paragraphs of the fetched documents, and their parity sketch."""
     for whole in batches:
         for batch in slices(whole):
             cut = _Cut(batch.column(1))
-            sids, out = [], []
             bounds = np.searchsorted(cut.row, np.arange(batch.num_rows + 1))
+            where = []
             for i, want in enumerate(batch.column(0).to_pylist()):
                 wanted, a = set(want), int(bounds[i])
                 for k, sid in enumerate(cut.ids[a : int(bounds[i + 1])].tolist(), a):
                     if sid in wanted:
                         wanted.discard(sid)
-                        first, last = int(cut.bounds[k]), int(cut.bounds[k + 1])
-                        sids.append(sid)
-                        out.append(cut.found.data[cut.found.starts[first] : cut.found.ends[last - 1]].tobytes().decode())
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(out, pa.string())], names=["sid", "text"])
+                        where.append(k)
+            if not where:
+                continue
+            where = np.array(where)
+            shingles, ends = cut.shingles(where)
+            odd = np.bitwise_xor.reduceat(U64(1) << (shingles & U64(63)), ends[:-1])
+            sets = [np.sort(shingles[a:b]).tobytes() for a, b in zip(ends.tolist(), ends[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(cut.ids[where]), pa.array(sets, pa.binary()), pa.array([x.tobytes() for x in odd], pa.binary())], names=["sid", "members", "sketch"])
+
+
+def _alike(threshold: int):
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                a, b = np.frombuffer(x, U64), np.frombuffer(y, U64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(100 * both >= threshold * (len(a) + len(b) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return alike
 
 
 def _documents(documents: DataFrame) -> DataFrame:
@@ -192,29 +200,25 @@ def repeated_paragraphs(documents: DataFrame, threshold: int = THRESHOLD) -> Dat
     places = work.save(docs.mapInArrow(lean(_places), PLACES))
     shared = work.save(shared_signatures(docs.mapInArrow(lean(_bands), _INDEX)))
     place = F.struct("doc_id", "text_key", "par")
-    texts = work.save(places.groupBy("sid").agg(F.min(place).alias("at"), (F.min(place) < F.max(place)).alias("several"), F.first("sketch", ignorenulls=True).alias("sketch")))
+    texts = work.save(places.groupBy("sid").agg(F.min(place).alias("at"), (F.min(place) < F.max(place)).alias("several")))
+    wanted = shared.select("sid").distinct().join(texts, "sid").groupBy("at.doc_id", "at.text_key").agg(F.collect_list("sid").alias("want"))
+    fetched = docs.join(wanted.hint("merge"), ["doc_id", "text_key"]).select("want", "text")
+    members = work.save(fetched.mapInArrow(lean(_members), "sid long, members binary, sketch binary").dropDuplicates(["sid"]))
 
     def links(pairs: DataFrame) -> DataFrame:
-        pairs = work.save(pairs)
-        wanted = pairs.select(F.col("u").alias("sid")).union(pairs.select("v")).distinct().join(texts.select("sid", "at"), "sid")
-        wanted = wanted.groupBy("at.doc_id", "at.text_key").agg(F.collect_list("sid").alias("want"))
-        got = docs.join(wanted.hint("merge"), ["doc_id", "text_key"]).select("want", "text")
-        bodies = work.save(got.mapInArrow(lean(_bodies), "sid long, text string").dropDuplicates(["sid"]))
-        side = lambda k: bodies.select(F.col("sid").alias(k), F.col("text").alias(f"text_{k}"))
-        beside = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v")
-        out = work.save(beside.mapInArrow(lean(_verify(SHINGLE, threshold)), "u long, v long"))
-        work.drop(pairs, bodies)
-        return out
-
-    roots = linked_components(shared, threshold, links, work, texts.select("sid", "sketch")).withColumnRenamed("node", "sid")
-    work.drop(shared)
-    clusters = texts.join(roots, "sid", "left").groupBy(F.coalesce("root", "sid").alias("cluster"))
-    heads = clusters.agg(F.min("at").alias("head"), (F.max("several") | (F.count("*") > 1)).alias("repeats")).where("repeats").select("cluster", "head")
-    # A table of its own: a cluster with many places is then a skewed side of a join, which can be split.
-    heads = work.save(heads)
-    named = places.drop("sketch").join(roots, "sid", "left").withColumn("cluster", F.coalesce("root", "sid")).drop("root")
-    return named.join(heads.hint("merge"), "cluster", "left").select(
-        "doc_id", "text_key", "par", "words", "cluster", F.coalesce(place != F.col("head"), F.lit(False)).alias("removed")
+        side = lambda k: members.select(F.col("sid").alias(k), F.col("members").alias(f"members_{k}"))
+        beside = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "members_u", "members_v")
+        return work.save(beside.mapInArrow(lean(_alike(threshold)), "u long, v long"))
+
+    roots = linked_components(shared, threshold, links, work, members.select("sid", "sketch")).withColumnRenamed("node", "sid")
+    work.drop(shared, members)
+    grouped = texts.join(roots, "sid", "left").withColumn("cluster", F.coalesce("root", "sid"))
+    heads = grouped.groupBy("cluster").agg(F.min("at").alias("head"), (F.max("several") | (F.count("*") > 1)).alias("repeats")).where("repeats")
+    # A table of its own: a text with many places is then a skewed side of a join, which can be split.
+    judged = work.save(grouped.join(heads, "cluster").select("sid", "cluster", "head"))
+    work.drop(texts)
+    return places.join(judged.hint("merge"), "sid", "left").select(
+        "doc_id", "text_key", "par", "words", F.coalesce("cluster", "sid").alias("cluster"), F.coalesce(place != F.col("head"), F.lit(False)).alias("removed")
     )
 
 
