@@ -59,6 +59,9 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Workspace:
     """Names, writes, rereads and drops the intermediate tables of one operator run."""
 
@@ -72,7 +75,12 @@ class Workspace:
         """Write ``df`` once and return the written table (same schema, no inference job)."""
         self._count += 1
         path = f"{self.root}/t{self._count}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")  # nothing reads this job's shuffles once its table is written
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._workspace_path = path
         return out
