@@ -3,17 +3,20 @@
 Vectors get one more component, ``sqrt(M^2 - |x|^2)`` with M the largest norm, so that the nearest
 by Euclidean distance are the largest by inner product. Coarse centroids and the codebooks of the
 residuals are fitted on at most TRAIN_BOUND vectors (those with the smallest hash of vec_id); every
-vector is then indexed: its list, its codes, itself. The index is dealt by hash into shards of about
-SHARD vectors, queries into blocks of about QUERY_BLOCK, and each task searches one shard with one
-block, so memory is bounded and no crowded list is hot. A query visits its nearest lists, ranks
-their members with a distance table over the codes, and the best RERANK x k, with all that tie with
-the last of them, are measured exactly on the original vectors in double precision. How many lists it visits is set on the sample, so that
-they hold COVERAGE of the true neighbours there; a query whose lists hold fewer than k vectors of
-other vec_ids, over all shards, visits further ones.
+vector is then indexed: its list, its codes, itself. Lists make up shards of about SHARD vectors:
+small neighbouring ones share a shard, a crowded one is dealt by hash over several. A query goes to
+the shards of the lists that it visits and to no others; where more than CELL queries meet in a
+shard, it is searched by several tasks. A query ranks the members of its lists with a distance table
+over the codes, and the best RERANK x k, with all that tie with the last of them, are measured
+exactly on the original vectors in double precision. How many lists it visits is set on the sample,
+so that they hold COVERAGE of the true neighbours there; a query whose lists hold fewer than k
+vectors of other vec_ids, over all shards, visits further ones.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do vectors of
-another length than the most common one. Several rows of one vec_id are candidates each; a query
-never finds its own vec_id and is asked once. Ties go to the smaller vec_id. Extra columns are ignored.
+another length than the most common one (the shorter, if two are). Several rows of one vec_id are
+candidates each; a query never finds its own vec_id and is asked once, with the least of its vectors.
+Ties go to the smaller vec_id. Extra columns, whatever their names, are ignored; an empty table or
+no query gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ from pyspark.sql import functions as F
 from .workspace import Workspace
 
 TRAIN_BOUND = 10_000
-SHARD, QUERY_BLOCK = 16_384, 1024
+#: Most lists; vectors of a shard, queries that a task meets in one, and those of them searched at once.
+LISTS, SHARD, CELL, CHUNK = 1024, 16_384, 4096, 256
 COVERAGE, RERANK = 0.985, 40
 PARTS, CODES = 16, 256
 
@@ -58,14 +62,20 @@ def _extend(x: np.ndarray, most: float) -> np.ndarray:
     return np.c_[x, rest].astype(np.float32)
 
 
+def _direction(x: np.ndarray) -> np.ndarray:
+    """Along which the points differ most."""
+    return np.linalg.svd(x - x.mean(0), full_matrices=False)[2][0]
+
+
 def _nearest_list(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.argmax(x @ centroids.T - 0.5 * (centroids**2).sum(1), 1)
 
 
-def fit(sample: np.ndarray, most: float, k: int) -> AnnModel:
+def fit(sample: np.ndarray, most: float, k: int, total: int) -> AnnModel:
     rng = np.random.default_rng(7)
     x = _extend(sample, most)
-    centroids = _k_means(x, int(max(1, min(256, len(x) ** 0.5))), 8, rng)
+    centroids = _k_means(x, int(max(1, min(LISTS, total**0.5, len(x) ** 0.5 * 2))), 8, rng)
+    centroids = centroids[np.argsort(centroids @ _direction(centroids), kind="stable")]  # neighbours in a row
     home = _nearest_list(x, centroids)
     residual = x - centroids[home]
     edges = np.unique(np.linspace(0, x.shape[1], min(PARTS, x.shape[1]) + 1).astype(int))
@@ -108,44 +118,91 @@ def _encode(model):
     return encode
 
 
+def shard_plan(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First shard of each list, and how many it has of its own (1 if it may share it)."""
+    first, count = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64)
+    now, held = 0, 0
+    for j, size in enumerate(sizes.tolist()):
+        if held and held + size > SHARD:
+            now, held = now + 1, 0
+        first[j], count[j] = now, max(1, -(-size // SHARD))
+        if count[j] > 1:
+            now, held = now + int(count[j]), 0
+        else:
+            held += size
+    return first, count
+
+
+def _visits(m: AnnModel, wide: np.ndarray, copies: np.ndarray, k: int, sizes: np.ndarray) -> np.ndarray:
+    """Which lists each query visits."""
+    order = np.argsort(-_list_order(wide, m.centroids), 1)
+    visits = np.zeros((len(wide), len(m.centroids)), bool)
+    # Rows of the query's own vec_id do not count towards the k.
+    before = np.cumsum(sizes[order], 1) - sizes[order]
+    wanted = (np.arange(order.shape[1]) < m.probes) | (before < k + copies[:, None])
+    np.put_along_axis(visits, order, wanted, 1)
+    return visits & (sizes > 0)
+
+
+def _wide(x: np.ndarray) -> np.ndarray:
+    return np.c_[x, np.zeros(len(x))].astype(np.float32)
+
+
+def _route(model, k: int, sizes: np.ndarray, first: np.ndarray, count: np.ndarray):
+    """Each query once for every shard that it visits."""
+    shards = int((first + count).max())
+
+    def route(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            visits = _visits(model.value, _wide(_matrix(batch.column(1))), batch.column(2).to_numpy(), k, sizes)
+            to = np.zeros((len(visits), shards), bool)
+            for j in np.flatnonzero(visits.any(0)).tolist():
+                to[:, first[j] : first[j] + count[j]] |= visits[:, j : j + 1]
+            who, shard = np.nonzero(to)
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), *(c.take(pa.array(who)) for c in batch.columns)], names=["shard", "vec_id", "embedding", "copies"])
+
+    return route
+
+
 def _search(model, k: int, sizes: np.ndarray):
+    names = ["query_id", "vec_id", "score"]
+
     def search(index: pa.Table, asked: pa.Table) -> pa.Table:
-        m = model.value
-        names = ["query_id", "vec_id", "score"]
         if not index.num_rows or not asked.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
-        ids, own = index.column("vec_id").to_numpy(), asked.column("vec_id").to_numpy()
-        x, q = _matrix(index.column("embedding")), _matrix(asked.column("embedding"))
-        home = index.column("list").to_numpy()
+        m = model.value
+        ids, x = index.column("vec_id").to_numpy(), _matrix(index.column("embedding"))
         codes = np.frombuffer(b"".join(index.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
-        wide = np.c_[q, np.zeros(len(q))].astype(np.float32)
-        order = np.argsort(-_list_order(wide, m.centroids), 1)
-        visits = np.zeros((len(q), len(m.centroids)), bool)
-        # Rows of the query's own vec_id do not count towards the k.
-        before = np.cumsum(sizes[order], 1) - sizes[order]
-        wanted = (np.arange(order.shape[1]) < m.probes) | (before < k + asked.column("copies").to_numpy()[:, None])
-        np.put_along_axis(visits, order, wanted, 1)
-        tables = [wide[:, a:b] @ book.T for a, b, book in zip(m.edges, m.edges[1:], m.books)]
-        coarse = wide @ m.centroids.T
-        rough = np.full((len(q), len(ids)), -np.inf, np.float32)
-        for j in np.unique(home):
-            rows, who = np.flatnonzero(home == j), np.flatnonzero(visits[:, j])
-            if len(who):
-                part = np.repeat(coarse[who, j][:, None], len(rows), 1)
-                for p, table in enumerate(tables):
-                    part += table[np.ix_(who, codes[rows, p])]
-                rough[np.ix_(who, rows)] = part
+        home = index.column("list").to_numpy()
+        lists = [(j, np.flatnonzero(home == j)) for j in np.unique(home).tolist()]
         take = min(len(ids), k * RERANK)
         out = [], [], []
-        for i in range(len(q)):
-            free = np.where(ids == own[i], -np.inf, rough[i])
-            least = -np.partition(-free, take - 1)[take - 1]
-            best = np.flatnonzero((free >= least) & np.isfinite(free))
-            # Summed row by row: equal vectors get equal scores whatever stands beside them.
-            exact = (x[best].astype(float) * q[i].astype(float)).sum(1)
-            top = np.lexsort((ids[best], -exact))[:k]
-            for c, v in zip(out, (np.full(len(top), own[i]), ids[best][top], exact[top])):
-                c.append(v)
+        for at in range(0, asked.num_rows, CHUNK):
+            some = asked.slice(at, CHUNK)
+            own, q = some.column("vec_id").to_numpy(), _matrix(some.column("embedding"))
+            wide = _wide(q)
+            visits = _visits(m, wide, some.column("copies").to_numpy(), k, sizes)
+            tables = [wide[:, a:b] @ book.T for a, b, book in zip(m.edges, m.edges[1:], m.books)]
+            coarse = wide @ m.centroids.T
+            rough = np.full((len(q), len(ids)), -np.inf, np.float32)
+            for j, rows in lists:
+                who = np.flatnonzero(visits[:, j])
+                if len(who):
+                    part = np.repeat(coarse[who, j][:, None], len(rows), 1)
+                    for p, table in enumerate(tables):
+                        part += table[np.ix_(who, codes[rows, p])]
+                    rough[np.ix_(who, rows)] = part
+            for i in range(len(q)):
+                free = np.where(ids == own[i], -np.inf, rough[i])
+                least = -np.partition(-free, take - 1)[take - 1]
+                best = np.flatnonzero((free >= least) & np.isfinite(free))
+                # Summed row by row: equal vectors get equal scores whatever stands beside them.
+                exact = (x[best].astype(float) * q[i].astype(float)).sum(1)
+                top = np.lexsort((ids[best], -exact))[:k]
+                for c, v in zip(out, (np.full(len(top), own[i]), ids[best][top], exact[top])):
+                    c.append(v)
         return pa.table([pa.array(np.concatenate(c)) for c in out], names=names)
 
     return search
@@ -171,17 +228,21 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     if not facts.n or not facts.asked:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRAIN_BOUND).select("embedding").toArrow()
-    model = spark.sparkContext.broadcast(fit(_matrix(sample.column(0)).astype(np.float32), facts.most, k))
-    shards, blocks = -(-facts.n // SHARD), -(-facts.asked // QUERY_BLOCK)
-    index = good.mapInArrow(_encode(model), "vec_id long, embedding array<double>, list int, codes binary")
-    index = work.save(index.withColumn("shard", F.expr(f"cast(pmod(xxhash64(vec_id), {shards}) as int)")))
+    model = spark.sparkContext.broadcast(fit(_matrix(sample.column(0)).astype(np.float32), facts.most, k, facts.n))
+    index = work.save(good.mapInArrow(_encode(model), "vec_id long, embedding array<double>, list int, codes binary"))
     sizes = np.zeros(len(model.value.centroids), np.int64)
-    for row in index.groupBy("list").count().collect():
+    for row in index.groupBy("list").count().collect():  # at most LISTS rows
         sizes[row["list"]] = row["count"]
+    first, count = shard_plan(sizes)
+    of_list = lambda values: F.get(F.array(*[F.lit(int(v)) for v in values]), F.col("list"))
+    index = index.withColumn("shard", (of_list(first) + F.pmod(F.xxhash64("vec_id"), of_list(count))).cast("int"))
     copies = good.groupBy("vec_id").agg(F.count("*").alias("copies"))
-    asked = good.where(queries).dropDuplicates(["vec_id"]).join(copies, "vec_id").withColumn("block", F.expr(f"cast(pmod(xxhash64(vec_id, 1), {blocks}) as int)"))
-    left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(int(blocks - 1)))))
-    right = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(int(shards - 1)))))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_search(model, k, sizes), "query_id long, vec_id long, score double")
+    asked = good.where(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).join(copies, "vec_id").select("vec_id", "embedding", "copies")
+    routed = work.save(asked.mapInArrow(_route(model, k, sizes, first, count), "shard int, vec_id long, embedding array<double>, copies long"))
+    cells = work.save(routed.groupBy("shard").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells")))
+    left = index.join(cells, "shard").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).drop("cells")
+    again = cells.select("shard", F.col("cells").alias("among"))
+    right = routed.join(again, "shard").withColumn("cell", F.expr("cast(pmod(xxhash64(vec_id, 1), among) as int)")).drop("among")
+    found = left.groupBy("shard", "cell").cogroup(right.groupBy("shard", "cell")).applyInArrow(_search(model, k, sizes), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
