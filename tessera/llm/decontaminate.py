@@ -2,16 +2,20 @@
 
 A window is 8 consecutive words of a test item; an item of fewer words, but not none, is one window.
 Windows are looked up by 64-bit hash and each hit is verified word by word. The test set is
-broadcast in parts of at most PART_WORDS words; every further part is one more narrow pass over the
-same rows, so a large test set costs passes, never a shuffle of the corpus or an unbounded broadcast.
-
-Null or wordless texts and items have no windows. Items with a null item_id are left out. Rows
-repeat as in the input; further columns are ignored.
+broadcast in parts of about PART_WORDS words, held as arrays of some 30 bytes a window; every further
+part is one more narrow pass over the rows that the pass before has written, so a worker holds one
+part at a time and a large test set costs passes, never a shuffle of the corpus or an unbounded
+broadcast.
+
+Null or wordless texts and items have no windows, and an empty test set changes nothing. Items with
+a null item_id are left out; items of equal id are one. Texts of any length are scanned whole. Rows
+repeat as in the input; further columns may have any names and stay as they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import ALNUM, U64, Words, lean, slices, window_hashes
-from .workspace import bound_batches
+from .workspace import Workspace
 
 WINDOW = 8
 #: Words of test items in one broadcast part.
@@ -30,30 +34,46 @@ ANY_WORD = r"[0-9A-Za-z\\x{80}-\\x{10FFFF}]"
 _REST = "text string, n_words long, hits array<int>, items array<string>"
 
 
-def _tables(items: list[tuple[str, str]], window: int) -> dict:
-    """By window length: sorted hashes, a filter, and of each hash the windows and their items."""
-    found: dict[int, dict[int, dict[bytes, set[str]]]] = {}
-    for name, text in items:
-        words = Words(pa.array([text]), ALNUM)
-        count = len(words.starts)
+@dataclass
+class _Windows:
+    """The windows of one length, sorted by hash: where each stands in ``words``, and its item."""
+
+    hashes: np.ndarray
+    mark: np.ndarray  # which leading bits occur
+    begin: np.ndarray
+    end: np.ndarray
+    item: np.ndarray
+
+
+def _tables(items: list[tuple[str, str]], window: int) -> tuple[bytes, list[str], dict[int, _Windows]]:
+    """All words of the items, a space after each; the items' names; and their windows by length."""
+    words, at, parts = [], 0, {}
+    for k, (_, text) in enumerate(items):
+        found = Words(pa.array([text]), ALNUM)
+        count = len(found.starts)
         if not count:
             continue
+        own = [found.word(i) for i in range(count)]
+        words += own
+        ends = at + np.cumsum([len(w) + 1 for w in own])
+        begins = np.r_[at, ends[:-1]]
+        at = int(ends[-1])
         size = min(window, count)
-        place = found.setdefault(size, {})
-        for i, h in enumerate(window_hashes(words.hashes(), size).tolist()):
-            key = b" ".join(words.word(j) for j in range(i, i + size))
-            place.setdefault(h, {}).setdefault(key, set()).add(name)
+        hashes = window_hashes(found.hashes(), size)
+        parts.setdefault(size, []).append((hashes, begins[: len(hashes)], ends[size - 1 :] - 1, np.full(len(hashes), k)))
     out = {}
-    for size, place in found.items():
-        hashes = np.sort(np.array(list(place), U64))
+    for size, found in parts.items():
+        hashes, begin, end, item = (np.concatenate([p[j] for p in found]) for j in range(4))
+        order = np.argsort(hashes, kind="stable")
         mark = np.zeros(1 << _FILTER_BITS, bool)
         mark[(hashes >> U64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        out[size] = hashes, mark, place
-    return out
+        out[size] = _Windows(hashes[order], mark, begin[order], end[order], item[order].astype(np.int32))
+    return b" ".join([*words, b""]), [name for name, _ in items], out
 
 
 def _scan(tables):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, names, sizes = tables.value
         for whole in batches:
             for batch in slices(whole):
                 found = Words(batch.column(1), ALNUM)
@@ -61,28 +81,29 @@ def _scan(tables):
                 hashed = found.hashes()
                 hit = np.zeros(len(hashed) + 1, np.int32)
                 items: dict[int, set[str]] = {}
-                for size, (hashes, mark, place) in tables.value.items():
+                for size, known in sizes.items():
                     runs = window_hashes(hashed, size)
-                    at = np.flatnonzero(mark[(runs >> U64(64 - _FILTER_BITS)).astype(np.int64)])
-                    at = at[np.isin(runs[at], hashes)]
+                    at = np.flatnonzero(known.mark[(runs >> U64(64 - _FILTER_BITS)).astype(np.int64)])
+                    first, last = np.searchsorted(known.hashes, runs[at]), np.searchsorted(known.hashes, runs[at], "right")
                     doc = np.searchsorted(bounds, at, "right") - 1
-                    inside = at + size <= bounds[doc + 1]
-                    for p, d in zip(at[inside].tolist(), doc[inside].tolist()):
-                        names = place[int(runs[p])].get(b" ".join(found.word(j) for j in range(p, p + size)))
-                        if names:
+                    good = np.flatnonzero((first < last) & (at + size <= bounds[doc + 1]))
+                    for p, d, a, b in zip(at[good].tolist(), doc[good].tolist(), first[good].tolist(), last[good].tolist()):
+                        own = b" ".join(found.word(j) for j in range(p, p + size))
+                        same = {names[known.item[e]] for e in range(a, b) if words[known.begin[e] : known.end[e]] == own}
+                        if same:
                             hit[p] += 1
                             hit[p + size] -= 1
-                            items.setdefault(d, set()).update(names)
+                            items.setdefault(d, set()).update(same)
                 at = np.flatnonzero(np.cumsum(hit[:-1]) > 0)
                 where = np.searchsorted(at, bounds)
                 old_hits, old_items = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-                hits, names = [], []
+                hits, found_items = [], []
                 for d in range(found.rows):
                     own = at[where[d] : where[d + 1]] - bounds[d]
                     hits.append(np.union1d(own, old_hits[d]).tolist() if old_hits[d] else own.tolist())
-                    names.append(sorted({*(old_items[d] or ()), *items.get(d, ())}))
+                    found_items.append(sorted({*(old_items[d] or ()), *items.get(d, ())}))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(np.diff(bounds)), pa.array(hits, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))],
+                    [batch.column(0), batch.column(1), pa.array(np.diff(bounds)), pa.array(hits, pa.list_(pa.int32())), pa.array(found_items, pa.list_(pa.string()))],
                     names=["kept", "text", "n_words", "hits", "items"],
                 )
 
@@ -112,9 +133,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def benchmark_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_words: int = PART_WORDS) -> DataFrame:
     """``kept`` (a struct of the row's other columns) ``, text, n_words, hits`` (word positions) ``, items``."""
     spark = documents.sparkSession
-    bound_batches(spark)
+    work = Workspace(spark, "decontaminate")
+    rest = [F.col(f"`{c}`") for c in documents.columns if c != "text"] or [F.lit(None).cast("int").alias("none")]
     out = documents.select(
-        F.struct(*[F.col(f"`{c}`") for c in documents.columns if c != "text"]).alias("kept"), F.col("text").cast("string").alias("text"),
+        F.struct(*rest).alias("kept"), F.col("text").cast("string").alias("text"),
         F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"),
     )
     schema = f"kept {out.schema['kept'].dataType.simpleString()}, {_REST}"
@@ -125,6 +147,11 @@ def benchmark_hits(documents: DataFrame, benchmark: DataFrame, window: int = WIN
         part = items.where(F.expr(f"pmod(xxhash64(item_id, text), {parts}) = {k}"))
         tables = spark.sparkContext.broadcast(_tables([(r.item_id, r.text) for r in part.toLocalIterator()], window))
         out = out.mapInArrow(lean(_scan(tables)), schema)
+        if k < parts - 1:
+            done = work.save(out)
+            if k:
+                work.drop(last)
+            out = last = done
     return out
 
 
@@ -149,6 +176,6 @@ def remove_benchmark_spans(documents: DataFrame, benchmark: DataFrame) -> DataFr
     marked = benchmark_hits(documents, benchmark)
     schema = marked.schema["kept"].dataType.simpleString()
     cut = marked.select("kept", "text", "hits").mapInArrow(lean(_cut), f"kept {schema}, text string, touched boolean")
-    new = cut.where(f"not touched or text rlike '{ANY_WORD}'").select("kept.*", "text", "touched")
-    counted = F.when(F.col("touched"), F.length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in names else None
-    return new.select(*[counted.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in names])
+    new = cut.where(f"not touched or text rlike '{ANY_WORD}'")
+    counted = lambda: F.when(F.col("touched"), F.length("text").cast("long")).otherwise(F.col("kept.n_chars")).alias("n_chars")
+    return new.select(*[F.col("text") if c == "text" else counted() if c == "n_chars" else F.col(f"kept.`{c}`") for c in names])
