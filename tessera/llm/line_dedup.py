@@ -12,14 +12,14 @@ lines is a window, identified by its MD5, and all lines of a window that occurs
 doc_id, then line number) go, so every repeated run of ``min_lines`` lines or more is found.
 
 Null texts stay null, texts without repeated chunks stay as they are, and a text all of whose
-chunks go becomes empty: no row is dropped. Equal rows (same doc_id and text) count as one document
-and are treated alike. Null doc_ids order last. Extra columns are kept; names that start with
-``_ld_`` are reserved.
+chunks go becomes empty: no row is dropped. Texts of any length are cut whole. Equal rows (same
+doc_id and text) count as one document and are treated alike. Null doc_ids order last. Extra columns,
+whatever their names, are kept; only in the reports, columns named as the report's own are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .workspace import Workspace
@@ -59,31 +59,44 @@ def repeated_chunks(documents: DataFrame, work: Workspace, divisor: int = DIVISO
     several = lambda least: least.where("low <> high").drop("high")
     prints = work.save(several(chunks.groupBy("print").agg(F.min(place).alias("low"), F.max(place).alias("high"))).select("print"))
     found = work.save(chunks.join(prints, "print"))
-    first = several(found.groupBy("print", "body").agg(F.min(place).alias("low"), F.max(place).alias("high")))
-    lost = found.join(first, ["print", "body"]).where(place != F.col("low")).select("_ld_id", "_ld_text", "chunk", "lines").distinct()
+    # A table of its own: the places of a common chunk are then a skewed side of a join, which can be split.
+    first = work.save(several(found.groupBy("print", "body").agg(F.min(place).alias("low"), F.max(place).alias("high"))))
+    lost = found.join(first.hint("merge"), ["print", "body"]).where(place != F.col("low")).select("_ld_id", "_ld_text", "chunk", "lines").distinct()
     lost = work.save(lost)
-    work.drop(prints, found)
+    work.drop(prints, found, first)
     return lost
 
 
-def dedup_lines(documents: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
-    """``documents`` with repeated chunks removed, plus ``lines_removed`` and ``chunks_removed``.
+def _keyed(documents: DataFrame) -> DataFrame:
+    """``kept`` (a struct of all columns but text), the text, and its key; no column of the input stands beside them."""
+    rest = [F.col(f"`{c}`") for c in documents.columns if c != "text"]
+    return documents.select(F.struct(*rest).alias("kept"), F.col("text"), F.xxhash64("text").alias("_ld_key"))
 
-    ``n_chars``, if there is such a column, is recounted where the text changed.
-    """
+
+def _beside(documents: DataFrame, gone: DataFrame) -> DataFrame:
+    # A merge join at every size: the plan measured on a small corpus is the one a large corpus runs.
+    rows = _keyed(documents)
+    return rows.join(gone.hint("merge"), rows["kept.doc_id"].eqNullSafe(gone["_ld_id"]) & (rows["_ld_key"] == gone["_ld_text"]), "left")
+
+
+def _columns(documents: DataFrame, but: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of ``documents`` with the new text; ``n_chars`` is recounted where the text changed."""
+    values = {"text": F.col("_ld_new").alias("text")}
+    if "n_chars" in documents.columns:
+        count = F.length("_ld_new").cast(documents.schema["n_chars"].dataType)
+        values["n_chars"] = F.when(F.col("_ld_gone").isNull(), F.col("kept.n_chars")).otherwise(count).alias("n_chars")
+    return [values.get(c, F.col(f"kept.`{c}`")) for c in documents.columns if c not in but]
+
+
+def dedup_lines(documents: DataFrame, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
+    """``documents`` with repeated chunks removed, plus ``lines_removed`` and ``chunks_removed``."""
     work = Workspace(documents.sparkSession, "line-dedup")
     lost = repeated_chunks(documents, work, divisor, min_lines)
     gone = lost.groupBy("_ld_id", "_ld_text").agg(F.collect_set("chunk").alias("_ld_gone"), F.sum("lines").alias("_ld_count"))
-    keyed = documents.withColumn("_ld_key", F.xxhash64("text"))
-    # A merge join at every size: the plan measured on a small corpus is the one a large corpus runs.
-    joined = keyed.join(gone.hint("merge"), keyed["doc_id"].eqNullSafe(gone["_ld_id"]) & (keyed["_ld_key"] == gone["_ld_text"]), "left")
     kept = F.expr("filter(_ld_chunks, (c, i) -> not array_contains(_ld_gone, i))")
-    cut = line_chunks(joined, "text", divisor).withColumn("_ld_new", F.when(F.col("_ld_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    values = {"text": F.col("_ld_new")}
-    if "n_chars" in documents.columns:
-        values["n_chars"] = F.when(F.col("_ld_gone").isNull(), F.col("n_chars")).otherwise(F.length("_ld_new").cast("long"))
+    cut = line_chunks(_beside(documents, gone), "text", divisor).withColumn("_ld_new", F.when(F.col("_ld_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
     return cut.select(
-        *[values.get(c, F.col(f"`{c}`")).alias(c) for c in documents.columns],
+        *_columns(documents, ("lines_removed", "chunks_removed")),
         F.coalesce("_ld_count", F.lit(0)).cast("long").alias("lines_removed"),
         F.coalesce(F.size("_ld_gone"), F.lit(0)).cast("long").alias("chunks_removed"),
     )
@@ -100,32 +113,31 @@ def repeated_runs(documents: DataFrame, work: Workspace, min_lines: int = MIN_LI
     windows = work.save(windows)
     place = F.struct(F.col("_ld_id").isNull().alias("last"), "_ld_id", "_ld_text", "at")
     first = windows.groupBy("print").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("print", "low")
+    first = work.save(first)
     lost = work.save(windows.join(first.hint("merge"), "print").where(place != F.col("low")).select("_ld_id", "_ld_text", "at").distinct())
-    work.drop(windows)
+    work.drop(windows, first)
     return lost
 
 
-def dedup_runs(documents: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """``documents`` without the lines of repeated runs, plus ``lines_removed``.
-
-    ``n_chars``, if there is such a column, is recounted where the text changed.
-    """
+def _without_runs(documents: DataFrame, min_lines: int) -> DataFrame:
     lost = repeated_runs(documents, Workspace(documents.sparkSession, "line-runs"), min_lines)
     gone = lost.groupBy("_ld_id", "_ld_text").agg(F.collect_set("at").alias("_ld_gone"))
-    keyed = documents.withColumn("_ld_key", F.xxhash64("text"))
-    joined = keyed.join(gone.hint("merge"), keyed["doc_id"].eqNullSafe(gone["_ld_id"]) & (keyed["_ld_key"] == gone["_ld_text"]), "left")
     # array_except hashes: the work grows with the lines, not with their square.
     lines = F.flatten(F.transform("_ld_gone", lambda at: F.sequence(at, at + (min_lines - 1))))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_ld_lines") - 1), lines)
-    cut = (
-        joined.withColumn("_ld_lines", F.split("text", "\n", -1))
+    return (
+        _beside(documents, gone).withColumn("_ld_lines", F.split("text", "\n", -1))
         .withColumn("_ld_kept", F.when(F.col("_ld_gone").isNotNull(), F.transform(kept, lambda i: F.get("_ld_lines", i))))
         .withColumn("_ld_new", F.coalesce(F.array_join("_ld_kept", "\n"), F.col("text")))
     )
-    values = {"text": F.col("_ld_new")}
-    if "n_chars" in documents.columns:
-        values["n_chars"] = F.when(F.col("_ld_gone").isNull(), F.col("n_chars")).otherwise(F.length("_ld_new").cast("long"))
-    return cut.select(
-        *[values.get(c, F.col(f"`{c}`")).alias(c) for c in documents.columns],
-        F.coalesce(F.size("_ld_lines") - F.size("_ld_kept"), F.lit(0)).cast("long").alias("lines_removed"),
-    )
+
+
+def remove_repeated_runs(documents: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """``documents``, with the same columns, without the lines of repeated runs."""
+    return _without_runs(documents, min_lines).select(*_columns(documents))
+
+
+def dedup_runs(documents: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """``documents`` without the lines of repeated runs, plus ``lines_removed``."""
+    removed = F.coalesce(F.size("_ld_lines") - F.size("_ld_kept"), F.lit(0)).cast("long").alias("lines_removed")
+    return _without_runs(documents, min_lines).select(*_columns(documents, ("lines_removed",)), removed)
