@@ -8,8 +8,10 @@ before a block; without either the page is allowed.
 
 The normalised address drops the scheme, the default port, the fragment, ``utm_`` parameters and
 trailing slashes. A null url, or one without ``://``, has empty host and path, no rule and no
-aliases. Null html has no links. Rows repeat as in the input; extra columns are ignored. The rule
-list is a literal of at most MAX_RULES rules.
+aliases. Null html has no links; urls and html of any length are read whole. Of fitting rules of equal
+length the greater text counts. Rows repeat as in the input, also with equal page_ids; extra columns,
+whatever their names, are ignored; an empty table gives no rows. The rule list is a literal of at most
+MAX_RULES rules.
 """
 
 from __future__ import annotations
@@ -54,13 +56,32 @@ def fitting_rule(rules: list[tuple[str, str]], host: Column, path: Column) -> Co
     return F.array_max(F.array(*options))
 
 
+def _without_dots(path: Column) -> Column:
+    """The path with its ``.`` and ``..`` segments resolved."""
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x)))
+    parts = F.split(path, "/")
+    return F.array_join(F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.slice(parts, 1, 1), step), "/")
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """``source, target`` urls of canonical links and meta refreshes; relative targets stay on the host."""
+    """``source, target`` urls of canonical links and meta refreshes; relative targets are resolved against the page.
+
+    Targets of other schemes (``mailto:``) and references into the page itself have no edge.
+    """
     found = pages.select("url", F.array_union(F.regexp_extract_all("html", F.lit(_CANONICAL), 1), F.regexp_extract_all("html", F.lit(_REFRESH), 1)).alias("to"))
-    links = found.where("size(to) > 0").select(F.col("url").alias("source"), F.explode("to").alias("target"))
-    base = F.regexp_extract("source", r"^[^/?#]*://[^/?#]*", 0)
-    target = F.when(F.contains("target", F.lit("://")), F.col("target")).when(F.startswith("target", F.lit("//")), F.concat(F.lit("http:"), "target"))
-    return links.select("source", target.when(F.startswith("target", F.lit("/")), F.concat(base, "target")).alias("target"))
+    links = found.where("size(to) > 0").select(F.col("url").alias("source"), F.explode("to").alias("to")).withColumn("to", F.replace("to", F.lit("&amp;"), F.lit("&")))
+    base, path = F.regexp_extract("source", r"^[^/?#]*://[^/?#]*", 0), F.regexp_extract("source", r"^[^/?#]*://[^/?#]*([^?#]*)", 1)
+    own, rest = F.regexp_extract("to", r"^[^?#]*", 0), F.regexp_extract("to", r"^[^?#]*(.*)", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path, r"^/?(.*/)?", 1))
+    target = (
+        F.when(F.col("to").rlike(r"^[A-Za-z][0-9A-Za-z+.-]*://"), F.col("to"))
+        .when(F.col("to").startswith("//"), F.concat(F.lit("http:"), "to"))
+        .when(F.col("to").rlike(r"^(?:[A-Za-z][0-9A-Za-z+.-]*:|#|$)") | (base == ""), F.lit(None).cast("string"))
+        .when(F.col("to").startswith("/"), F.concat(base, _without_dots(own), rest))
+        .when(F.col("to").startswith("?"), F.concat(base, path, "to"))
+        .otherwise(F.concat(base, _without_dots(F.concat(folder, own)), rest))
+    )
+    return links.select("source", target.alias("target")).where("target is not null")
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], redirects: DataFrame | None = None) -> DataFrame:
