@@ -12,7 +12,8 @@ count as frequent only affects speed; any choice gives the same links.
 
 Nulls and odd rows: a null or wordless text has an empty set and links with nothing; a row with a
 null doc_id links with nothing and gets a null component; rows that share a doc_id are one document;
-extra columns are ignored. Shingles are identified by 64-bit hashes.
+texts of any length are compared whole; an empty table gives no rows; extra columns, whatever their
+names, are ignored. Shingles are identified by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,8 +37,6 @@ LOCAL_LEAST, GLOBAL_LEAST = 8, 24
 GROUP_LEAST = 10
 #: Least and most bits of the parity bitmap that rejects unlike pairs before their texts are fetched.
 BITMAP_BITS = 1 << 11, 1 << 17
-#: Up to this many ids are broadcast to fetch texts without a shuffle; beyond, the texts are shuffled.
-BROADCAST_IDS = 200_000
 #: Distinct texts that one task remembers, so that a hot group of copies is indexed once per task.
 REMEMBERED = 1 << 18
 
@@ -225,8 +224,8 @@ def ngram_jaccard_join(documents: DataFrame, threshold: int = 75, size: int = 5,
         alike = work.save(beside.mapInArrow(lean(_prune(threshold)), "u long, v long"))
         wanted = alike.select(F.col("u").alias("sid")).union(alike.select("v")).distinct().join(texts.select("sid", "doc_id"), "sid")
         wanted = work.save(wanted)
-        small = wanted.count() <= BROADCAST_IDS
-        fetched = docs.join(F.broadcast(wanted) if small else wanted, "doc_id").select("sid", "text").mapInArrow(lean(_of_set(size)), "sid long, text string")
+        # A merge join at every size: the plan measured on a small corpus is the one a large corpus runs.
+        fetched = docs.join(wanted.hint("merge"), "doc_id").select("sid", "text").mapInArrow(lean(_of_set(size)), "sid long, text string")
         fetched = work.save(fetched.dropDuplicates(["sid"]))
         side = lambda k: fetched.select(F.col("sid").alias(k), F.col("text").alias(f"text_{k}"))
         out = work.save(alike.join(side("u"), "u").join(side("v"), "v").select("u", "v", "text_u", "text_v").mapInArrow(lean(_verify(size, threshold)), "u long, v long"))
