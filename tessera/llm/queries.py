@@ -98,20 +98,24 @@ r as (select doc_id, cast(sum(b - a) as bigint) as n_removed, string_agg(a || '-
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, coalesce(spans, '') as spans from d left join r using (doc_id)
 """,
     "op7_url_filter": rf"""
-with recursive p as (
-  select page_id, url, html, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
-h as (select page_id, url, html, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from p),
-n as (select *, case when host <> '' then regexp_replace(host, ':(80|443)$', '') || regexp_replace(path, '/+$', '') || coalesce('?' || nullif(array_to_string(
+with recursive t as (
+  select page_id, url, unnest(list_concat(regexp_extract_all(html, '(?is)<link[^>]*rel="canonical"[^>]*href="([^"]+)"', 1),
+    regexp_extract_all(html, '(?is)<meta[^>]*http-equiv="refresh"[^>]*content="[^">]*url=([^">]+)"', 1))) as t from pages),
+l as (select distinct url, case when contains(t, '://') then t when starts_with(t, '//') then 'http:' || t when starts_with(t, '/') then regexp_extract(url, '^[^/?#]*://[^/?#]*') || t end as t from t),
+w as (select url from pages union select t from l),
+p as (select url, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from w where url is not null),
+h as (select url, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from p),
+a as (select *, case when host <> '' then regexp_replace(host, ':(80|443)$', '') || regexp_replace(path, '/+$', '') || coalesce('?' || nullif(array_to_string(
     list_filter(string_split(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '&'), lambda x: not starts_with(x, 'utm_') and x <> ''), '&'), ''), '') end as node from h),
+n as (select page_id, coalesce(host, '') as host, coalesce(path, '') as path, node from pages left join a using (url)),
 rules(rule, verdict) as (values ('com/en/', 'block'), ('example.com/en/7', 'allow'), ('net/de/', 'allow'), ('example.net/de/8', 'block'), ('org/es/', 'block')),
 s as (select rule, verdict, split_part(rule, '/', 1) as rh, substr(rule, strpos(rule, '/')) as rp from rules),
 f as (select page_id, rule, verdict, row_number() over (partition by page_id order by length(rule) desc, rule desc) as k
-  from h join s on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp)),
+  from n join s on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp)),
 o as (select n.*, f.rule, f.verdict from n left join f on f.page_id = n.page_id and f.k = 1),
-link as (select distinct node as u, translate(regexp_extract(t, '://([^/?#]*)', 1), '{UPPER}', '{LOWER}') || regexp_replace(regexp_extract(t, '://[^/?#]*([^?#]*)', 1), '/+$', '') as v
-  from (select node, unnest(regexp_extract_all(html, '(?is)<link[^>]*rel="canonical"[^>]*href="([^"]+)"', 1)) as t from n)),
-e as (select u, v from link union select v, u from link),
-r(node, other) as (select distinct node, node from n where node is not null union select r.node, e.v from r join e on e.u = r.other),
+g as (select distinct x.node as u, y.node as v from l join a x on x.url = l.url join a y on y.url = l.t where x.node is not null and y.node is not null),
+e as (select u, v from g union select v, u from g),
+r(node, other) as (select distinct node, node from a where node is not null union select r.node, e.v from r join e on e.u = r.other),
 c as (select node, min(other) as c from r group by 1),
 v as (select c.c, bool_or(o.verdict = 'allow') as allowed, bool_or(o.verdict = 'block') as blocked from o join c using (node) where o.rule is not null group by 1)
 select o.page_id, o.host, o.path, o.rule,
