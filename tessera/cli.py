@@ -1,17 +1,39 @@
-"""``python -m tessera.cli PATH COMMAND``: create, ingest, delete, refresh, compact, gc, stats, search."""
+"""``python -m tessera.cli PATH COMMAND``: create, ingest, delete, refresh, compact, gc, stats, search.
+
+``ingest`` takes batches of BATCH lines; a batch with an invalid document is refused whole and ends the command.
+"""
 
 from __future__ import annotations
 
 import argparse
+import itertools
 import json
 
 from pyspark.sql import SparkSession
 
+from tessera.errors import SearchError
 from tessera.plans.engine import SearchEngine, SearchRequest
-from tessera.sources.documents import read_jsonl
+from tessera.sources.documents import parse_jsonl
 from tessera.sources.store import Index
 
 
+BATCH = 500
+
+
+def ingest(index: Index, file: str) -> int:
+    """Append the documents of a JSONL file batch by batch; returns the last accepted revision."""
+    last = index.durable_revision()
+    with open(file, encoding="utf-8") as lines:
+        filled = (line.rstrip("\n") for line in lines if line.strip())
+        while some := list(itertools.islice(filled, BATCH)):
+            parsed = parse_jsonl(index.spark.createDataFrame([(x,) for x in some], "value string"))
+            bad = parsed.where("size(violations) > 0").select("id", "violations").first()
+            if bad:
+                raise SearchError("INVALID_DOCUMENT", "a document is not valid", 422, id=bad["id"], violations=bad["violations"])
+            last = index.ingest(parsed)
+    return last
+
+
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(description=__doc__)
     p.add_argument("path")
@@ -24,15 +46,17 @@ def main(argv: list[str] | None = None) -> None:
     s.add_argument("q")
     s.add_argument("--dsl", action="store_true")
     s.add_argument("--top-k", type=int, default=10)
+    s.add_argument("--mode", choices=("lexical", "semantic", "hybrid"))
+    s.add_argument("--explain", action="store_true")
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     with Index(spark, a.path, create=a.command == "create", read_only=a.command in ("search", "stats")) as index:
         if a.command == "ingest":
-            out: object = index.ingest(read_jsonl(spark, a.file).where("size(violations) = 0"))
+            out: object = ingest(index, a.file)
         elif a.command == "delete":
             out = index.delete(a.id)
         elif a.command == "search":
-            out = SearchEngine(index.snapshot()).search(SearchRequest(a.q, query_mode="dsl" if a.dsl else "plain", top_k=a.top_k, timeout_ms=5000))
+            out = SearchEngine(index.snapshot()).search(SearchRequest(a.q, query_mode="dsl" if a.dsl else "plain", top_k=a.top_k, mode=a.mode, explain=a.explain, timeout_ms=5000))
         else:
             out = {"create": index.stats, "refresh": index.refresh, "compact": index.compact, "gc": index.garbage_collect, "stats": index.stats}[a.command]()
     print(json.dumps(out, default=str))

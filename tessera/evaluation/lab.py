@@ -6,9 +6,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import platform
+import statistics
 import time
 from pathlib import Path
 
@@ -32,6 +34,39 @@ def settings(semantic: bool) -> dict[str, dict]:
     return lexical | (dense if semantic else {})
 
 
+def load_queries(path: str) -> list[dict]:
+    """Judged queries of a JSONL file: ``id``, ``text``, and optionally ``split``, ``subset`` and ``filters``."""
+    queries = [json.loads(line) for line in Path(path).read_text(encoding="utf-8").splitlines() if line.strip()]
+    for q in queries:
+        if not isinstance(q.get("id"), str) or not isinstance(q.get("text"), str):
+            raise SearchError("INVALID_QUERIES", "a query needs an id and a text", query=q)
+    return queries
+
+
+def check_inputs(queries: list[dict], qrels: DataFrame, documents: DataFrame, engine: SearchEngine) -> None:
+    """Judgments must name known queries and documents, and the index must hold exactly the corpus."""
+    spark = engine.spark
+    known = spark.createDataFrame([(q["id"],) for q in queries], "query_id string")
+    for found, code in (
+        (qrels.join(known, "query_id", "left_anti").select(F.col("query_id").alias("id")), "UNKNOWN_QUERY"),
+        (qrels.join(documents.select(F.col("id").alias("doc_id")), "doc_id", "left_anti").select(F.col("doc_id").alias("id")), "UNKNOWN_DOCUMENT"),
+        (documents.select("id").exceptAll(engine.snapshot.docs.select("id")).union(engine.snapshot.docs.select("id").exceptAll(documents.select("id"))), "CORPUS_MISMATCH"),
+    ):
+        row = found.first()
+        if row:
+            raise SearchError(code, "the inputs do not belong together", id=row["id"])
+
+
+def input_checksums(*paths: str) -> dict[str, str]:
+    """SHA-256 of each input file, for the report's metadata."""
+    return {Path(p).name: hashlib.sha256(Path(p).read_bytes()).hexdigest() for p in paths}
+
+
+def spread(values: list[float]) -> dict[str, float]:
+    """Least, middle and greatest of repeated runs."""
+    return {"min": min(values), "median": statistics.median(values), "max": max(values)}
+
+
 def groups_of(query: dict) -> list[str]:
     """The summaries that a query counts in."""
     if query.get("split", "test") != "test":

@@ -6,22 +6,30 @@ alternative, the best alternative of a group counts, and groups are summed.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.analyzer import nfkc_casefold, simple_fold, term_array
+from tessera.functions.analyzer import nfkc_casefold, simple_fold, term_array, terms
 
 K1, B = 1.2, 0.75
 #: Weight of a hit in each text field.
 FIELD_WEIGHTS = {"title": 2.0, "body": 1.0}
+#: Bytes of text for one bucket of postings, and documents for one more file of each bucket.
+BUCKET_BYTES, FILE_DOCUMENTS = 64 << 20, 2_000_000
+LEAST_BUCKETS, MOST_BUCKETS = 16, 4096
+POSTINGS = "id string, field string, term string, len int, tf long, positions array<int>"
 QUERY_SCHEMA = "query_id string, grp int, alt int, term string, field string, weight double"
 
 
-def analyzed(documents: DataFrame, exact_unicode: bool = True) -> DataFrame:
-    """Documents with ``title_terms``, ``body_terms`` and normalised keyword columns."""
+def analyzed(documents: DataFrame, exact_unicode: bool = True, arrays: bool = True) -> DataFrame:
+    """Documents with normalised keyword columns and, if asked for, ``title_terms`` and ``body_terms``."""
     fold = nfkc_casefold if exact_unicode else simple_fold
     out = documents
-    for f in FIELD_WEIGHTS:
+    for f in FIELD_WEIGHTS if arrays else ():
         out = out.withColumn(f"{f}_terms", term_array(fold(F.coalesce(F.col(f), F.lit("")))))
     tags = F.from_json(fold(F.to_json(F.coalesce("tags", F.array().cast("array<string>")))), "array<string>") if exact_unicode else F.transform("tags", simple_fold)
     return out.withColumn("kind_n", fold(F.col("kind"))).withColumn("category_n", fold(F.col("category"))).withColumn("tags_n", tags)
@@ -35,6 +43,65 @@ def postings(docs: DataFrame, positions: bool = True) -> DataFrame:
     return every.groupBy("id", "field", "term", "len").agg(F.count("*").alias("tf"), *extra)
 
 
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A document's postings need no other row: terms and positions are counted where it is read."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            ids = batch.column(0).to_pylist()
+            rows: list[tuple] = []
+            for k, field in enumerate(FIELD_WEIGHTS, 1):
+                for i, text in zip(ids, batch.column(k).to_pylist()):
+                    found = terms(text or "")
+                    places: dict[str, list[int]] = {}
+                    for p, t in enumerate(found):
+                        places.setdefault(t, []).append(p)
+                    rows += [(i, field, t, len(found), len(p), p) for t, p in places.items()]
+            if rows:
+                kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["id", "field", "term", "len", "tf", "positions"])
+
+
+def index_postings(docs: DataFrame) -> DataFrame:
+    """Postings of ``docs(id, title, body)`` by the exact analyzer, without a shuffle."""
+    return docs.select("id", *FIELD_WEIGHTS).mapInArrow(_count_terms, POSTINGS)
+
+
+def bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
+
+
+def pruned(table: DataFrame, words: list[str], buckets: int) -> DataFrame:
+    """The rows of the given terms: literals, so that other buckets and row groups are not read."""
+    wanted = sorted(set(words))
+    return table.where(F.col("bucket").isin(sorted({zlib.crc32(w.encode()) % buckets for w in wanted})) & F.col("term").isin(wanted))
+
+
+def write_postings(docs: DataFrame, root: str) -> int:
+    """Write postings below ``root`` by bucket, each sorted by term; returns the number of buckets.
+
+    Buckets grow with the text, and a bucket has more files where there are many documents, so that
+    no frequent term is one task's.
+    """
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.coalesce("title", F.lit(""))) + F.octet_length(F.coalesce("body", F.lit("")))).alias("bytes")).first()
+    buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, (size.bytes or 0) // BUCKET_BYTES))
+    files = 1 + size.n // FILE_DOCUMENTS
+    posted = index_postings(docs).withColumn("bucket", bucket(F.col("term"), buckets))
+    dealt = posted.repartition(F.col("bucket"), F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(files)))
+    dealt.sortWithinPartitions("bucket", "term", "field", "id").write.partitionBy("bucket").parquet(f"{root}/postings")
+    return buckets
+
+
+def write_frequencies(posted: DataFrame, root: str) -> None:
+    counted = posted.groupBy("bucket", "field", "term").agg(F.count("*").alias("df"))
+    counted.repartition("bucket").sortWithinPartitions("bucket", "term", "field").write.partitionBy("bucket").parquet(f"{root}/df")
+
+
+def stats_of(posted: DataFrame) -> DataFrame:
+    """``field, n, total_length``: of each document's terms in a field exactly one stands first."""
+    return posted.groupBy("field").agg(F.count(F.when(F.col("positions")[0] == 0, 1)).alias("n"), F.sum("tf").alias("total_length"))
+
+
 def field_stats(docs: DataFrame) -> DataFrame:
     """``field, n, total_length`` over the documents that have text in the field."""
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.size(f"{f}_terms").alias("len")) for f in FIELD_WEIGHTS])).alias("p")
@@ -54,17 +121,19 @@ def contribution(weight: Column, field: Column, rarity: Column, tf: Column, leng
     return weight * boost * rarity * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
-def score(alternatives: DataFrame, posted: DataFrame, stats: DataFrame, df: DataFrame, eligible: DataFrame | None = None) -> DataFrame:
+def score(alternatives: DataFrame, posted: DataFrame, stats: DataFrame, df: DataFrame, eligible: DataFrame | None = None, selected: bool = False) -> DataFrame:
     """``query_id, id, score``: the sum over groups of the best alternative's BM25.
 
-    Only the queries' own terms are read from the postings: the query terms are the small side.
+    Only the queries' own terms are read from the postings; ``selected`` says that ``posted`` and ``df``
+    hold no others.
     """
     wanted = alternatives.select("term").distinct()
-    hits = posted.select("id", "field", "term", "tf", "len").join(wanted, "term", "left_semi")
+    own = lambda table: table if selected else table.join(wanted, "term", "left_semi")
+    hits = own(posted.select("id", "field", "term", "tf", "len"))
     if eligible is not None:
         hits = hits.join(eligible.select("id"), "id", "left_semi")
     weighed = (
-        hits.join(df.join(wanted, "term", "left_semi"), ["field", "term"]).join(F.broadcast(stats), "field")
+        hits.join(own(df.select("field", "term", "df")), ["field", "term"]).join(F.broadcast(stats), "field")
         .withColumn("average", F.when(F.col("n") > 0, F.col("total_length") / F.col("n")).otherwise(1.0))
         .withColumn("base", contribution(F.lit(1.0), F.col("field"), idf(F.col("n"), F.col("df")), F.col("tf"), F.col("len"), F.col("average")))
         .select("id", "term", F.col("field").alias("hit_field"), "base")
@@ -78,7 +147,7 @@ def score(alternatives: DataFrame, posted: DataFrame, stats: DataFrame, df: Data
 def explain_rows(alternatives: DataFrame, posted: DataFrame, stats: DataFrame, df: DataFrame) -> DataFrame:
     """One row per matched term and field: its frequency, rarity and contribution."""
     rows = alternatives.join(posted.withColumnRenamed("field", "hit_field"), "term").where("field is null or field = hit_field").drop("field").withColumnRenamed("hit_field", "field")
-    rows = rows.join(df, ["field", "term"]).join(F.broadcast(stats), "field").withColumn("average", F.when(F.col("n") > 0, F.col("total_length") / F.col("n")).otherwise(1.0))
+    rows = rows.join(df.select("field", "term", "df"), ["field", "term"]).join(F.broadcast(stats), "field").withColumn("average", F.when(F.col("n") > 0, F.col("total_length") / F.col("n")).otherwise(1.0))
     rarity = idf(F.col("n"), F.col("df"))
     return rows.select("query_id", "id", "field", "term", "tf", "df", rarity.alias("idf"), contribution(F.col("weight"), F.col("field"), rarity, F.col("tf"), F.col("len"), F.col("average")).alias("contribution"))
 

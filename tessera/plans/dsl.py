@@ -7,15 +7,18 @@ every predicate false and its negation true.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.errors import SearchError
 from tessera.functions.analyzer import normalize, terms
+from tessera.operators import lexical
 from tessera.sources.documents import KEYWORD_FIELDS, NUMERIC_FIELDS, TEXT_FIELDS
 
 MAX_LEXEMES, MAX_DEPTH, MAX_TERMS = 200, 16, 64
@@ -217,18 +220,21 @@ def filter_predicate(field: str, op: str, value) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def compile_node(node: Node, field: str | None = None) -> Column:
+def compile_node(node: Node, field: str | None = None, leaf: Callable[[str, str, str | None], Column] | None = None) -> Column:
+    """A boolean column over documents; ``leaf(kind, value, field)`` gives the text clauses' columns, by default over term arrays."""
     if node.kind == "scope":
-        return compile_node(node.children[0], node.field)
+        return compile_node(node.children[0], node.field, leaf)
     if node.kind == "filter":
         return filter_predicate(node.field, node.op, node.value)
+    if node.kind in ("term", "phrase") and leaf:
+        return leaf(node.kind, node.value, field)
     if node.kind in ("term", "phrase"):
         test = (lambda f: has_term(f, node.value)) if node.kind == "term" else (lambda f: has_phrase(f, node.value.split(" ")))
         out = F.lit(False)
         for f in (field,) if field else TEXT_FIELDS:
             out = out | F.coalesce(test(f), F.lit(False))
         return out
-    parts = [compile_node(c, field) for c in node.children]
+    parts = [compile_node(c, field, leaf) for c in node.children]
     if node.kind == "not":
         return ~parts[0]
     out = parts[0]
@@ -237,6 +243,41 @@ def compile_node(node: Node, field: str | None = None) -> Column:
     return out
 
 
+def text_leaves(node: Node, field: str | None = None) -> list[tuple[str, str, str | None]]:
+    """``(kind, value, field)`` of every text clause, once."""
+    if node.kind in ("term", "phrase"):
+        return [(node.kind, node.value, field)]
+    return list(dict.fromkeys(x for c in node.children for x in text_leaves(c, node.field if node.kind == "scope" else field)))
+
+
+def matching(docs: DataFrame, posted: DataFrame, node: Node, buckets: int) -> DataFrame:
+    """The rows of ``docs`` that the query selects; text clauses are looked up in the postings of their own terms."""
+    leaves = text_leaves(node)
+    name = {x: f"_leaf{i}" for i, x in enumerate(leaves)}
+    if leaves:
+        hits = lexical.pruned(posted, [t for _, value, _ in leaves for t in value.split(" ")], buckets)
+        inside = lambda field: F.col("field") == field if field else F.lit(True)
+        plain = [F.when((F.col("term") == value) & inside(field), F.lit(i)) for i, (kind, value, field) in enumerate(leaves) if kind == "term"]
+        found = [hits.select("id", F.explode(F.array_compact(F.array(*plain))).alias("leaf"))] if plain else []
+        for i, (kind, value, field) in enumerate(leaves):
+            if kind == "phrase":
+                found.append(lexical.phrase_matches(hits, value.split(" "), (field,) if field else TEXT_FIELDS).select("id", F.lit(i).alias("leaf")))
+        rows = functools.reduce(DataFrame.union, found)
+        docs = docs.join(rows.groupBy("id").agg(*[F.max(F.col("leaf") == i).alias(name[x]) for i, x in enumerate(leaves)]), "id", "left")
+    out = docs.where(compile_node(node, leaf=lambda *x: F.coalesce(F.col(name[x]), F.lit(False))))
+    return out.drop(*name.values())
+
+
+def estimate(node: Node, df: dict[str, int], live: int) -> int:
+    """Upper estimate of how many documents match: the terms' document frequencies where these bound it, else all."""
+    if node.kind in ("term", "phrase"):
+        return min((df.get(t, 0) for t in node.value.split(" ")), default=live)
+    if node.kind == "scope":
+        return estimate(node.children[0], df, live)
+    parts = [estimate(c, df, live) for c in node.children]
+    return min(parts) if node.kind == "and" else min(live, sum(parts)) if node.kind == "or" else live
+
+
 def plain_pieces(text: str) -> list[tuple[bool, list[str]]]:
     """Quoted and unquoted pieces of a plain query, as terms."""
     return [(piece.startswith('"'), terms(piece)) for piece in re.findall(r'"[^"]*"|[^"]+', text)]

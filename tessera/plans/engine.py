@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+import time
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -117,9 +118,9 @@ class SearchEngine:
         condition = F.lit(True)
         for f in request.filters:
             condition = condition & dsl.filter_predicate(f.field, f.op, f.value)
-        if ast:
-            condition = condition & dsl.compile_node(ast)
         eligible = snap.docs.where(condition)
+        if ast:
+            eligible = dsl.matching(eligible, snap.postings, ast, snap.buckets)
         groups, limited = ([[(v, f, p, 1.0, "original")] for v, f, p in clauses], False) if ast else self.plain_groups(request)
         if not groups and not ast:
             raise SearchError("QUERY_TYPE_ERROR", "no searchable text")
@@ -153,9 +154,9 @@ class SearchEngine:
                 rows = [("q", g, a, t, fld, weight) for t in dict.fromkeys(terms(value))]
                 (phrases if is_phrase else plain).append((rows, terms(value), fld))
         parts = []
-        hits = snap.postings
         rows = [r for p in plain for r in p[0]]
-        best = lambda r, p: self._alternatives(r, p, snap)
+        hits, df = self._own(groups)
+        best = lambda r, p: self._alternatives(r, p, df)
         if rows:
             parts.append(best(rows, hits))
         for rows, words, fld in phrases:
@@ -173,9 +174,31 @@ class SearchEngine:
             scores = base.join(scores, ["query_id", "id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))) if scores is not None else base.withColumn("score", F.lit(0.0))
         return self._first(scores, request.candidate_k)
 
-    def _alternatives(self, rows: list, hits: DataFrame, snap: Snapshot) -> DataFrame:
+    def _own(self, groups: list) -> tuple[DataFrame, DataFrame]:
+        """Postings and document frequencies of the request's terms; other buckets are not read."""
+        words, snap = [t for group in groups for a in group for t in terms(a[0])], self.snapshot
+        return lexical.pruned(snap.postings, words, snap.buckets), lexical.pruned(snap.df, words, snap.buckets)
+
+    def explanations(self, groups: list, ids: list[str]) -> dict[str, list[dict]]:
+        """For each of a few documents every matched term: field, frequencies, idf, weight and contribution."""
+        weights: dict[tuple[str, str | None], float] = {}
+        for group in groups:
+            for value, fld, _, weight, _ in group:
+                for t in terms(value):
+                    weights[t, fld] = max(weight, weights.get((t, fld), 0.0))
+        out: dict[str, list[dict]] = {i: [] for i in ids}
+        if not weights or not ids:
+            return out
+        hits, df = self._own(groups)
+        table = self.spark.createDataFrame([("q", 0, 0, t, fld, w) for (t, fld), w in weights.items()], lexical.QUERY_SCHEMA)
+        rows = lexical.explain_rows(table, hits.where(F.col("id").isin(ids)), self.snapshot.stats, df)
+        for r in rows.orderBy("id", F.desc("contribution"), "term", "field").collect():
+            out[r.id].append({k: r[k] for k in ("term", "field", "tf", "df", "idf", "contribution")})
+        return out
+
+    def _alternatives(self, rows: list, hits: DataFrame, df: DataFrame) -> DataFrame:
         table = self.spark.createDataFrame(rows, lexical.QUERY_SCHEMA)
-        found = lexical.explain_rows(table.withColumn("query_id", F.to_json(F.struct("query_id", "grp", "alt"))), hits, snap.stats, snap.df)
+        found = lexical.explain_rows(table.withColumn("query_id", F.to_json(F.struct("query_id", "grp", "alt"))), hits, self.snapshot.stats, df)
         key = F.from_json("query_id", "query_id string, grp int, alt int")
         return found.withColumn("k", key).groupBy("k.query_id", "k.grp", "k.alt", "id").agg(F.sum("contribution").alias("s"))
 
@@ -193,13 +216,15 @@ class SearchEngine:
             expired.set()
             self.spark.interruptTag(tag)
 
-        timer = threading.Timer(request.timeout_ms / 1000, cancel) if request.timeout_ms < 5000 else None
+        timer = threading.Timer(request.timeout_ms / 1000, cancel)
         self.spark.addTag(tag)
-        if timer:
-            timer.start()
+        timer.start()
+        began = time.perf_counter()
         try:
             found = self.branches(request)
+            planned = time.perf_counter()
             ranked = {b: [(r.id, r.score) for r in found[b].collect()] for b in ("lexical", "semantic") if b in found}
+            scored = time.perf_counter()
         except SearchError:
             raise
         except Exception:
@@ -207,8 +232,7 @@ class SearchEngine:
                 raise SearchError("DEADLINE_EXCEEDED", "deadline exceeded", 504) from None
             raise
         finally:
-            if timer:
-                timer.cancel()
+            timer.cancel()
             self.spark.removeTag(tag)
         if found["mode"] == "hybrid":
             merged, ranks = {}, {}
@@ -225,4 +249,9 @@ class SearchEngine:
         out = {"mode": found["mode"], "generation": self.snapshot.manifest["generation"], "hits": hits, "warnings": warnings}
         if request.explain:
             out["groups"], out["ast"] = found["groups"], found["ast"].to_dict() if found["ast"] else None
+            why = self.explanations(found["groups"], [i for i, _ in top]) if "lexical" in ranked else {}
+            own = {b: dict(r) for b, r in ranked.items()}
+            for h in hits:
+                h["explanation"] = {"terms": why.get(h["id"], []), "bm25": own.get("lexical", {}).get(h["id"]), "cosine": own.get("semantic", {}).get(h["id"]), "ranks": h["ranks"]}
+            out["timings_ms"] = {"plan": (planned - began) * 1000, "score": (scored - planned) * 1000, "total": (time.perf_counter() - began) * 1000}
         return out

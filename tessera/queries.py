@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.analyzer import nfkc_casefold, term_array
 from tessera.operators import lexical, retrieval
 from tessera.plans import dsl
+from tessera.plans.catalog import published
 from tessera.sources.documents import corpus, parts_corpus, violations
 
 _TOKEN = r"[\p{L}\p{N}]+"
@@ -27,14 +28,14 @@ b as (select query_id, id, sum(s) as score from (select query_id, grp, id, max(s
 _TOP = "select query_id, id, round(score, 6) as score, row_number() over (partition by query_id order by round(score, 6) desc, id) as rank from b qualify rank <= {k}"
 
 
-def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.analyzed(corpus(spark, d), exact_unicode=False)
-
-
-def _scored(spark: SparkSession, d: str, alternatives: DataFrame, k: int) -> DataFrame:
-    docs = _docs(spark, d)
-    posted = lexical.postings(docs, positions=False)
-    scores = lexical.score(alternatives, posted, lexical.field_stats(docs), lexical.document_frequency(posted))
+def _scored(spark: SparkSession, d: str, rows: list[tuple] | DataFrame, k: int) -> DataFrame:
+    """Top ``k`` of queries given as rows, whose terms are read by literal, or as a table of many terms."""
+    index = published(spark, d)
+    if isinstance(rows, list):
+        words = [r[3] for r in rows]
+        scores = lexical.score(_alternatives(spark, rows), index.hits(words), index.stats, index.frequencies(words), selected=True)
+    else:
+        scores = lexical.score(rows, index.postings, index.stats, index.df)
     return lexical.top_k(scores, k, digits=6).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -65,12 +66,12 @@ def _register(name: str, sql: str | None = None):
 
 @_register("bm25_two_field_topk", f"with {_POSTINGS}, {_values(_WORDS)}, {_BM25} {_TOP.format(k=20)}")
 def bm25_two_field_topk(spark, d):
-    return _scored(spark, d, _alternatives(spark, _WORDS), 20)
+    return _scored(spark, d, _WORDS, 20)
 
 
 @_register("bm25_alternative_max_groups", f"with {_POSTINGS}, {_values(_GROUPS)}, {_BM25} {_TOP.format(k=50)}")
 def bm25_alternative_max_groups(spark, d):
-    return _scored(spark, d, _alternatives(spark, _GROUPS), 50)
+    return _scored(spark, d, _GROUPS, 50)
 
 
 @_register("bm25_batch_queries", f"""with {_POSTINGS},
@@ -85,42 +86,41 @@ def bm25_batch_queries(spark, d):
   round(q.weight * case p.field when 'title' then 2.0 else 1.0 end * ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.len / (st.total_length / st.n))), 6) as contribution
   from q join p using (term) join df on df.term = p.term and df.field = p.field join st on st.field = p.field""")
 def bm25_explain_rows(spark, d):
-    docs = _docs(spark, d)
-    posted = lexical.postings(docs, positions=False)
-    rows = lexical.explain_rows(_alternatives(spark, _WORDS), posted, lexical.field_stats(docs), lexical.document_frequency(posted))
+    index, words = published(spark, d), [r[3] for r in _WORDS]
+    rows = lexical.explain_rows(_alternatives(spark, _WORDS), index.hits(words), index.stats, index.frequencies(words))
     return rows.withColumn("idf", F.round("idf", 6)).withColumn("contribution", F.round("contribution", 6))
 
 
-@_register("token_positions", f"with {_BASE} select id, term, unnest(range(len(bt))) as position from (select id, bt, unnest(bt) as term from t) where false union all select id, unnest(bt), unnest(range(len(bt))) from t")
+@_register("token_positions", f"with {_BASE} select id, 'body' as field, unnest(bt) as term, unnest(range(len(bt))) as position from t union all select id, 'title', unnest(tt), unnest(range(len(tt))) from t")
 def token_positions(spark, d):
-    return _docs(spark, d).select("id", F.posexplode("body_terms").alias("position", "term")).withColumn("position", F.col("position").cast("long"))
+    return published(spark, d).postings.select("id", "field", "term", F.explode(F.col("positions").cast("array<long>")).alias("position"))
 
 
 @_register("term_frequency", f"with {_POSTINGS} select id, field, term, tf, len from p")
 def term_frequency(spark, d):
-    return lexical.postings(_docs(spark, d), positions=False).withColumn("len", F.col("len").cast("long"))
+    return published(spark, d).postings.select("id", "field", "term", "tf", F.col("len").cast("long").alias("len"))
 
 
 @_register("document_frequency", f"with {_POSTINGS} select * from df")
 def document_frequency(spark, d):
-    return lexical.document_frequency(lexical.postings(_docs(spark, d), positions=False))
+    return published(spark, d).df.select("field", "term", "df")
 
 
 @_register("corpus_stats", f"with {_POSTINGS} select * from st")
 def corpus_stats(spark, d):
-    return lexical.field_stats(_docs(spark, d))
+    return published(spark, d).stats
 
 
 @_register("vocabulary_size", f"with {_POSTINGS} select count(distinct term) as terms from p where length(term) <= 64")
 def vocabulary_size(spark, d):
-    docs = _docs(spark, d)
-    return docs.select(F.explode(F.concat("title_terms", "body_terms")).alias("t")).where(F.length("t") <= 64).agg(F.countDistinct("t").alias("terms"))
+    return published(spark, d).df.where(F.length("term") <= 64).agg(F.countDistinct("term").alias("terms"))
 
 
 def _match(name: str, query: str, where: str):
     @_register(name, f"with {_BASE} select id from t where {where}")
     def run(spark, d):
-        return _docs(spark, d).where(dsl.compile_node(dsl.parse(query))).select("id")
+        index = published(spark, d)
+        return dsl.matching(index.docs, index.postings, dsl.parse(query), index.buckets).select("id")
 
 
 _IN = lambda w: f"(list_contains(tt, '{w}') or list_contains(bt, '{w}'))"
@@ -138,12 +138,12 @@ _match("missing_metadata_not", "NOT rating:>=4", "not coalesce(rating >= 4, fals
 
 @_register("filter_only_zero_score", f"with {_BASE} select id, 0.0::double as score from t where category = 'de' order by id limit 100")
 def filter_only_zero_score(spark, d):
-    return _docs(spark, d).where(dsl.compile_node(dsl.parse("category:de"))).select("id", F.lit(0.0).alias("score")).orderBy("id").limit(100)
+    return published(spark, d).docs.where(dsl.compile_node(dsl.parse("category:de"))).select("id", F.lit(0.0).alias("score")).orderBy("id").limit(100)
 
 
 @_register("parts_numeric_filter", "select 'part-' || p_partkey as id from part where p_retailprice > 950 and (p_size % 11) / 2.0 >= 3")
 def parts_numeric_filter(spark, d):
-    docs = lexical.analyzed(parts_corpus(spark, d), exact_unicode=False)
+    docs = lexical.analyzed(parts_corpus(spark, d), arrays=False)
     return docs.where(dsl.compile_node(dsl.parse("price:>950 AND rating:>=3"))).select("id")
 
 
@@ -155,12 +155,22 @@ k as (select unnest({_TOKENS!r}) as token), u as (select token, case when length
 m as (select token, term, levenshtein(token, term) as distance, v.df from u join v on abs(length(token) - length(term)) <= r and levenshtein(token, term) <= r)
 select token, term, distance, df, row_number() over (partition by token order by distance, df desc, term) as rank from m qualify rank <= 8""")
 def fuzzy_variants(spark, d):
-    posted = lexical.postings(_docs(spark, d), positions=False)
-    vocabulary = lexical.document_frequency(posted).groupBy("term").agg(F.sum("df").alias("df"))
+    vocabulary = published(spark, d).df.groupBy("term").agg(F.sum("df").alias("df"))
     out = retrieval.fuzzy_variants(spark.createDataFrame([(t,) for t in _TOKENS], "token string"), vocabulary)
     return out.withColumn("distance", F.col("distance").cast("long")).withColumn("rank", F.col("rank").cast("long"))
 
 
+@_register("bigram_candidates", f"""with {_POSTINGS}, v as (select distinct term from df where length(term) <= 64), k as (select unnest({_TOKENS!r}) as token),
+g as (select token as w, unnest(list_distinct(list_transform(range(1, length(token) + 2), lambda i: substr('^' || token || '$', i, 2)))) as g from k),
+h as (select term as w, unnest(list_distinct(list_transform(range(1, length(term) + 2), lambda i: substr('^' || term || '$', i, 2)))) as g from v),
+o as (select g.w as token, h.w as term, count(*) as overlap from g join h using (g) where abs(length(g.w) - length(h.w)) <= case when length(g.w) <= 7 then 1 else 2 end group by 1, 2)
+select token, term, overlap, row_number() over (partition by token order by overlap desc, term) as rank from o qualify rank <= 2000""")
+def bigram_candidates(spark, d):
+    vocabulary = published(spark, d).df.where(F.length("term") <= 64).select("term").distinct()
+    out = retrieval.bigram_candidates(spark.createDataFrame([(t,) for t in _TOKENS], "token string"), vocabulary)
+    return out.withColumn("rank", F.col("rank").cast("long"))
+
+
 _DOT = "round(list_inner_product(cast(e.embedding as double[]), cast(q.embedding as double[])), 6)"
 
 
@@ -191,7 +201,7 @@ s as (select cast(e.vec_id as varchar) as id, row_number() over (order by {_DOT}
 u as (select *, 'lexical' as br from l union all select *, 'semantic' from s)
 select id, round(sum(1.0 / (60 + rank)), 9) as score, max(rank) filter (br = 'lexical') as lexical_rank, max(rank) filter (br = 'semantic') as semantic_rank from u group by id""".replace("s as (select q.query_id", "s0 as (select q.query_id").replace("from s group by all) group by all)", "from s0 group by all) group by all)"))
 def rrf_fusion(spark, d):
-    left = _scored(spark, d, _alternatives(spark, _WORDS), 100).select(F.lit("q").alias("query_id"), F.lit("lexical").alias("branch"), F.replace("id", F.lit("doc-"), F.lit("")).alias("id"), "rank")
+    left = _scored(spark, d, _WORDS, 100).select(F.lit("q").alias("query_id"), F.lit("lexical").alias("branch"), F.replace("id", F.lit("doc-"), F.lit("")).alias("id"), "rank")
     right = lexical.top_k(_vectors(spark, d, [7]), 100).select(F.lit("q").alias("query_id"), F.lit("semantic").alias("branch"), F.col("id").cast("string").alias("id"), F.col("rank").cast("long").alias("rank"))
     fused = retrieval.fuse(left.unionByName(right), 1000)
     return fused.select("id", F.round("score", 9).alias("score"), F.col("ranks")["lexical"].alias("lexical_rank"), F.col("ranks")["semantic"].alias("semantic_rank"))
@@ -202,9 +212,11 @@ def _journal(spark, d):
     return e.select(F.col("event_id").alias("revision"), F.col("user_id").cast("string").alias("id"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("document"))
 
 
-@_register("journal_coalesce", "select cast(user_id as varchar) as id, max(event_id) as revision, nullif(arg_max(event_type, event_id), 'error') as document from events where event_id > 100 and event_id <= 5000 group by 1")
+@_register("journal_coalesce", "select cast(user_id as varchar) as id, max(event_id) as revision, nullif(arg_max(event_type, event_id), 'error') as document from events where event_id > 100 group by 1")
 def journal_coalesce(spark, d):
-    return retrieval.coalesce_mutations(_journal(spark, d), 100, 5000)
+    """The tail after the visible revision 100, through the last one in the table."""
+    journal = _journal(spark, d)
+    return retrieval.coalesce_mutations(journal, 100, journal.agg(F.max("revision")).first()[0] or 0)
 
 
 @_register("live_after_deletes", "select count(*) as live from (select arg_max(event_type, event_id) as e from events group by user_id) where e <> 'error'")
@@ -220,10 +232,9 @@ def shard_routing(spark, d):
 
 @_register("partial_coverage_topk", f"with {_POSTINGS}, {_values(_WORDS)}, {_BM25} select id, round(score, 6) as score from b where ('0x' || substr(sha256(id), 1, 16))::ubigint % 7 in (0, 2, 4) order by 2 desc, 1 limit 20")
 def partial_coverage_topk(spark, d):
-    docs = _docs(spark, d)
-    posted = lexical.postings(docs, positions=False)
-    up = docs.where(retrieval.shard_of(F.col("id"), 7).isin(0, 2, 4))
-    scores = lexical.score(_alternatives(spark, _WORDS), posted, lexical.field_stats(docs), lexical.document_frequency(posted), up)
+    index, words = published(spark, d), [r[3] for r in _WORDS]
+    up = index.hits(words).where(retrieval.shard_of(F.col("id"), 7).isin(0, 2, 4))
+    scores = lexical.score(_alternatives(spark, _WORDS), up, index.stats, index.frequencies(words), selected=True)
     return scores.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "id").limit(20).select("id", "score")
 
 

@@ -41,9 +41,14 @@ def violations() -> Column:
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of a JSONL file with ``violations``; unknown keys and coerced types are violations."""
+    """Documents of a JSONL file with ``violations``."""
+    return parse_jsonl(spark.read.text(path))
+
+
+def parse_jsonl(lines: DataFrame) -> DataFrame:
+    """Documents of JSON lines ``value``, with ``violations``; unknown keys and coerced types are violations, blank lines are skipped."""
     allowed = F.array(*[F.lit(f.name) for f in DOC_SCHEMA])
-    raw = spark.read.text(path).where(F.trim("value") != "")
+    raw = lines.where(F.trim("value") != "")
     doc = raw.withColumn("d", F.from_json("value", DOC_SCHEMA)).withColumn("m", F.from_json("value", T.MapType(T.StringType(), T.StringType())))
     number = lambda c: F.get_json_object("value", f"$.{c}")
     quoted = lambda c: F.col("value").rlike(rf'"{c}"\s*:\s*(?:"|true|false)')
@@ -64,9 +69,19 @@ def vector_violation(column: str, dimension: int) -> Column:
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
-    """``query_id, doc_id, grade`` from 3 or 4 whitespace columns; a repeated judgment is an error."""
-    parts = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("p")).where(F.size("p").isin(3, 4) & F.element_at("p", -1).rlike(r"^-?\d+$"))
-    out = parts.select(F.col("p")[0].alias("query_id"), F.element_at("p", -2).alias("doc_id"), F.element_at("p", -1).cast("int").alias("grade"))
+    """``query_id, doc_id, grade`` from 3 or 4 whitespace columns.
+
+    Only a header in the first line is skipped; any other malformed line and a repeated judgment are errors.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("p", F.split(F.trim("value"), r"\s+"))
+    shaped = F.size("p").isin(3, 4)
+    judged = shaped & F.element_at("p", -1).rlike(r"^-?\d+$")
+    first = lines.select("value", shaped.alias("shaped")).first()
+    header = first.value if first and first.shaped else None
+    bad = lines.where(~judged & ~F.col("value").eqNullSafe(F.lit(header))).select("value").first()
+    if bad:
+        raise SearchError("INVALID_QRELS", "malformed judgment", line=bad.value)
+    out = lines.where(judged).select(F.col("p")[0].alias("query_id"), F.element_at("p", -2).alias("doc_id"), F.element_at("p", -1).cast("int").alias("grade"))
     if not out.groupBy("query_id", "doc_id").count().where("count > 1").isEmpty():
         raise SearchError("INVALID_QRELS", "duplicate judgment")
     return out

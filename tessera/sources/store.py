@@ -28,7 +28,9 @@ from tessera.operators.retrieval import coalesce_mutations
 from tessera.sources.documents import DOC_SCHEMA, MAX_BATCH_BYTES, MAX_BATCH_DOCUMENTS, vector_violation, violations
 
 FORMAT = "tessera-1"
-MAX_PENDING, BUCKETS, KEPT_GENERATIONS = 100_000, 16, 3
+MAX_PENDING, KEPT_GENERATIONS = 100_000, 3
+POSTED_SCHEMA = f"{lexical.POSTINGS}, bucket int"
+SCHEMAS = {"postings": POSTED_SCHEMA, "df": "field string, term string, df long, bucket int"}
 JOURNAL_SCHEMA = T.StructType([T.StructField("revision", T.LongType()), T.StructField("id", T.StringType()), T.StructField("document", DOC_SCHEMA), T.StructField("vector", T.ArrayType(T.FloatType()))])
 NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]{0,63}")
 
@@ -47,6 +49,7 @@ class Index:
         if create:
             if config.exists():
                 raise SearchError("INDEX_EXISTS", "index exists", 409)
+            check_name(self.root.name)
             (self.root / "journal").mkdir(parents=True)
             (self.root / "generations").mkdir()
             config.write_text(json.dumps({"format": FORMAT, "dimension": dimension, "fingerprint": fingerprint}))
@@ -171,7 +174,7 @@ class Index:
             return high
         tail = coalesce_mutations(self.journal(), low, high)
         fresh = tail.where("document is not null").select("document.*", "vector", "revision")
-        fresh = lexical.analyzed(fresh)
+        fresh = lexical.analyzed(fresh, arrays=False)
         manifest = self.manifest()
         if manifest:
             live = self.spark.read.parquet(self._path(manifest["generation"], "docs")).join(tail.select("id"), "id", "left_anti")
@@ -191,14 +194,13 @@ class Index:
         target = self.root / "generations" / name
         docs.write.parquet(f"{target}/docs")
         docs = self.spark.read.parquet(f"{target}/docs")
-        posted = lexical.postings(docs).withColumn("bucket", F.expr(f"cast(pmod(xxhash64(term), {BUCKETS}) as int)"))
-        posted.repartition("bucket", "term").sortWithinPartitions("bucket", "field", "term", "id").write.partitionBy("bucket").parquet(f"{target}/postings")
-        posted = self.spark.read.parquet(f"{target}/postings")
-        lexical.field_stats(docs).coalesce(1).write.parquet(f"{target}/stats")
-        lexical.document_frequency(posted).write.parquet(f"{target}/df")
+        buckets = lexical.write_postings(docs, str(target))
+        posted = self.spark.read.schema(POSTED_SCHEMA).parquet(f"{target}/postings")
+        lexical.stats_of(posted).coalesce(1).write.parquet(f"{target}/stats")
+        lexical.write_frequencies(posted, str(target))
         self.hook("generation")
         files = {str(p.relative_to(target)): hashlib.sha256(p.read_bytes()).hexdigest() for p in sorted(target.rglob("*.parquet")) if p.is_file()}
-        manifest = {"format": FORMAT, "generation": name, "revision": revision, "live": docs.count(), "files": files}
+        manifest = {"format": FORMAT, "generation": name, "revision": revision, "live": docs.count(), "buckets": buckets, "files": files}
         body = json.dumps(manifest, sort_keys=True).encode()
         (target / "manifest.json").write_bytes(body)
         self.hook("manifest")
@@ -231,5 +233,10 @@ class Snapshot:
 
     def __init__(self, index: Index, manifest: dict):
         self.manifest, self.config = manifest, index.config
-        read = lambda t: index.spark.read.parquet(index._path(manifest["generation"], t))
+        self.buckets = manifest["buckets"]
+
+        def read(t: str) -> DataFrame:
+            reader = index.spark.read.schema(SCHEMAS[t]) if t in SCHEMAS else index.spark.read  # a generation may hold no posting
+            return reader.parquet(index._path(manifest["generation"], t))
+
         self.docs, self.postings, self.stats, self.df = read("docs"), read("postings"), read("stats"), read("df")

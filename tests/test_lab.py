@@ -21,3 +21,25 @@ def test_ablations_and_report(spark, tmp_path):
     text = (tmp_path / "out/report.html").read_text()
     assert "&lt;b&gt;earbuds" in text and "<b>" not in text
     assert set(json.loads((tmp_path / "out/report.json").read_text())["runs"]) == set(summary)
+
+
+def test_inputs_belong_together(spark, tmp_path):
+    import pytest
+
+    from tessera.errors import SearchError
+
+    docs = spark.createDataFrame([("a", "t", "", "document", None, [], None, None), ("b", "t", "", "document", None, [], None, None)], DOC_SCHEMA)
+    (tmp_path / "q.jsonl").write_text('{"id": "q1", "text": "t"}\n\n')
+    queries = lab.load_queries(str(tmp_path / "q.jsonl"))
+    qrels = lambda *rows: spark.createDataFrame(rows, "query_id string, doc_id string, grade int")
+    with Index(spark, str(tmp_path / "i"), create=True) as index:
+        index.ingest(docs)
+        index.refresh()
+        engine = SearchEngine(index.snapshot())
+        lab.check_inputs(queries, qrels(("q1", "a", 1)), docs, engine)
+        for code, given, corpus in (("UNKNOWN_QUERY", qrels(("q2", "a", 1)), docs), ("UNKNOWN_DOCUMENT", qrels(("q1", "z", 1)), docs), ("CORPUS_MISMATCH", qrels(("q1", "a", 1)), docs.where("id = 'a'"))):
+            with pytest.raises(SearchError) as e:
+                lab.check_inputs(queries, given, corpus, engine)
+            assert e.value.code == code
+    assert lab.spread([3.0, 1.0, 2.0]) == {"min": 1.0, "median": 2.0, "max": 3.0}
+    assert len(lab.input_checksums(str(tmp_path / "q.jsonl"))["q.jsonl"]) == 64

@@ -152,7 +152,7 @@ def test_lifecycle_visibility_and_faults(spark, tmp_path):
                 i.ingest(table(spark, rows))
         assert i.durable_revision() == 6
         i.verify()
-        victim = next((tmp_path / "i" / "generations" / i.manifest()["generation"] / "df").glob("*.parquet"))
+        victim = next((tmp_path / "i" / "generations" / i.manifest()["generation"] / "df").rglob("*.parquet"))
         victim.write_bytes(b"x")
         with pytest.raises(SearchError, match="checksum"):
             i.verify()
@@ -161,10 +161,81 @@ def test_lifecycle_visibility_and_faults(spark, tmp_path):
 def test_streaming_refresh(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
-    (source / "1.json").write_text(json.dumps({"id": "s", "title": "streamed"}) + "\n")
+    (source / "1.json").write_text("\n".join(json.dumps(x) for x in [{"id": "s", "title": "streamed"}, {"id": "t", "title": "x", "odd": 1}, {"id": "u", "title": "x", "price": "3"}]) + "\n")
     with Index(spark, str(tmp_path / "i"), create=True) as i:
         refresh_stream(i, str(source), str(tmp_path / "c"), interval=None).awaitTermination(120)
         assert [r.title for r in i.snapshot().docs.collect()] == ["streamed"]
+        rejected = {r.id: r.violations for r in spark.read.json(str(tmp_path / "i/rejected/*")).collect()}
+        assert set(rejected) == {"t", "u"} and rejected["t"] == ["unknown_field"]
+        import shutil
+
+        shutil.rmtree(tmp_path / "c")  # the same batch comes again
+        refresh_stream(i, str(source), str(tmp_path / "c"), interval=None).awaitTermination(120)
+        assert i.durable_revision() == 1
+
+
+def test_explanations_add_up(index):
+    out = SearchEngine(index.snapshot()).search(SearchRequest("storage systems", typo_tolerance=False, explain=True, timeout_ms=5000))
+    assert [h["id"] for h in out["hits"]] and set(out["timings_ms"]) == {"plan", "score", "total"}
+    for h in out["hits"]:
+        why = h["explanation"]
+        assert sum(t["contribution"] for t in why["terms"]) == pytest.approx(h["score"]) == why["bm25"] and why["cosine"] is None
+    assert {(t["term"], t["field"], t["df"]) for h in out["hits"] for t in h["explanation"]["terms"]} == {("storage", "title", 1), ("storage", "body", 1), ("systems", "title", 1), ("systems", "body", 1)}
+
+
+def test_pruned_postings_read_only_their_buckets(index):
+    snap = index.snapshot()
+    hits = lexical.pruned(snap.postings, ["storage", "earbuds"], snap.buckets)
+    assert {(r.id, r.term) for r in hits.collect()} == {("c", "storage"), ("d", "storage"), ("a", "earbuds")}
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket", "bucket") and "In(term" in plan
+
+
+def test_postings_clauses_equal_array_clauses(spark, index):
+    snap, arrays = index.snapshot(), lexical.analyzed(table(spark))
+    for q in ['"distributed systems" OR (NOT storage AND kind:product)', "title:(database OR storage) AND NOT rating:<3", "NOT absent", "kind:service", 'body:"new systems"', "absent"]:
+        node = dsl.parse(q)
+        got = dsl.matching(snap.docs, snap.postings, node, snap.buckets)
+        assert got.columns == snap.docs.columns
+        assert {r.id for r in got.collect()} == {r.id for r in arrays.where(dsl.compile_node(node)).collect()}, q
+
+
+def test_estimates_bound_the_matches():
+    df = {"a": 5, "b": 3}
+    for query, most in (("a", 5), ("a AND b", 3), ("a OR b", 8), ("NOT a", 10), ("absent", 0), ("kind:product", 10), ('"a b"', 3), ("title:a", 5)):
+        assert dsl.estimate(dsl.parse(query), df, 10) == most, query
+
+
+def test_deadline_and_names(spark, tmp_path, index):
+    from tessera.plans import engine
+
+    with pytest.raises(SearchError, match="name"):
+        Index(spark, str(tmp_path / "bad name"), create=True)
+    slow = SearchEngine(index.snapshot())
+    slow.branches = lambda request: (_ for _ in ()).throw(RuntimeError("cancelled")) if engine.time.sleep(0.2) is None else None
+    with pytest.raises(SearchError) as e:
+        slow.search(SearchRequest("x", timeout_ms=10))
+    assert e.value.code == "DEADLINE_EXCEEDED"
+
+
+def test_command_line_refuses_a_whole_batch(spark, tmp_path, monkeypatch):
+    from tessera import cli
+
+    monkeypatch.setattr(cli, "BATCH", 2)
+    f = tmp_path / "d.jsonl"
+    f.write_text("\n".join(json.dumps(x) for x in [{"id": "a", "title": "t"}, {"id": "b", "title": "t"}, {"id": "c", "title": "t"}, {"id": "d", "title": " "}]))
+    with Index(spark, str(tmp_path / "i"), create=True) as i:
+        with pytest.raises(SearchError) as e:
+            cli.ingest(i, str(f))
+        assert e.value.code == "INVALID_DOCUMENT" and e.value.details["id"] == "d" and i.durable_revision() == 2
+
+
+def test_offsets(spark):
+    from tessera.functions.analyzer import analyze, token_offsets
+
+    text = "Straße Ａb_c 9"
+    got = spark.createDataFrame([(text,), (None,)], "t string").select(token_offsets("t").alias("o")).collect()
+    assert [tuple(x) for x in got[0].o] == analyze(text) == [("strasse", 0, 0, 7), ("ab", 1, 8, 10), ("c", 2, 11, 12), ("9", 3, 13, 14)] and got[1].o == []
 
 
 def test_vectors_filter_before_top_k(spark, tmp_path):
@@ -187,6 +258,10 @@ def test_strict_sources(spark, tmp_path):
     q = tmp_path / "q.tsv"
     q.write_text("query-id corpus-id score\n1 a 2\n1 0 b 0\n")
     assert sorted((r.query_id, r.doc_id, r.grade) for r in read_qrels(spark, str(q)).collect()) == [("1", "a", 2), ("1", "b", 0)]
+    for bad in ("1 a 2\nquery corpus score\n", "q d g\n1 a\n", "1 a 2\n1 a 3\n"):
+        q.write_text(bad)
+        with pytest.raises(SearchError):
+            read_qrels(spark, str(q))
     s = tmp_path / "s.json"
     s.write_text(json.dumps({"version": 1, "rules": [{"from": "chill room", "to": ["AC repair"], "direction": "equivalent"}]}))
     assert load_synonyms(str(s)) == {("chill", "room"): [("ac", "repair")], ("ac", "repair"): [("chill", "room")]}
