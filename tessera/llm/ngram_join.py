@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .pairing import linked_components, parity, shared_signatures
-from .tokens import U64, lean, mix, shingle_sets, slices
+from .tokens import U64, give_back, lean, mix, shingle_sets, slices
 from .workspace import Workspace
 
 #: Most shingles in the broadcast table of frequent ones (8 bytes each).
@@ -259,4 +259,7 @@ def _of_set(size: int):
 def _frequent(spark: SparkSession, counted: DataFrame):
     """The most frequent shingles, at most FREQUENT_BOUND of them, sorted and broadcast."""
     top = counted.orderBy(F.desc("texts"), "token").limit(FREQUENT_BOUND).select("token").toArrow()
-    return spark.sparkContext.broadcast(np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64)))
+    out = spark.sparkContext.broadcast(np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64)))
+    del top
+    give_back()
+    return out

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tokens import ALNUM, Words, lean, slices
+from .tokens import ALNUM, Words, give_back, lean, slices
 from .workspace import Workspace, bound_batches
 
 ORDER = 5
@@ -265,6 +265,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, train_bound: int = TRA
         table = [found.column(c).to_numpy().astype(np.float32) for c in names]
         scoring.append(spark.sparkContext.broadcast((gram, table[:1])))
         fitted.append(spark.sparkContext.broadcast((gram, table[1:])))
+        del found, gram, table
     work.drop(grams, ratios)
     model = ToxicityModel(order, scoring)
     rows = docs.join(F.broadcast(train), "doc_id").select(F.struct("label").alias("kept"), "text", F.col("fold").alias("which"))
@@ -275,6 +276,8 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, train_bound: int = TRA
         x = np.array(rows.column("evidence").to_pylist())
         beta = _logistic(x, rows.column("label").to_numpy())
         model.slopes, model.offset = tuple(map(float, beta[:-1])), float(beta[-1])
+    del rows
+    give_back()
     return model
 
 
