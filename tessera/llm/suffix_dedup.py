@@ -276,9 +276,10 @@ def repeated_passages(documents: DataFrame, length: int = LENGTH, seed: int = SE
     spans = lost.groupBy("sid").agg(F.collect_set(F.struct("start", "end")).alias("spans")).mapInArrow(
         _merge, "sid long, spans array<struct<start:int,end:int>>, lost long"
     )
-    spans = work.save(spans)
+    # A table of its own: a text with many copies is then a skewed side of a join, which can be split.
+    judged = work.save(heads.join(spans, "sid", "left"))
     copy = F.expr(f"doc_id is not null and doc_id <> head and words >= {length}")
-    return texts.join(heads, "sid", "left").join(spans, "sid", "left").select(
+    return texts.join(judged.hint("merge"), "sid", "left").select(
         "doc_id",
         F.col("words").alias("n_words"),
         F.when(copy, F.col("words")).when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.coalesce("lost", F.lit(0))).cast("long").alias("n_removed"),
