@@ -16,10 +16,12 @@ _LOCAL_FALLBACK: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; only where none is configured (tests) a temporary one."""
+    """The cluster's checkpoint folder; only in local mode without one (tests) a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _LOCAL_FALLBACK:
         _LOCAL_FALLBACK.append("file://" + tempfile.mkdtemp(prefix="tessera-"))
         atexit.register(_remove_fallback)
