@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -18,7 +20,9 @@ def ship_package(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     top = Path(__file__).parent
-    target = os.path.join(tempfile.mkdtemp(prefix="tessera-"), "tessera.zip")
+    folder = tempfile.mkdtemp(prefix="tessera-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, "tessera.zip")
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(top.rglob("*.py")):
             z.write(p, f"tessera/{p.relative_to(top)}")
