@@ -10,6 +10,11 @@ from tessera.functions.analyzer import bigrams, dot
 RRF_CONSTANT, MAX_VARIANTS, MAX_CANDIDATES = 60, 8, 2000
 
 
+def respellable(term: Column) -> Column:
+    """Terms with a digit, overlong terms and terms under four letters are left as they are."""
+    return (F.length(term) >= 4) & (F.length(term) <= 64) & ~term.rlike(r"\p{Nd}")
+
+
 def radius(term: Column) -> Column:
     return F.when(F.length(term) <= 7, 1).otherwise(2)
 
@@ -21,7 +26,7 @@ def fuzzy_variants(tokens: DataFrame, vocabulary: DataFrame, limit: int = MAX_VA
     for tokens of four letters or more); edit distance decides.
     """
     known = vocabulary.where(F.length("term") <= 64)
-    unknown = tokens.where((F.length("token") >= 4) & ~F.col("token").rlike(r"\p{Nd}") & (F.length("token") <= 64)).join(known.select(F.col("term").alias("token")), "token", "left_anti")
+    unknown = tokens.where(respellable(F.col("token"))).join(known.select(F.col("term").alias("token")), "token", "left_anti")
     near = unknown.withColumn("r", radius(F.col("token"))).withColumn("g", F.explode(bigrams(F.col("token"))))
     pairs = near.join(known.withColumn("g", F.explode(bigrams(F.col("term")))), "g").where(F.abs(F.length("token") - F.length("term")) <= F.col("r"))
     pairs = pairs.select("token", "term", "df", "r").distinct().withColumn("distance", F.levenshtein("token", "term")).where(F.col("distance") <= F.col("r"))
@@ -58,14 +63,19 @@ def shard_of(id_column: Column, shards: int) -> Column:
     return (head % shards).cast("int")
 
 
+def first_ranks(run: DataFrame) -> DataFrame:
+    """``query_id, doc_id, rank``: every document once, at its first place, ranks closed up from 1."""
+    first = run.groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank"))
+    by = Window.partitionBy("query_id").orderBy("rank", "doc_id")
+    return first.withColumn("rank", F.row_number().over(by))
+
+
 def relevance(run: DataFrame, qrels: DataFrame) -> DataFrame:
     """``query_id, ndcg_10, mrr_10, recall_10, recall_100, success_5`` of every judged query.
 
     ``run(query_id, doc_id, rank)``; a document counts at its first rank only.
     """
-    first = run.groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank"))
-    by = Window.partitionBy("query_id").orderBy("rank", "doc_id")
-    placed = first.withColumn("rank", F.row_number().over(by))
+    placed = first_ranks(run)
     gain = lambda g, r: (F.pow(F.lit(2.0), g) - 1) / F.log2(r + 1.0)
     ideal_by = Window.partitionBy("query_id").orderBy(F.desc("grade"), "doc_id")
     ideal = qrels.withColumn("i", F.row_number().over(ideal_by)).groupBy("query_id").agg(
@@ -95,3 +105,27 @@ def summarize(runs: DataFrame) -> DataFrame:
 def coalesce_mutations(journal: DataFrame, above: int, through: int) -> DataFrame:
     """The last mutation of each id in ``(above, through]``."""
     return journal.where((F.col("revision") > above) & (F.col("revision") <= through)).groupBy("id").agg(F.max_by(F.struct(*[c for c in journal.columns if c != "id"]), "revision").alias("m")).select("id", "m.*")
+
+
+def merge_live(live: DataFrame, tail: DataFrame) -> DataFrame:
+    """``live`` after the coalesced mutations ``tail(id, document, ...)``: mutated ids go, unless deleted their new form comes."""
+    return live.join(tail.select("id"), "id", "left_anti").unionByName(tail.where("document is not null").select(*live.columns))
+
+
+def merge_shards(scores: DataFrame, k: int) -> DataFrame:
+    """``query_id, id, score, rank`` from rows with a ``shard``: each shard's first ``k`` are merged, which gives the first ``k`` of all."""
+    own = Window.partitionBy("query_id", "shard").orderBy(F.desc("score"), "id")
+    short = scores.withColumn("place", F.row_number().over(own)).where(F.col("place") <= k).drop("place", "shard")
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return short.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+
+def spread(runs: DataFrame, by: str, value: str) -> DataFrame:
+    """Least, middle and greatest ``value`` of repeated runs."""
+    return runs.groupBy(by).agg(F.min(value).alias("least"), F.percentile(value, 0.5).alias("middle"), F.max(value).alias("greatest"))
+
+
+def set_difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows, counted as often as they occur, that stand on one side only, with ``side``; none if the two are equal."""
+    one = lambda a, b, side: a.exceptAll(b).withColumn("side", F.lit(side))
+    return one(left, right, "left").unionByName(one(right, left, "right"))

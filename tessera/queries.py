@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.analyzer import nfkc_casefold, term_array
+from tessera.functions.embedding import embedding_text
 from tessera.operators import lexical, retrieval
 from tessera.plans import dsl
 from tessera.plans.catalog import published
-from tessera.sources.documents import corpus, parts_corpus, violations
+from tessera.sources.documents import corpus, parts_corpus, vector_violation, violations
 
 _TOKEN = r"[\p{L}\p{N}]+"
 _BASE = rf"""c as (
@@ -269,6 +272,179 @@ def unknown_judgments(spark, d):
     return spark.read.parquet(f"{d}/labels.parquet").select("doc_id").join(english.select("doc_id"), "doc_id", "left_anti")
 
 
-@_register("nfkc_casefold_tokens")
+@_register("nfkc_casefold_tokens", f"with {_BASE} select id, cast(len(tt) + len(bt) as bigint) as n_terms from t")
 def nfkc_casefold_tokens(spark, d):
-    return corpus(spark, d).select("id", F.size(term_array(nfkc_casefold(F.concat_ws("\n", "title", "body")))).alias("n_terms"))
+    """The exact analyzer; the SQL folds by lower case and the sharp s, all that these texts need."""
+    return corpus(spark, d).select("id", F.size(term_array(nfkc_casefold(embedding_text()))).cast("long").alias("n_terms"))
+
+
+def _filters(name: str, filters: list[tuple], where: str):
+    @_register(name, f"with {_BASE} select id from t where {where}")
+    def run(spark, d):
+        conditions = [dsl.filter_predicate(*f) for f in filters]
+        return published(spark, d).docs.where(functools.reduce(Column.__and__, conditions)).select("id")
+
+
+_filters("filter_keyword_in", [("category", "in", ["de", "FR"])], "category in ('de', 'fr')")
+_filters("filters_conjunction", [("category", "eq", "EN"), ("tags", "in", ["src1", "src2", "src3"]), ("rating", "gte", 5)], "category = 'en' and tag in ('src1', 'src2', 'src3') and coalesce(rating >= 5, false)")
+_match("phrase_in_field", 'body:"mit license" OR title:"mit license" AND NOT idiot', f"array_to_string(bt, ' ') ~ '(^|.* )mit license( .*|$)' or (array_to_string(tt, ' ') ~ '(^|.* )mit license( .*|$)' and not {_IN('idiot')})")
+
+_HELD = lambda a: f"' ' || array_to_string({a}, ' ') || ' ' like '% mit license %'"
+
+
+@_register("phrase_postings", f"with {_BASE} select id, 'title' as field from t where {_HELD('tt')} union all select id, 'body' from t where {_HELD('bt')}")
+def phrase_postings(spark, d):
+    return lexical.phrase_matches(published(spark, d).hits(["mit", "license"]), ["mit", "license"])
+
+
+_PHRASE = [("p", 0, 0, "mit", None, 0.8), ("p", 0, 0, "license", None, 0.8)]
+
+
+@_register("bm25_phrase_alternative", f"with {_POSTINGS}, {_values(_PHRASE)}, {_BM25} select id, round(score, 6) as score from b where id in (select id from t where {_HELD('tt')} or {_HELD('bt')})")
+def bm25_phrase_alternative(spark, d):
+    """A phrase scores as the sum of its words, in documents that hold it."""
+    index, words = published(spark, d), ["mit", "license"]
+    hits = index.hits(words)
+    inside = hits.join(lexical.phrase_matches(hits, words).select("id").distinct(), "id", "left_semi")
+    return lexical.score(_alternatives(spark, _PHRASE), inside, index.stats, index.frequencies(words), selected=True).select("id", F.round("score", 6).alias("score"))
+
+
+_ONE = [("z", 0, 0, "license", None, 1.0)]
+
+
+@_register("zero_filled_scores", f"with {_POSTINGS}, {_values(_ONE)}, {_BM25} select t.id, coalesce(round(score, 6), 0.0)::double as score from t left join b using (id) where {_IN('license')} or category = 'de'")
+def zero_filled_scores(spark, d):
+    """Documents that a query admits by a filter alone score zero."""
+    index = published(spark, d)
+    eligible = dsl.matching(index.docs, index.postings, dsl.parse("license OR category:de"), index.buckets).select("id")
+    scores = lexical.score(_alternatives(spark, _ONE), index.hits(["license"]), index.stats, index.frequencies(["license"]), eligible, selected=True)
+    return eligible.join(scores.drop("query_id"), "id", "left").select("id", F.coalesce(F.round("score", 6), F.lit(0.0)).alias("score"))
+
+
+@_register("fetched_second_page", f"with {_POSTINGS}, {_values(_WORDS)}, {_BM25}, r as ({_TOP.format(k=20)}) select r.rank, r.id, c.title, c.category from r join c using (id) where r.rank > 10")
+def fetched_second_page(spark, d):
+    page = _scored(spark, d, _WORDS, 20).where("rank > 10").select("rank", "id")
+    return page.join(published(spark, d).docs.select("id", "title", "category"), "id").select("rank", "id", "title", "category")
+
+
+_SPELLED = f"""v as (select term, cast(sum(df) as bigint) as df from df where length(term) <= 64 group by 1),
+k as (select unnest({_TOKENS!r}) as token), u as (select token, case when length(token) <= 7 then 1 else 2 end as r from k where token not in (select term from v)),
+m as (select token, term, levenshtein(token, term) as distance, v.df from u join v on abs(length(token) - length(term)) <= r and levenshtein(token, term) <= r),
+y as (select token, term, row_number() over (partition by token order by distance, df desc, term) as rank from m qualify rank <= 8),
+q as (select 'f' as query_id, token as grp, rank as alt, term, null::varchar as field, 0.7 as weight from y union all select 'f', token, 0, token, null, 1.0 from k)"""
+
+
+@_register("bm25_respelled", f"with {_POSTINGS}, {_SPELLED}, {_BM25} {_TOP.format(k=50)}")
+def bm25_respelled(spark, d):
+    """Each token and its respellings, at a lower weight, are alternatives of one group."""
+    index = published(spark, d)
+    tokens = spark.createDataFrame([(t,) for t in _TOKENS], "token string")
+    near = retrieval.fuzzy_variants(tokens, index.df.groupBy("term").agg(F.sum("df").alias("df")))
+    row = lambda t, alt, term, weight: t.select(F.lit("f").alias("query_id"), F.col("token").alias("grp"), alt.alias("alt"), F.col(term).alias("term"), F.lit(None).cast("string").alias("field"), F.lit(weight).alias("weight"))
+    return _scored(spark, d, row(tokens, F.lit(0), "token", 1.0).unionByName(row(near, F.col("rank"), "term", 0.7)), 50)
+
+
+@_register("protected_terms", f"with {_POSTINGS} select distinct term from df where length(term) < 4 or length(term) > 64 or regexp_matches(term, '\\p{{Nd}}')")
+def protected_terms(spark, d):
+    return published(spark, d).df.where(~retrieval.respellable(F.col("term"))).select("term").distinct()
+
+
+@_register("cardinality_estimate", f"with {_POSTINGS}, n as (select term, sum(df) as n from df group by 1) select cast(least((select n from n where term = 'license'), least((select count(*) from c), (select sum(n) from n where term in ('the', 'idiot')))) as bigint) as most")
+def cardinality_estimate(spark, d):
+    """The upper bound by which conjuncts can be ordered: three document frequencies and a count."""
+    index, words = published(spark, d), ["license", "the", "idiot"]
+    df = {r.term: r.n for r in index.frequencies(words).groupBy("term").agg(F.sum("df").alias("n")).collect()}
+    return spark.createDataFrame([(dsl.estimate(dsl.parse("license AND (the OR idiot)"), df, index.docs.count()),)], "most long")
+
+
+@_register("shard_sizes", f"with {_POSTINGS}, k as (select id, cast(('0x' || substr(sha256(id), 1, 16))::ubigint % 7 as bigint) as shard from c) select shard, count(distinct k.id) as documents, count(p.term) as postings from k left join p using (id) group by 1")
+def shard_sizes(spark, d):
+    index, shard = published(spark, d), retrieval.shard_of(F.col("id"), 7).cast("long").alias("shard")
+    counted = index.postings.groupBy(shard).agg(F.count("*").alias("postings"))
+    return index.docs.groupBy(shard).agg(F.count("*").alias("documents")).join(counted, "shard", "left").select("shard", "documents", F.coalesce("postings", F.lit(0)).alias("postings"))
+
+
+@_register("shard_merge_topk", f"with {_POSTINGS}, {_values(_WORDS)}, {_BM25} {_TOP.format(k=20)}")
+def shard_merge_topk(spark, d):
+    """The first of each of seven shards, merged, are the first of the whole."""
+    index, words = published(spark, d), [r[3] for r in _WORDS]
+    scores = lexical.score(_alternatives(spark, _WORDS), index.hits(words), index.stats, index.frequencies(words), selected=True)
+    dealt = scores.select("query_id", "id", F.round("score", 6).alias("score"), retrieval.shard_of(F.col("id"), 7).alias("shard"))
+    return retrieval.merge_shards(dealt, 20).withColumn("rank", F.col("rank").cast("long"))
+
+
+@_register("index_statistics", f"with {_POSTINGS} select (select count(*) from c) as documents, (select count(*) from p) as postings, (select count(distinct term) from df) as terms, (select cast(sum(strlen(coalesce(title, '')) + strlen(coalesce(body, ''))) as bigint) from c) as text_bytes")
+def index_statistics(spark, d):
+    index = published(spark, d)
+    size = F.sum(F.octet_length(F.coalesce("title", F.lit(""))) + F.octet_length(F.coalesce("body", F.lit("")))).cast("long")
+    docs = index.docs.agg(F.count("*").alias("documents"), size.alias("text_bytes"))
+    return docs.crossJoin(index.postings.agg(F.count("*").alias("postings"))).crossJoin(index.df.agg(F.countDistinct("term").alias("terms"))).select("documents", "postings", "terms", "text_bytes")
+
+
+@_register("embedding_texts", f"with {_BASE} select id, md5(concat_ws(chr(10), title, body)) as text_md5 from c")
+def embedding_texts(spark, d):
+    return published(spark, d).docs.select("id", F.md5(embedding_text().cast("binary")).alias("text_md5"))
+
+
+@_register("invalid_vectors", """with v as (select vec_id, case vec_id % 100 when 7 then embedding[:3] when 11 then null when 13 then list_transform(embedding, lambda x: 0::float) else embedding end as v, len(embedding) as n from embeddings)
+select vec_id, coalesce(len(v) <> n or sqrt(list_sum(list_transform(v, lambda x: x::double * x))) < 1e-6, true) as bad from v""")
+def invalid_vectors(spark, d):
+    """The check at ingest, over vectors of which some are cut, missing or zero."""
+    e, rest = spark.read.parquet(f"{d}/embeddings.parquet"), F.col("vec_id") % 100
+    size = e.select(F.size("embedding")).first()
+    spoilt = F.when(rest == 7, F.slice("embedding", 1, 3)).when(rest == 11, F.lit(None)).when(rest == 13, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding"))
+    return e.select("vec_id", spoilt.alias("v")).select("vec_id", vector_violation("v", size[0] if size else 0).alias("bad"))
+
+
+@_register("live_after_merge", "select cast(user_id as varchar) as id, arg_max(event_type, event_id) as document from events group by 1 having arg_max(event_type, event_id) <> 'error'")
+def live_after_merge(spark, d):
+    """A first generation through the middle revision, merged with the coalesced rest, is the live set."""
+    journal = _journal(spark, d)
+    last = journal.agg(F.max("revision")).first()[0] or 0
+    base = retrieval.coalesce_mutations(journal, -1, last // 2).where("document is not null").select("id", "document")
+    return retrieval.merge_live(base, retrieval.coalesce_mutations(journal, last // 2, last))
+
+
+@_register("ordered_distinct", "select cast(user_id as varchar) as query_id, event_type as doc_id, row_number() over (partition by user_id order by min(event_id), event_type) as rank from events group by user_id, event_type")
+def ordered_distinct(spark, d):
+    run = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("query_id"), F.col("event_type").alias("doc_id"), F.col("event_id").alias("rank"))
+    return retrieval.first_ranks(run).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
+
+
+@_register("run_spread", "select event_type, min(value) as least, round(median(value), 6) as middle, max(value) as greatest from events group by 1")
+def run_spread(spark, d):
+    return retrieval.spread(spark.read.parquet(f"{d}/events.parquet"), "event_type", "value").withColumn("middle", F.round("middle", 6))
+
+
+@_register("set_difference", "(select doc_id, 'left' as side from (select doc_id from documents except all select doc_id from labels)) union all (select doc_id, 'right' from (select doc_id from labels except all select doc_id from documents))")
+def set_difference(spark, d):
+    read = lambda t: spark.read.parquet(f"{d}/{t}.parquet").select("doc_id")
+    return retrieval.set_difference(read("documents"), read("labels"))
+
+
+_METRICS = ("ndcg_10", "mrr_10", "recall_10", "recall_100", "success_5")
+
+
+@_register("run_summaries", f"""with r as (select event_type as system, ['all', 'g' || user_id % 3] as groups, value as latency_ms, event_id % 11 = 0 as error, {', '.join(f'(event_id % {i + 3}) / {i + 3}.0 as {m}' for i, m in enumerate(_METRICS))} from events),
+x as (select *, unnest(groups) as grp from r) select system, grp, count(*) as queries, count(*) filter (error) as errors, {', '.join(f'round(avg({m}), 6) as {m}' for m in _METRICS)},
+  {', '.join(f'round(quantile_cont(latency_ms, {p / 100}), 6) as p{p}' for p in (50, 95, 99))} from x group by 1, 2""")
+def run_summaries(spark, d):
+    """Means, counts and percentiles per system and group, with events as the judged runs."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    runs = e.select(F.col("event_type").alias("system"), F.array(F.lit("all"), F.concat(F.lit("g"), F.col("user_id") % 3)).alias("groups"), F.col("value").alias("latency_ms"), (F.col("event_id") % 11 == 0).alias("error"), *[((F.col("event_id") % (i + 3)) / float(i + 3)).alias(m) for i, m in enumerate(_METRICS)])
+    out = retrieval.summarize(runs)
+    return out.select("system", "grp", "queries", "errors", *[F.round(c, 6).alias(c) for c in out.columns[4:]])
+
+
+@_register("metrics_without_positives", """with j as (select event_id // 20 as query_id, event_id as doc_id, event_id % 20 + 1 as rank, case when (event_id // 20) % 2 = 0 then 0 else event_id % 3 end as grade from events),
+r as (select query_id, cast(sum(case when rank <= 10 then (pow(2, grade) - 1) / log2(rank + 1) else 0 end) as double) as dcg, count(*) filter (grade > 0) as relevant, count(*) filter (grade > 0 and rank <= 10) as h10, count(*) filter (grade > 0 and rank <= 5) as h5,
+  min(rank) filter (grade > 0 and rank <= 10) as first from j group by 1),
+i as (select query_id, sum((pow(2, grade) - 1) / log2(k + 1)) as ideal from (select *, row_number() over (partition by query_id order by grade desc, doc_id) as k from j) where k <= 10 group by 1)
+select query_id, round(case when ideal > 0 then dcg / ideal else 0 end, 6) as ndcg_10, round(coalesce(1.0 / first, 0), 6)::double as mrr_10, round(case when relevant > 0 then h10 / relevant else 0 end, 6) as recall_10,
+  (case when relevant > 0 then 1 else 0 end)::double as recall_100, (case when h5 > 0 then 1 else 0 end)::double as success_5 from r join i using (query_id)""")
+def metrics_without_positives(spark, d):
+    """Graded judgments; every other query has no positive one and scores zero."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.expr("event_id div 20").alias("query_id"), F.col("event_id").alias("doc_id"), (F.col("event_id") % 20 + 1).alias("rank"))
+    graded = e.select("query_id", "doc_id", F.when(F.col("query_id") % 2 == 0, 0).otherwise(F.col("doc_id") % 3).cast("int").alias("grade"))
+    out = retrieval.relevance(e, graded)
+    return out.select("query_id", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
