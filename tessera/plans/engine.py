@@ -5,7 +5,6 @@ from __future__ import annotations
 import threading
 import time
 from dataclasses import dataclass, field
-from typing import Protocol
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -13,21 +12,16 @@ from pyspark.sql import functions as F
 
 from tessera.errors import SearchError
 from tessera.functions.analyzer import dot, protected, terms
+from tessera.functions.embedding import EmbeddingProvider
 from tessera.operators import lexical, retrieval
 from tessera.plans import dsl
 from tessera.sources.documents import DOC_SCHEMA, KEYWORD_FIELDS, NUMERIC_FIELDS
 from tessera.sources.store import Snapshot
+from tessera.telemetry import Telemetry
 
 MAX_ALTERNATIVES, SYNONYM_WEIGHT, FUZZY_WEIGHT = 32, 0.8, 0.7
 
 
-class EmbeddingProvider(Protocol):
-    fingerprint: str
-    dimension: int
-
-    def encode_query(self, text: str) -> list[float]: ...
-
-
 @dataclass(frozen=True)
 class Filter:
     field: str
@@ -69,8 +63,9 @@ class SearchRequest:
 
 
 class SearchEngine:
-    def __init__(self, snapshot: Snapshot, provider: EmbeddingProvider | None = None, synonyms: dict | None = None):
+    def __init__(self, snapshot: Snapshot, provider: EmbeddingProvider | None = None, synonyms: dict | None = None, telemetry: Telemetry | None = None):
         self.snapshot, self.provider, self.synonyms = snapshot, provider, synonyms or {}
+        self.telemetry = telemetry or Telemetry()
         self.spark = snapshot.docs.sparkSession
 
     def plain_groups(self, request: SearchRequest) -> tuple[list[list[tuple]], bool]:
@@ -209,6 +204,16 @@ class SearchEngine:
 
     def search(self, request: SearchRequest) -> dict:
         """Hits with documents; the deadline cancels the request's Spark jobs."""
+        began, outcome = time.perf_counter(), "error"
+        mode = request.mode or ("hybrid" if self.snapshot.config["dimension"] else "lexical")
+        try:
+            out = self._search(request)
+            outcome = "ok"
+            return out
+        finally:
+            self.telemetry.request(mode, outcome, time.perf_counter() - began, request.q)
+
+    def _search(self, request: SearchRequest) -> dict:
         tag = f"search-{id(request)}"
         expired = threading.Event()
 
@@ -221,9 +226,11 @@ class SearchEngine:
         timer.start()
         began = time.perf_counter()
         try:
-            found = self.branches(request)
+            with self.telemetry.stage("plan"):
+                found = self.branches(request)
             planned = time.perf_counter()
-            ranked = {b: [(r.id, r.score) for r in found[b].collect()] for b in ("lexical", "semantic") if b in found}
+            with self.telemetry.stage("score"):
+                ranked = {b: [(r.id, r.score) for r in found[b].collect()] for b in ("lexical", "semantic") if b in found}
             scored = time.perf_counter()
         except SearchError:
             raise
@@ -243,7 +250,8 @@ class SearchEngine:
         else:
             merged, ranks = dict(ranked[found["mode"]]), {}
         top = sorted(merged.items(), key=lambda h: (-h[1], h[0]))[: request.top_k]
-        docs = {r.id: r.asDict() for r in self.snapshot.docs.where(F.col("id").isin([i for i, _ in top])).select(*DOC_SCHEMA.names).collect()} if top else {}
+        with self.telemetry.stage("fetch"):
+            docs = {r.id: r.asDict() for r in self.snapshot.docs.where(F.col("id").isin([i for i, _ in top])).select(*DOC_SCHEMA.names).collect()} if top else {}
         warnings = [w for w, on in (("lexical_fallback", found["degraded"]), ("expansion_limited", found["limited"])) if on]
         hits = [{"id": i, "score": s, "ranks": ranks.get(i, {}), "document": docs[i]} for i, s in top]
         out = {"mode": found["mode"], "generation": self.snapshot.manifest["generation"], "hits": hits, "warnings": warnings}

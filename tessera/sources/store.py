@@ -17,18 +17,22 @@ import shutil
 import uuid
 from collections.abc import Callable
 from pathlib import Path
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.errors import SearchError
+from tessera.functions.embedding import EmbeddingProvider, encode
 from tessera.operators import lexical
 from tessera.operators.retrieval import coalesce_mutations
 from tessera.sources.documents import DOC_SCHEMA, MAX_BATCH_BYTES, MAX_BATCH_DOCUMENTS, vector_violation, violations
 
 FORMAT = "tessera-1"
 MAX_PENDING, KEPT_GENERATIONS = 100_000, 3
+#: Documents of one journal file and of one file of a generation, so that a file can be hashed in one piece.
+JOURNAL_FILE, DOCUMENT_FILE = 10_000, 20_000
 POSTED_SCHEMA = f"{lexical.POSTINGS}, bucket int"
 SCHEMAS = {"postings": POSTED_SCHEMA, "df": "field string, term string, df long, bucket int"}
 JOURNAL_SCHEMA = T.StructType([T.StructField("revision", T.LongType()), T.StructField("id", T.StringType()), T.StructField("document", DOC_SCHEMA), T.StructField("vector", T.ArrayType(T.FloatType()))])
@@ -44,7 +48,7 @@ def check_name(name: str) -> str:
 class Index:
     def __init__(self, spark: SparkSession, path: str, create: bool = False, dimension: int = 0, fingerprint: str | None = None, read_only: bool = False, hook: Callable[[str], None] = lambda at: None):
         self.spark, self.root, self.read_only, self.hook = spark, Path(path), read_only, hook
-        self._lock = None
+        self._lock, self.truncated_documents = None, 0
         config = self.root / "config.json"
         if create:
             if config.exists():
@@ -99,20 +103,27 @@ class Index:
         if first + count - 1 - self.visible_revision() > MAX_PENDING:
             raise SearchError("OVERLOADED", "too many unpublished mutations", 429)
         staged = self.root / f"staging-{uuid.uuid4().hex}"
-        rows.withColumn("revision", F.col("revision") + first).select(*JOURNAL_SCHEMA.names).coalesce(1).write.parquet(str(staged))
+        rows.withColumn("revision", F.col("revision") + first).select(*JOURNAL_SCHEMA.names).coalesce(1 + count // JOURNAL_FILE).write.parquet(str(staged))
         self.hook("staged")
         os.replace(staged, self.root / "journal" / f"batch-{first:012d}-{first + count - 1:012d}")
         self.hook("accepted")
         return first + count - 1
 
-    def ingest(self, documents: DataFrame, vectors: bool = False, batch_limits: bool = True) -> int:
-        """Append one batch of documents (all or none); returns the last accepted revision."""
+    def ingest(self, documents: DataFrame, vectors: bool = False, batch_limits: bool = True, provider: EmbeddingProvider | None = None) -> int:
+        """Append one batch of documents (all or none); returns the last accepted revision.
+
+        Vectors come with the documents or from ``provider``, whose model must be the index's.
+        """
         self._writer()
         names = DOC_SCHEMA.names
+        if provider is not None:
+            if (provider.fingerprint, provider.dimension) != (self.config["fingerprint"], self.config["dimension"]):
+                raise SearchError("MODEL_MISMATCH", "the index takes vectors of another model", 409)
+            documents, vectors = encode(documents, provider), True
         checked = documents.withColumn("_bad", violations()).persist()
         try:
             size = F.octet_length(F.to_json(F.struct(*names)))
-            facts = checked.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.sum(size).alias("bytes"), F.count(F.when(F.size("_bad") > 0, 1)).alias("bad")).first()
+            facts = checked.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.sum(size).alias("bytes"), F.count(F.when(F.size("_bad") > 0, 1)).alias("bad"), F.count(F.when(F.col("truncated") if provider else F.lit(False), 1)).alias("truncated")).first()
             if facts.bad:
                 row = checked.where(F.size("_bad") > 0).select("id", "_bad").first()
                 raise SearchError("INVALID_DOCUMENT", "a document is not valid", 422, id=row["id"], violations=row["_bad"])
@@ -125,8 +136,12 @@ class Index:
             if not facts.n:
                 return self.durable_revision()
             vector = F.col("vector") if vectors else F.lit(None).cast("array<float>")
-            order = checked.select("id", F.struct(*names).alias("document"), vector.cast("array<float>").alias("vector")).rdd.zipWithIndex().map(lambda p: (p[1], *p[0]))
-            return self._append(self.spark.createDataFrame(order, JOURNAL_SCHEMA), facts.n)
+            # Only ids go through the one window task, of MAX_PENDING rows at most; documents stay where they are read.
+            order = checked.select("id").withColumn("revision", (F.row_number().over(Window.orderBy("id")) - 1).cast("long"))
+            rows = checked.select("id", F.struct(*names).alias("document"), vector.cast("array<float>").alias("vector")).join(order, "id")
+            last = self._append(rows, facts.n)
+            self.truncated_documents += facts.truncated
+            return last
         finally:
             checked.unpersist()
 
@@ -155,13 +170,30 @@ class Index:
         manifest = self.manifest()
         if manifest is None:
             raise SearchError("INDEX_NOT_FOUND", "nothing is published", 404)
+        top = self.root / "generations" / manifest["generation"]
+        for name, known in manifest["files"].items():
+            if not (top / name).is_file() or (top / name).stat().st_size != known["bytes"]:
+                raise SearchError("INDEX_CORRUPT", "a file is missing or cut", 500, file=name)
         return Snapshot(self, manifest)
 
+    def _files(self, generation: str) -> dict[str, dict]:
+        """Checksum and size of every file of a generation, computed in tasks."""
+        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(str(self.root / "generations" / generation))
+        rows = found.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes")).collect()
+        return {unquote(r.path).split(f"/{generation}/", 1)[1]: {"sha256": r.sha256, "bytes": r.bytes} for r in rows}
+
     def verify(self) -> None:
         """Compare every file of the current generation with its recorded checksum."""
-        manifest = self.manifest() or {"files": {}}
-        for name, digest in manifest["files"].items():
-            if hashlib.sha256((self.root / "generations" / manifest["generation"] / name).read_bytes()).hexdigest() != digest:
+        manifest = self.manifest()
+        try:
+            found = self._files(manifest["generation"]) if manifest else {}
+        except Exception as e:  # the file system may know of the damage before the bytes are hashed
+            damaged = re.search(r"ChecksumException: Checksum error: \S*/generations/[0-9a-f]{32}/(\S+)", str(e))
+            if not damaged:
+                raise
+            raise SearchError("INDEX_CORRUPT", "checksum differs", 500, file=damaged[1]) from None
+        for name, known in manifest["files"].items() if manifest else ():
+            if found.get(name) != known:
                 raise SearchError("INDEX_CORRUPT", "checksum differs", 500, file=name)
 
     def refresh(self, through: int | None = None) -> int:
@@ -177,8 +209,8 @@ class Index:
         fresh = lexical.analyzed(fresh, arrays=False)
         manifest = self.manifest()
         if manifest:
-            live = self.spark.read.parquet(self._path(manifest["generation"], "docs")).join(tail.select("id"), "id", "left_anti")
-            fresh = live.unionByName(fresh)
+            live = self.spark.read.parquet(self._path(manifest["generation"], "docs"))
+            fresh = live.join(tail.select("id"), "id", "left_anti").unionByName(fresh)
         self._publish(fresh, high)
         return high
 
@@ -192,15 +224,14 @@ class Index:
     def _publish(self, docs: DataFrame, revision: int) -> None:
         name = uuid.uuid4().hex
         target = self.root / "generations" / name
-        docs.write.parquet(f"{target}/docs")
+        docs.write.option("maxRecordsPerFile", DOCUMENT_FILE).parquet(f"{target}/docs")
         docs = self.spark.read.parquet(f"{target}/docs")
         buckets = lexical.write_postings(docs, str(target))
         posted = self.spark.read.schema(POSTED_SCHEMA).parquet(f"{target}/postings")
         lexical.stats_of(posted).coalesce(1).write.parquet(f"{target}/stats")
         lexical.write_frequencies(posted, str(target))
         self.hook("generation")
-        files = {str(p.relative_to(target)): hashlib.sha256(p.read_bytes()).hexdigest() for p in sorted(target.rglob("*.parquet")) if p.is_file()}
-        manifest = {"format": FORMAT, "generation": name, "revision": revision, "live": docs.count(), "buckets": buckets, "files": files}
+        manifest = {"format": FORMAT, "generation": name, "revision": revision, "live": docs.count(), "buckets": buckets, "files": self._files(name)}
         body = json.dumps(manifest, sort_keys=True).encode()
         (target / "manifest.json").write_bytes(body)
         self.hook("manifest")
@@ -224,8 +255,14 @@ class Index:
 
     def stats(self) -> dict:
         manifest = self.manifest() or {"revision": 0, "live": 0, "generation": None, "files": {}}
-        size = sum((self.root / "generations" / manifest["generation"] / f).stat().st_size for f in manifest["files"]) if manifest["generation"] else 0
-        return {"durable_revision": self.durable_revision(), "visible_revision": manifest["revision"], "live_documents": manifest["live"], "generation": manifest["generation"], "bytes": size}
+        tables: dict[str, int] = {}
+        for name, known in manifest["files"].items():
+            table = name.split("/")[0]
+            tables[table] = tables.get(table, 0) + known["bytes"]
+        return {
+            "durable_revision": self.durable_revision(), "visible_revision": manifest["revision"], "live_documents": manifest["live"], "generation": manifest["generation"],
+            "files": len(manifest["files"]), "bytes": sum(tables.values()), "table_bytes": tables, "truncated_documents": self.truncated_documents,
+        }
 
 
 class Snapshot:
