@@ -77,24 +77,27 @@ def pruned(table: DataFrame, words: list[str], buckets: int) -> DataFrame:
     return table.where(F.col("bucket").isin(sorted({zlib.crc32(w.encode()) % buckets for w in wanted})) & F.col("term").isin(wanted))
 
 
-def write_postings(docs: DataFrame, root: str) -> int:
-    """Write postings below ``root`` by bucket, each sorted by term; returns the number of buckets.
+def write_postings(docs: DataFrame, path: str, buckets: int | None = None) -> int:
+    """Write postings to ``path`` by bucket, each sorted by term; returns the number of buckets.
 
-    Buckets grow with the text, and a bucket has more files where there are many documents, so that
-    no frequent term is one task's.
+    Unless it is given, the number grows with the text, and a bucket has more files where there are many
+    documents, so that no frequent term is one task's.
     """
     size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.coalesce("title", F.lit(""))) + F.octet_length(F.coalesce("body", F.lit("")))).alias("bytes")).first()
-    buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, (size.bytes or 0) // BUCKET_BYTES))
+    buckets = buckets or max(LEAST_BUCKETS, min(MOST_BUCKETS, (size.bytes or 0) // BUCKET_BYTES))
     files = 1 + size.n // FILE_DOCUMENTS
     posted = index_postings(docs).withColumn("bucket", bucket(F.col("term"), buckets))
     dealt = posted.repartition(F.col("bucket"), F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(files)))
-    dealt.sortWithinPartitions("bucket", "term", "field", "id").write.partitionBy("bucket").parquet(f"{root}/postings")
+    dealt.sortWithinPartitions("bucket", "term", "field", "id").write.partitionBy("bucket").parquet(path)
     return buckets
 
 
-def write_frequencies(posted: DataFrame, root: str) -> None:
-    counted = posted.groupBy("bucket", "field", "term").agg(F.count("*").alias("df"))
-    counted.repartition("bucket").sortWithinPartitions("bucket", "term", "field").write.partitionBy("bucket").parquet(f"{root}/df")
+def count_frequencies(posted: DataFrame) -> DataFrame:
+    return posted.groupBy("bucket", "field", "term").agg(F.count("*").alias("df"))
+
+
+def write_frequencies(counted: DataFrame, path: str) -> None:
+    counted.repartition("bucket").sortWithinPartitions("bucket", "term", "field").write.partitionBy("bucket").parquet(path)
 
 
 def stats_of(posted: DataFrame) -> DataFrame:

@@ -51,10 +51,10 @@ def publish(spark: SparkSession, documents: DataFrame, root: str) -> Published:
     read = lambda t: spark.read.parquet(f"{root}/{t}")
     lexical.analyzed(documents, arrays=False).write.parquet(f"{root}/docs")
     docs = read("docs")
-    buckets = lexical.write_postings(docs, root)
+    buckets = lexical.write_postings(docs, f"{root}/postings")
     posted = read("postings")
     lexical.stats_of(posted).coalesce(1).write.parquet(f"{root}/stats")
-    lexical.write_frequencies(posted, root)
+    lexical.write_frequencies(lexical.count_frequencies(posted), f"{root}/df")
     return Published(docs, posted, read("stats"), read("df"), buckets)
 
 

@@ -1,14 +1,19 @@
 """Journal and immutable generations of an index, as Parquet plus one atomically swapped pointer.
 
 ``journal/`` holds batches of mutations (``revision, id, document, vector``; a null document deletes).
-``refresh`` coalesces the tail, joins it with the live documents and publishes a new generation:
-``docs``, ``postings`` (in term buckets), ``stats``, ``df``. Searches read the generation that the
-pointer names, so an unfinished refresh is invisible and open readers keep theirs.
+``refresh`` coalesces the tail and writes a segment of its documents: ``docs/at=N`` and ``postings/at=N``
+(in term buckets), and to ``gone/at=N`` the ids of live documents that it replaces or deletes. A row of
+segment M is live unless its id is in some ``gone`` with N > M. A generation is a list of segments and
+``gone`` tables with their ``stats`` and ``df``, which a refresh changes by what came and what went.
+Searches read the generation that the pointer names, so an unfinished refresh is invisible and open
+readers keep theirs. With more than MOST_SEGMENTS segments the MERGED with fewest documents become one;
+when a quarter of the documents has been replaced, everything is rewritten.
 """
 
 from __future__ import annotations
 
 import fcntl
+import functools
 import hashlib
 import json
 import os
@@ -33,8 +38,12 @@ FORMAT = "tessera-1"
 MAX_PENDING, KEPT_GENERATIONS = 100_000, 3
 #: Documents of one journal file and of one file of a generation, so that a file can be hashed in one piece.
 JOURNAL_FILE, DOCUMENT_FILE = 10_000, 20_000
+MOST_SEGMENTS, MERGED = 8, 4
 POSTED_SCHEMA = f"{lexical.POSTINGS}, bucket int"
-SCHEMAS = {"postings": POSTED_SCHEMA, "df": "field string, term string, df long, bucket int"}
+SCHEMAS = {
+    "docs": "id string, title string, body string, kind string, category string, tags array<string>, price double, rating double, vector array<float>, revision long, kind_n string, category_n string, tags_n array<string>",
+    "postings": POSTED_SCHEMA, "gone": "id string", "df": "field string, term string, df long, bucket int", "stats": "field string, n long, total_length long",
+}
 JOURNAL_SCHEMA = T.StructType([T.StructField("revision", T.LongType()), T.StructField("id", T.StringType()), T.StructField("document", DOC_SCHEMA), T.StructField("vector", T.ArrayType(T.FloatType()))])
 NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]{0,63}")
 
@@ -163,32 +172,61 @@ class Index:
             raise SearchError("INDEX_CORRUPT", "manifest checksum differs", 500)
         return json.loads(body)
 
+    def _read(self, table: str, ats: list[int]) -> DataFrame:
+        schema = f"{SCHEMAS[table]}, at int"
+        if not ats:
+            return self.spark.createDataFrame([], schema)
+        top = str(self.root / table)
+        return self.spark.read.option("basePath", top).schema(schema).parquet(*[f"{top}/at={n}" for n in ats])
+
+    def _live(self, table: str, segments: list[dict], gone: list[dict]) -> DataFrame:
+        """The live rows of the given segments; the ids that are gone are few beside them."""
+        ats = [x["at"] for x in segments]
+        found = self._read(table, ats)
+        later = [g["at"] for g in gone if ats and g["at"] > min(ats)]
+        if not later:
+            return found.drop("at")
+        last = self._read("gone", later).groupBy("id").agg(F.max("at").alias("gone_at"))
+        return found.join(last, "id", "left").where("gone_at is null or at >= gone_at").drop("at", "gone_at")
+
+    def live(self, table: str, manifest: dict) -> DataFrame:
+        return self._live(table, manifest["segments"], manifest["gone"])
+
     def _path(self, generation: str, table: str) -> str:
         return str(self.root / "generations" / generation / table)
 
+    def counted(self, table: str, manifest: dict) -> DataFrame:
+        """``stats`` or ``df`` of a generation."""
+        return self.spark.read.schema(SCHEMAS[table]).parquet(self._path(manifest["generation"], table))
+
     def snapshot(self) -> Snapshot:
         manifest = self.manifest()
         if manifest is None:
             raise SearchError("INDEX_NOT_FOUND", "nothing is published", 404)
-        top = self.root / "generations" / manifest["generation"]
         for name, known in manifest["files"].items():
-            if not (top / name).is_file() or (top / name).stat().st_size != known["bytes"]:
+            if not (self.root / name).is_file() or (self.root / name).stat().st_size != known["bytes"]:
                 raise SearchError("INDEX_CORRUPT", "a file is missing or cut", 500, file=name)
         return Snapshot(self, manifest)
 
-    def _files(self, generation: str) -> dict[str, dict]:
-        """Checksum and size of every file of a generation, computed in tasks."""
-        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(str(self.root / "generations" / generation))
+    def _files(self, folders: list[str]) -> dict[str, dict]:
+        """Checksum and size of every file below the folders of the index, computed in tasks."""
+        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load([str(self.root / f) for f in folders])
         rows = found.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes")).collect()
-        return {unquote(r.path).split(f"/{generation}/", 1)[1]: {"sha256": r.sha256, "bytes": r.bytes} for r in rows}
+        top = f"{self.root.resolve()}/"
+        return {unquote(r.path).split(top, 1)[1]: {"sha256": r.sha256, "bytes": r.bytes} for r in rows}
+
+    @staticmethod
+    def _folders(manifest: dict) -> list[str]:
+        kept = [f"{t}/at={x['at']}" for x in manifest["segments"] for t in ("docs", "postings")]
+        return [*kept, *(f"gone/at={g['at']}" for g in manifest["gone"]), f"generations/{manifest['generation']}"]
 
     def verify(self) -> None:
         """Compare every file of the current generation with its recorded checksum."""
         manifest = self.manifest()
         try:
-            found = self._files(manifest["generation"]) if manifest else {}
+            found = self._files(self._folders(manifest)) if manifest else {}
         except Exception as e:  # the file system may know of the damage before the bytes are hashed
-            damaged = re.search(r"ChecksumException: Checksum error: \S*/generations/[0-9a-f]{32}/(\S+)", str(e))
+            damaged = re.search(rf"ChecksumException: Checksum error: \S*?{re.escape(str(self.root.resolve()))}/(\S+)", str(e))
             if not damaged:
                 raise
             raise SearchError("INDEX_CORRUPT", "checksum differs", 500, file=damaged[1]) from None
@@ -204,34 +242,88 @@ class Index:
             raise SearchError("INVALID_REVISION", "revision is not durable")
         if high == low and self.manifest():
             return high
-        tail = coalesce_mutations(self.journal(), low, high)
-        fresh = tail.where("document is not null").select("document.*", "vector", "revision")
-        fresh = lexical.analyzed(fresh, arrays=False)
-        manifest = self.manifest()
-        if manifest:
-            live = self.spark.read.parquet(self._path(manifest["generation"], "docs"))
-            fresh = live.join(tail.select("id"), "id", "left_anti").unionByName(fresh)
-        self._publish(fresh, high)
+        tail = coalesce_mutations(self.journal(), low, high).persist()
+        try:
+            fresh = tail.where("document is not null").select("document.*", "vector", "revision")
+            fresh = lexical.analyzed(fresh, arrays=False)
+            manifest = self.manifest()
+            if manifest:
+                self._extend(manifest, tail.select("id"), fresh, high)
+            else:
+                self._rewrite(fresh, high)
+        finally:
+            tail.unpersist()
         return high
 
     def compact(self) -> int:
-        """Rewrite the live documents in evenly sized files; the revision stays."""
+        """Rewrite the live documents as one segment; the revision stays."""
         self._writer()
         manifest = self.snapshot().manifest
-        self._publish(self.spark.read.parquet(self._path(manifest["generation"], "docs")), manifest["revision"])
+        self._rewrite(self.live("docs", manifest), manifest["revision"])
         return manifest["revision"]
 
-    def _publish(self, docs: DataFrame, revision: int) -> None:
+    def _next(self) -> int:
+        """A number above all that were ever begun."""
+        used = [int(p.name.removeprefix("at=")) for t in ("docs", "postings", "gone") for p in (self.root / t).glob("at=*")]
+        return 1 + max(used, default=0)
+
+    def _segment(self, docs: DataFrame, at: int, buckets: int | None = None) -> tuple[list[dict], int | None]:
+        """Write a segment; returns its entry, none if there is no document, and its number of buckets."""
+        target = f"{self.root}/docs/at={at}"
+        docs.write.option("maxRecordsPerFile", DOCUMENT_FILE).parquet(target)
+        written = self._read("docs", [at])
+        count = written.count()
+        if not count:
+            return [], buckets
+        buckets = lexical.write_postings(written, f"{self.root}/postings/at={at}", buckets)
+        return [{"at": at, "documents": count}], buckets
+
+    def _rewrite(self, docs: DataFrame, revision: int) -> None:
+        at = self._next()
+        segments, buckets = self._segment(docs, at)
+        posted = self._read("postings", [x["at"] for x in segments])
+        self._publish(revision, segments, [], sum(x["documents"] for x in segments), buckets or lexical.LEAST_BUCKETS, lexical.stats_of(posted), lexical.count_frequencies(posted), {})
+
+    def _extend(self, manifest: dict, ids: DataFrame, fresh: DataFrame, revision: int) -> None:
+        """A generation of the last one's segments and one of ``fresh``; documents of the other segments are not written again."""
+        buckets, at = manifest["buckets"], self._next()
+        old = self.live("docs", manifest)
+        old.select("id").join(ids, "id", "left_semi").write.parquet(f"{self.root}/gone/at={at}")
+        lost = self._read("gone", [at]).count()
+        gone = [*manifest["gone"], *([{"at": at, "ids": lost}] if lost else [])]
+        if 4 * sum(g["ids"] for g in gone) > manifest["live"]:
+            self._rewrite(old.join(ids, "id", "left_anti").unionByName(fresh), revision)
+            return
+        came, _ = self._segment(fresh, at, buckets)
+        posted = self._read("postings", [x["at"] for x in came])
+        stats = [self.counted("stats", manifest), lexical.stats_of(posted)]
+        df = [self.counted("df", manifest), lexical.count_frequencies(posted)]
+        if lost:
+            went = lexical.index_postings(old.join(self._read("gone", [at]).select("id"), "id", "left_semi")).withColumn("bucket", lexical.bucket(F.col("term"), buckets))
+            stats.append(lexical.stats_of(went).select("field", (-F.col("n")).alias("n"), (-F.col("total_length")).alias("total_length")))
+            df.append(lexical.count_frequencies(went).withColumn("df", -F.col("df")))
+        every = lambda tables: functools.reduce(DataFrame.unionByName, tables)
+        stats = every(stats).groupBy("field").agg(F.sum("n").alias("n"), F.sum("total_length").alias("total_length")).where("n > 0")
+        df = every(df).groupBy("bucket", "field", "term").agg(F.sum("df").alias("df")).where("df > 0")
+        segments, live = [*manifest["segments"], *came], manifest["live"] - lost + sum(x["documents"] for x in came)
+        if len(segments) > MOST_SEGMENTS:
+            small = sorted(segments, key=lambda x: (x["documents"], x["at"]))[:MERGED]
+            merged, _ = self._segment(self._live("docs", small, gone), self._next(), buckets)
+            segments = [x for x in segments if x not in small] + merged
+        first = min((x["at"] for x in segments), default=0)
+        self._publish(revision, segments, [g for g in gone if g["at"] > first], live, buckets, stats, df, manifest["files"])
+
+    def _publish(self, revision: int, segments: list[dict], gone: list[dict], live: int, buckets: int, stats: DataFrame, df: DataFrame, known: dict) -> None:
+        """Write the statistics and the manifest and swing the pointer; files of older segments keep their checksums."""
         name = uuid.uuid4().hex
         target = self.root / "generations" / name
-        docs.write.option("maxRecordsPerFile", DOCUMENT_FILE).parquet(f"{target}/docs")
-        docs = self.spark.read.parquet(f"{target}/docs")
-        buckets = lexical.write_postings(docs, str(target))
-        posted = self.spark.read.schema(POSTED_SCHEMA).parquet(f"{target}/postings")
-        lexical.stats_of(posted).coalesce(1).write.parquet(f"{target}/stats")
-        lexical.write_frequencies(posted, str(target))
+        stats.coalesce(1).write.parquet(f"{target}/stats")
+        lexical.write_frequencies(df, f"{target}/df")
         self.hook("generation")
-        manifest = {"format": FORMAT, "generation": name, "revision": revision, "live": docs.count(), "buckets": buckets, "files": self._files(name)}
+        manifest = {"format": FORMAT, "generation": name, "revision": revision, "live": live, "buckets": buckets, "segments": segments, "gone": gone}
+        folders = self._folders(manifest)
+        kept = {f: v for f, v in known.items() if any(f.startswith(f"{x}/") for x in folders)}
+        manifest["files"] = kept | self._files([x for x in folders if not any(f.startswith(f"{x}/") for f in kept)])
         body = json.dumps(manifest, sort_keys=True).encode()
         (target / "manifest.json").write_bytes(body)
         self.hook("manifest")
@@ -242,7 +334,7 @@ class Index:
         self.hook("published")
 
     def garbage_collect(self) -> list[str]:
-        """Delete all generations but the current and the two newest others."""
+        """Delete all generations but the current and the two newest others, and segments that none of these names."""
         self._writer()
         current = self.snapshot().manifest["generation"]
         found = sorted((p for p in (self.root / "generations").iterdir() if p.name != current), key=lambda p: p.stat().st_mtime, reverse=True)
@@ -251,17 +343,24 @@ class Index:
                 raise SearchError("UNSAFE_GC_PATH", "unexpected path", path=str(p))
         for p in found[KEPT_GENERATIONS - 1 :]:
             shutil.rmtree(p)
+        named: set[str] = set()
+        for p in (self.root / "generations").iterdir():
+            if (p / "manifest.json").exists():
+                named.update(self._folders(json.loads((p / "manifest.json").read_text())))
+        for p in [p for t in ("docs", "postings", "gone") for p in (self.root / t).glob("at=*")]:
+            if str(p.relative_to(self.root)) not in named:
+                shutil.rmtree(p)
         return [p.name for p in found[KEPT_GENERATIONS - 1 :]]
 
     def stats(self) -> dict:
-        manifest = self.manifest() or {"revision": 0, "live": 0, "generation": None, "files": {}}
+        manifest = self.manifest() or {"revision": 0, "live": 0, "generation": None, "files": {}, "segments": []}
         tables: dict[str, int] = {}
         for name, known in manifest["files"].items():
-            table = name.split("/")[0]
+            table = name.split("/")[2 if name.startswith("generations/") else 0]
             tables[table] = tables.get(table, 0) + known["bytes"]
         return {
             "durable_revision": self.durable_revision(), "visible_revision": manifest["revision"], "live_documents": manifest["live"], "generation": manifest["generation"],
-            "files": len(manifest["files"]), "bytes": sum(tables.values()), "table_bytes": tables, "truncated_documents": self.truncated_documents,
+            "segments": manifest["segments"], "files": len(manifest["files"]), "bytes": sum(tables.values()), "table_bytes": tables, "truncated_documents": self.truncated_documents,
         }
 
 
@@ -271,9 +370,5 @@ class Snapshot:
     def __init__(self, index: Index, manifest: dict):
         self.manifest, self.config = manifest, index.config
         self.buckets = manifest["buckets"]
-
-        def read(t: str) -> DataFrame:
-            reader = index.spark.read.schema(SCHEMAS[t]) if t in SCHEMAS else index.spark.read  # a generation may hold no posting
-            return reader.parquet(index._path(manifest["generation"], t))
-
-        self.docs, self.postings, self.stats, self.df = read("docs"), read("postings"), read("stats"), read("df")
+        self.docs, self.postings = index.live("docs", manifest), index.live("postings", manifest)
+        self.stats, self.df = index.counted("stats", manifest), index.counted("df", manifest)

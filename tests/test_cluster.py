@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera import cli
 from tessera.errors import SearchError
 from tessera.functions.embedding import CachedQueries, TermSketch, encode
+from tessera.operators import lexical
 from tessera.plans.cluster import Cluster, export
 from tessera.plans.engine import SearchEngine, SearchRequest
 from tessera.settings import index_path, load_settings
@@ -160,7 +161,7 @@ def test_damage_is_seen(spark, tmp_path):
         i.refresh()
         i.verify()
         name = next(n for n in i.manifest()["files"] if n.startswith("postings"))
-        file = i.root / "generations" / i.manifest()["generation"] / name
+        file = i.root / name
         body = bytearray(file.read_bytes())
         body[-1] ^= 1
         file.write_bytes(bytes(body))
@@ -200,3 +201,65 @@ def test_revisions_are_consecutive(spark, tmp_path):
         assert i.ingest(documents(spark, ROWS[:7])) == 7 and i.delete("d1") == 8
         assert sorted(r.revision for r in i.journal().select("revision").collect()) == list(range(1, 9))
         assert i.journal().where(F.col("document").isNull()).first().revision == 8
+
+
+def test_segments_equal_a_rewrite(spark, tmp_path):
+    """After every refresh the segments' tables are those of an index made of the live documents at once."""
+    import random
+
+    rng, live = random.Random(5), {}
+
+    def made(i):
+        return (f"d{i}", f"{rng.choice(WORDS)} {rng.choice(WORDS)}", " ".join(rng.choices(WORDS, k=rng.randrange(6))), "document", "x", [], None, float(rng.randrange(5)))
+
+    def rows(t, *columns):
+        return sorted(map(tuple, t.select(*columns).collect()), key=repr)
+
+    with Index(spark, str(tmp_path / "i"), create=True) as i:
+        for step in range(12):
+            batch = {r[0]: r for r in ([made(k) for k in range(100)] if step == 0 else [made(100 + 3 * step + k) for k in range(3)] + [made(rng.randrange(100))])}
+            i.ingest(documents(spark, list(batch.values())))
+            live.update(batch)
+            if step % 3 == 2:
+                victim = rng.choice(sorted(live))
+                i.delete(victim)
+                del live[victim]
+            i.refresh()
+            if step in (0, 1, 5, 8, 9, 11):
+                snap = i.snapshot()
+                assert rows(snap.docs, *DOC_SCHEMA.names) == sorted(live.values(), key=repr) and snap.manifest["live"] == len(live)
+                whole = lexical.index_postings(documents(spark, list(live.values())))
+                assert rows(snap.postings, "id", "field", "term", "tf", "len", "positions") == rows(whole, "id", "field", "term", "tf", "len", "positions")
+                assert rows(snap.stats, "field", "n", "total_length") == rows(lexical.stats_of(whole), "field", "n", "total_length")
+                assert rows(snap.df, "field", "term", "df") == rows(lexical.document_frequency(whole), "field", "term", "df")
+        held = i.manifest()["segments"]
+        assert 1 < len(held) <= 8 and held[0]["documents"] == 100 and len(held) < 12  # the base stays, small ones were merged
+        i.verify()
+        i.garbage_collect()
+        i.verify()
+        assert i.snapshot().docs.count() == len(live)
+        for k in sorted(live):
+            if rng.random() < 0.5:
+                i.delete(k)
+                del live[k]
+        i.refresh()
+        assert len(i.manifest()["segments"]) == 1 and not i.manifest()["gone"] and i.snapshot().docs.count() == len(live)
+        for k in sorted(live)[:3]:
+            i.delete(k)
+        i.compact()
+        i.refresh()
+        assert i.manifest()["live"] == len(live) - 3
+
+
+def test_everything_deleted(spark, tmp_path):
+    with Index(spark, str(tmp_path / "i"), create=True) as i:
+        i.ingest(documents(spark, ROWS[:2]))
+        i.refresh()
+        for k in ("d0", "d1", "never"):
+            i.delete(k)
+        i.refresh()
+        assert i.snapshot().docs.count() == 0 and i.stats()["live_documents"] == 0
+        assert SearchEngine(i.snapshot()).search(ask("copper"))["hits"] == []
+        i.ingest(documents(spark, ROWS[:1]))
+        i.refresh()
+        assert [r.id for r in i.snapshot().docs.collect()] == ["d0"]
