@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.evaluation.corpora import judged_grid, synthetic_documents
 from tessera.functions.analyzer import nfkc_casefold, term_array
 from tessera.functions.embedding import embedding_text
 from tessera.operators import lexical, retrieval
@@ -448,3 +449,26 @@ def metrics_without_positives(spark, d):
     graded = e.select("query_id", "doc_id", F.when(F.col("query_id") % 2 == 0, 0).otherwise(F.col("doc_id") % 3).cast("int").alias("grade"))
     out = retrieval.relevance(e, graded)
     return out.select("query_id", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
+
+
+_DRAWN = lambda key, below: f"cast('0x' || substr(md5('0-' || n || '-' || {key}), 1, 8) as bigint) % {below}"
+
+
+@_register("synthetic_corpus", f"""with g as (select unnest(range((select count(*) from documents))) as n),
+w as (select n, list_transform(range(1, 25), lambda k: 't' || cast(floor(({_DRAWN("k || '-a'", 5000)}) * ({_DRAWN("k || '-b'", 5000)}) / 5000.0) as bigint)) as w from g)
+select 'syn-' || n as id, 'topic' || n % 100 as title, array_to_string(w, ' ') as body, 'c' || n % 7 as category, ({_DRAWN("'rating'", 11)}) / 2.0::double as rating from w""")
+def synthetic_corpus(spark, d):
+    """As many generated documents as the table has."""
+    count = spark.read.parquet(f"{d}/documents.parquet").count()
+    return synthetic_documents(spark, count).select("id", "title", "body", "category", "rating")
+
+
+_INTENTS = [("fix a leaking tap", "plumber for taps", "tap dance lessons"), ("piano for beginners", "piano lessons", "piano removal")]
+
+
+@_register("judged_grid", f"""with t(i, asked, answered, confused) as (values {', '.join(str((i, *t)) for i, t in enumerate(_INTENTS))}), p as (select *, unnest(range(6)) as k from t)
+select printf('q-%03d', i) as query_id, asked, printf('intent-%03d-%02d', i, k) as doc_id, case when k < 3 then answered else confused end || ' ' || k as title, case when k = 0 then 2 when k < 3 then 1 else 0 end as grade from p""")
+def judged_grid_rows(spark, d):
+    documents, asked, grades = judged_grid(spark, _INTENTS)
+    out = grades.join(documents.select(F.col("id").alias("doc_id"), "title"), "doc_id").join(asked.select(F.col("id").alias("query_id"), F.col("text").alias("asked")), "query_id")
+    return out.select("query_id", "asked", "doc_id", "title", F.col("grade").cast("long").alias("grade"))
