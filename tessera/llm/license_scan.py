@@ -24,7 +24,7 @@ _GAP = rf"[^{_W}]+"
 _BEFORE, _AFTER = rf"(?<![{_W}])", rf"(?![{_W}])"
 
 #: Phrase and label.
-BASE = (("mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
+BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
 #: Label, SPDX identifier, keyword (or several, with | between), name pattern (spaces stand for any gap), address.
 LICENSES = (

@@ -12,7 +12,7 @@ from .decontaminate import decontamination_report
 from .license_scan import scan_licenses
 from .line_dedup import dedup_lines
 from .ngram_join import ngram_jaccard_join
-from .packing import best_fit_packing
+from .packing import CAPACITIES, best_fit_packing
 from .substring_dedup import paragraph_report
 from .suffix_dedup import repeated_passages
 from .toxicity import fit_toxicity, score_toxicity
@@ -72,6 +72,33 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_report(_table(spark, sf_dir, "documents"))
 
 
+def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that SQL can express: words and places of the base phrases."""
+    return scan_licenses(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def packing_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8 must keep, by document: all words, in adjoining pieces of at most the largest length, each inside a permitted bin."""
+    placed = best_fit_packing(_table(spark, sf_dir, "documents"))
+    inside = (F.col("n_words") == 0) | ((F.col("offset") + F.col("n_words") <= F.col("capacity")) & F.col("capacity").isin(*CAPACITIES))
+    adjoining = (F.col("start") == F.col("piece") * max(CAPACITIES)) & (F.col("n_words") <= max(CAPACITIES))
+    return placed.groupBy("doc_id").agg(
+        F.sum("n_words").alias("n_words"), F.count("*").alias("pieces"), F.count(F.when(F.col("n_words") == 0, 1)).alias("wordless"),
+        F.count(F.when(~(inside & adjoining), 1)).alias("misplaced"),
+    )
+
+
+def packing_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op8's bins: none holds overlapping pieces or gaps, and none would fit a smaller permitted size."""
+    placed = best_fit_packing(_table(spark, sf_dir, "documents")).where("bin_id is not null")
+    bins = placed.groupBy("bin_id", "capacity").agg(F.sum("n_words").alias("held"), F.max(F.col("offset") + F.col("n_words")).alias("reach"), F.count("*").alias("n"), F.countDistinct("offset").alias("places"))
+    least = F.coalesce(*[F.when(F.col("held") <= c, F.lit(c)) for c in sorted(CAPACITIES)])
+    return bins.agg(
+        F.sum("held").alias("n_words"), F.count(F.when((F.col("held") != F.col("reach")) | (F.col("n") != F.col("places")), 1)).alias("broken"),
+        F.count(F.when(F.col("capacity") != least, 1)).alias("oversized"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_toxicity": op2_toxicity,
@@ -83,6 +110,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_decontamination": op9_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "license_base_places": license_base_places,
+    "packing_totals": packing_totals,
+    "packing_bins": packing_bins,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -196,5 +226,22 @@ l as (select u, v from o join n x on x.doc_id = u join n y on y.doc_id = v where
 r(doc_id, node) as (select doc_id, doc_id from w union select r.doc_id, l.v from r join l on l.u = r.node)
 select r.doc_id, cast(coalesce(max(n.n), 0) as bigint) as n_shingles, min(r.node) as component_id
 from r left join n using (doc_id) group by r.doc_id
+""",
+    "license_base_places": rf"""
+with d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+p as (select doc_id, w, list_filter(range(1, len(w) + 1), lambda i: w[i:i + 3] = ['under', 'the', 'mit', 'license']) as a,
+  list_filter(range(1, len(w) + 1), lambda i: w[i:i + 3] = ['apache', 'license', 'version', '2']) as b, list_filter(range(1, len(w) + 1), lambda i: w[i:i + 2] = ['cc', 'by', 'nc']) as c from d),
+q as (select *, list_sort(list_concat(a, b, c)) as s from p)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(s) as bigint) as n_base, s[1] - 1 as first_word, s[len(s)] - 1 as last_word,
+  array_to_string(list_filter([case when len(b) > 0 then 'apache-2' end, case when len(c) > 0 then 'cc-by-nc' end, case when len(a) > 0 then 'mit' end], lambda x: x is not null), ',') as base_labels
+from q
+""",
+    "packing_totals": r"""
+with d as (select doc_id, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as n from documents)
+select doc_id, n as n_words, greatest((n + 4095) // 4096, 1) as pieces, case when n = 0 then 1 else 0 end as wordless, 0 as misplaced from d
+""",
+    "packing_bins": r"""
+select cast(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) as bigint) as n_words, 0 as broken, 0 as oversized from documents
 """,
 }

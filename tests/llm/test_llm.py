@@ -270,13 +270,15 @@ def test_toxicity_learns_only_from_training_rows_and_generalises(spark):
 
 
 def test_licenses(spark):
-    texts = ["Released under the MIT License.", "the mit-LICENSE; Apache License, Version 2.0! mit license", "cc by nc", "permit licenses", "SPDX-License-Identifier: GPL-3.0", None, ""]
+    texts = ["Released under the MIT License.", "Under the mit-LICENSE; Apache License, Version 2.0! under_the mit license", "cc by nc", "permit licenses", "SPDX-License-Identifier: GPL-3.0", None, ""]
     got = {r.doc_id: r for r in license_scan.scan_licenses(table(spark, texts)).collect()}
-    assert (got[0].n_base, got[0].first_word, got[0].last_word, got[0].labels) == (1, 3, 3, "mit")
-    assert (got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels) == (3, 1, 8, "apache-2,mit")
+    assert (got[0].n_base, got[0].first_word, got[0].last_word, got[0].labels) == (1, 1, 1, "mit")
+    assert (got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels) == (3, 0, 9, "apache-2,mit")
     assert got[2].base_labels == "cc-by-nc" and got[3].n_base == 0 and got[3].labels == "" and got[4].labels == "gpl-3"
     assert got[5].n_words == got[6].n_words == 0 and got[5].first_word is None and got[5].score == 0
     assert len(license_scan.signature_rules()) > 200
+    bare = license_scan.scan_licenses(table(spark, ["The MIT license."])).first()
+    assert (bare.n_base, bare.first_word, bare.base_labels, bare.labels) == (0, None, "", "mit")
     spans = license_scan.detections(table(spark, texts[:1])).collect()
     assert [(s.start, s.end, s.priority) for s in spans] == [(0, 30, 4)]
 
