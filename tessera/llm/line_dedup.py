@@ -7,9 +7,11 @@ stands, and chunks between cuts have two lines or more. Chunks of at least ``min
 occur at several places are grouped by fingerprint, then by their bytes; the first place (smallest
 doc_id, then chunk number) keeps the chunk and the other places lose it.
 
-Chunks miss repeats that hold no two cuts. ``dedup_runs`` has no cuts: every run of ``min_lines``
-lines is a window, identified by its MD5, and all lines of a window that occurs earlier (smallest
-doc_id, then line number) go, so every repeated run of ``min_lines`` lines or more is found.
+Chunks miss repeats that hold no two cuts. ``dedup_runs`` first takes the repeated chunks as above and
+then what they leave: every run of ``min_lines`` lines that is not inside a chunk that goes is a window,
+grouped by fingerprint, then by its bytes, and all lines of a window that occurs earlier (smallest
+doc_id, then line number) go too. A chunk that goes holds earlier windows only, so every repeated run
+of ``min_lines`` lines or more is found, as if all windows had been compared.
 
 Null texts stay null, texts without repeated chunks stay as they are, and a text all of whose
 chunks go becomes empty: no row is dropped. Texts of any length are cut whole. Equal rows (same
@@ -28,7 +30,7 @@ DIVISOR, MIN_LINES = 4, 2
 
 
 def line_chunks(docs: DataFrame, text: str, divisor: int) -> DataFrame:
-    """Add ``_ld_chunks``: array of strings, which joined by newlines give the text.
+    """Add ``_ld_chunks``: array of strings, which joined by newlines give the text; ``_ld_starts``: their first lines.
 
     The lines are joined again with a flag before each, 1 where a chunk starts, and split at the
     flagged newlines: every expression walks its array once, whatever the number of lines.
@@ -42,6 +44,7 @@ def line_chunks(docs: DataFrame, text: str, divisor: int) -> DataFrame:
         .withColumn("_ld_cut", F.zip_with("_ld_cut", shifted("_ld_cut", F.lit(False)), lambda c, p: c & ~p))
         .withColumn("_ld_flag", F.zip_with("_ld_lines", shifted("_ld_cut", F.lit(False)), lambda x, c: F.concat(F.when(c, "1").otherwise("0"), x)))
         .withColumn("_ld_chunks", F.transform(F.split(F.substring(F.array_join("_ld_flag", "\n"), 2, 2**31 - 1), "\n1", -1), lambda x: F.replace(x, F.lit("\n0"), F.lit("\n"))))
+        .withColumn("_ld_starts", F.filter(F.transform(shifted("_ld_cut", F.lit(True)), lambda c, i: F.when(c, i)), F.isnotnull))
         .drop("_ld_lines", "_ld_hash", "_ld_cut", "_ld_flag")
     )
 
@@ -102,25 +105,44 @@ def dedup_lines(documents: DataFrame, divisor: int = DIVISOR, min_lines: int = M
     )
 
 
-def repeated_runs(documents: DataFrame, work: Workspace, min_lines: int = MIN_LINES) -> DataFrame:
-    """``_ld_id, _ld_text, at``: the windows of ``min_lines`` lines, by first line, that occur earlier."""
-    keyed = documents.select(F.col("doc_id").alias("_ld_id"), F.xxhash64("text").alias("_ld_text"), F.split("text", "\n", -1).alias("_ld_lines"))
-    keyed = keyed.withColumn("_ld_body", F.col("_ld_lines"))
-    for k in range(1, min_lines):
-        keyed = keyed.withColumn("_ld_body", F.zip_with("_ld_body", F.slice("_ld_lines", F.lit(k + 1), F.greatest(F.size("_ld_lines") - k, F.lit(0))), lambda a, b: F.concat(a, F.lit("\n"), b)))
-    # Windows that run over the end are null: zip_with fills the shorter array with nulls.
-    windows = keyed.select("_ld_id", "_ld_text", F.posexplode_outer(F.transform("_ld_body", lambda x: F.unhex(F.md5(x)))).alias("at", "print")).where("print is not null")
-    windows = work.save(windows)
+def _window(lines: str, at: Column, min_lines: int) -> Column:
+    return F.concat_ws("\n", *[F.get(lines, at + k) for k in range(min_lines)])
+
+
+def repeated_runs(documents: DataFrame, work: Workspace, divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
+    """``_ld_id, _ld_text, at``: the windows of ``min_lines`` lines, by first line, that occur earlier.
+
+    Those inside a repeated chunk come from ``repeated_chunks``; only the others are compared as windows.
+    """
+    chunks = repeated_chunks(documents, work, divisor, min_lines)
+    gone = chunks.groupBy("_ld_id", "_ld_text").agg(F.collect_set("chunk").alias("_ld_gone"))
+    own = [F.col("kept.doc_id").alias("_ld_id"), F.col("_ld_key").alias("_ld_text")]
+    none = F.array().cast("array<int>")
+    # array_except hashes and get does not walk: the work grows with the lines.
+    inside = F.flatten(F.transform("_ld_gone", lambda k: F.sequence(F.get("_ld_starts", k), F.coalesce(F.get("_ld_starts", k + 1), F.size("_ld_lines")) - min_lines)))
+    every = F.when(F.size("_ld_lines") >= min_lines, F.sequence(F.lit(0), F.size("_ld_lines") - min_lines)).otherwise(none)
+    cut = line_chunks(_beside(documents, gone), "text", divisor).withColumn("_ld_lines", F.split("text", "\n", -1)).withColumn("_ld_inside", F.coalesce(inside, none))
+    entry = lambda i, key: F.struct(i.alias("at"), key.cast("long").alias("print"))
+    outside = F.transform(F.array_except(every, "_ld_inside"), lambda i: entry(i, F.xxhash64(_window("_ld_lines", i, min_lines))))
+    windows = work.save(cut.select(*own, F.inline(F.concat(outside, F.transform("_ld_inside", lambda i: entry(i, F.lit(None)))))))
+    work.drop(chunks)
     place = F.struct(F.col("_ld_id").isNull().alias("last"), "_ld_id", "_ld_text", "at")
-    first = windows.groupBy("print").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("print", "low")
-    first = work.save(first)
-    lost = work.save(windows.join(first.hint("merge"), "print").where(place != F.col("low")).select("_ld_id", "_ld_text", "at").distinct())
-    work.drop(windows, first)
+    several = lambda least: least.where("low <> high").drop("high")
+    prints = work.save(several(windows.where("print is not null").groupBy("print").agg(F.min(place).alias("low"), F.max(place).alias("high"))).select("print"))
+    asked = work.save(windows.join(prints.hint("merge"), "print").select("_ld_id", "_ld_text", "at"))
+    asked_of = asked.groupBy("_ld_id", "_ld_text").agg(F.collect_set("at").alias("_ld_at"))
+    lines = _beside(documents, asked_of).where("_ld_at is not null").select(*own, F.split("text", "\n", -1).alias("_ld_lines"), F.explode("_ld_at").alias("at"))
+    # Tables of their own, as for chunks: the places of a common window are a skewed side that can be split.
+    found = work.save(lines.select("_ld_id", "_ld_text", "at", _window("_ld_lines", F.col("at"), min_lines).alias("body")).withColumn("print", F.xxhash64("body")))
+    first = work.save(several(found.groupBy("print", "body").agg(F.min(place).alias("low"), F.max(place).alias("high"))))
+    later = found.join(first.hint("merge"), ["print", "body"]).where(place != F.col("low"))
+    lost = work.save(later.select("_ld_id", "_ld_text", "at").unionByName(windows.where("print is null").select("_ld_id", "_ld_text", "at")).distinct())
+    work.drop(windows, prints, asked, found, first)
     return lost
 
 
 def _without_runs(documents: DataFrame, min_lines: int) -> DataFrame:
-    lost = repeated_runs(documents, Workspace(documents.sparkSession, "line-runs"), min_lines)
+    lost = repeated_runs(documents, Workspace(documents.sparkSession, "line-runs"), min_lines=min_lines)
     gone = lost.groupBy("_ld_id", "_ld_text").agg(F.collect_set("at").alias("_ld_gone"))
     # array_except hashes: the work grows with the lines, not with their square.
     lines = F.flatten(F.transform("_ld_gone", lambda at: F.sequence(at, at + (min_lines - 1))))

@@ -153,6 +153,46 @@ def test_pipeline_drops_a_short_run(spark):
     assert not any(x in texts[20 + i].split("\n") for i, p in enumerate(passages) for x in p)
 
 
+def run_places(texts):
+    seen, out = set(), set()
+    for i, t in enumerate(texts):
+        own = (t or "").split("\n")
+        out |= {(i, at) for at, w in enumerate(zip(own, own[1:])) if w in seen or seen.add(w)}
+    return out
+
+
+def test_runs_are_told_apart_by_bytes(spark, monkeypatch):
+    import corpus_pipeline
+
+    texts = ["a\nb\nc", "d\ne\nf\ng", "x\nd\ne", "a\nb\nc", "a\nb\n", "y", "", None]
+    docs = table(spark, texts)
+    for name in ("md5", "xxhash64"):  # every print is equal
+        same = F.lit("0" * 32) if name == "md5" else F.lit(0).cast("long")
+        monkeypatch.setattr(line_dedup.F, name, lambda *c, same=same: same)
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got == {0: texts[0], 1: texts[1], 2: "x", 3: "", 4: "", 5: "y", 6: "", 7: None}
+
+
+def test_runs_come_from_repeated_chunks_first(spark, monkeypatch):
+    rng = random.Random(14)
+    lines = lambda k: ["".join(rng.choice("abc ") for _ in range(9)) for _ in range(k)]
+    shared = lines(40)
+    texts = ["\n".join(lines(rng.randint(0, 9)) + shared[rng.randint(0, 9) :] + lines(rng.randint(0, 9))) for _ in range(8)]
+    docs, taken, chunks = table(spark, texts), [], line_dedup.repeated_chunks
+
+    def watched(*args):
+        lost = chunks(*args)
+        taken.extend(lost.collect())
+        return lost
+
+    monkeypatch.setattr(line_dedup, "repeated_chunks", watched)
+    got = line_dedup.repeated_runs(docs, Workspace(spark, "t")).collect()
+    assert {(r._ld_id, r.at) for r in got} == run_places(texts) and len(got) == len(run_places(texts))
+    assert len(taken) > 20
+    starts = {r.doc_id: (r._ld_starts, [len(c.split("\n")) for c in r._ld_chunks]) for r in line_dedup.line_chunks(docs, "text", 4).collect()}
+    assert all(a == [sum(n[:k]) for k in range(len(n))] for a, n in starts.values())
+
+
 def test_suffix_dedup_equals_marking_windows(spark):
     texts = [*corpus(random.Random(9)), "one two " * 120, "two one " * 90, None]
     docs = table(spark, texts)
