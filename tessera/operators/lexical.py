@@ -9,7 +9,9 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,9 +20,11 @@ from tessera.functions.analyzer import nfkc_casefold, simple_fold, term_array, t
 K1, B = 1.2, 0.75
 #: Weight of a hit in each text field.
 FIELD_WEIGHTS = {"title": 2.0, "body": 1.0}
-#: Bytes of text for one bucket of postings, and documents for one more file of each bucket.
-BUCKET_BYTES, FILE_DOCUMENTS = 64 << 20, 2_000_000
+#: Bytes of text for one bucket of postings, and documents for one more file of each bucket: a task sorts one such file.
+BUCKET_BYTES, FILE_DOCUMENTS = 16 << 20, 1_000_000
 LEAST_BUCKETS, MOST_BUCKETS = 16, 4096
+#: Terms that are packed together, and bytes of text below which one task more does not pay.
+PACK_TERMS, TASK_BYTES = 2_000_000, 1 << 20
 POSTINGS = "id string, field string, term string, len int, tf long, positions array<int>"
 QUERY_SCHEMA = "query_id string, grp int, alt int, term string, field string, weight double"
 
@@ -67,6 +71,81 @@ def index_postings(docs: DataFrame) -> DataFrame:
     return docs.select("id", *FIELD_WEIGHTS).mapInArrow(_count_terms, POSTINGS)
 
 
+def _pack_chunk(ids: list, fields: list[int], lengths: list[int], vocabulary: dict[str, int], codes: list[int], buckets: int) -> Iterator[tuple[int, bytes]]:
+    """``bucket, packed postings`` of the texts whose terms ``codes`` hold one after the other."""
+    known = list(vocabulary)
+    home = np.fromiter((zlib.crc32(t.encode()) % buckets for t in known), np.int64, len(known))
+    by_home = np.argsort(home, kind="stable")
+    place = np.empty_like(by_home)
+    place[by_home] = np.arange(len(known))
+    size = np.array(lengths)
+    text = np.repeat(np.arange(len(size)), size)
+    position = (np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+    key = place[np.array(codes, np.int64)] * len(size) + text
+    order = np.argsort(key, kind="stable")
+    key, position = key[order], position[order]
+    begins = np.append(np.flatnonzero(np.diff(key, prepend=-1)), len(key))
+    term, text = np.divmod(key[begins[:-1]], len(size))
+    home, words, names, field = home[by_home], pa.array(known, pa.string()).take(pa.array(by_home)), pa.array(ids, pa.string()), np.array(fields, np.int8)
+    cuts = np.flatnonzero(np.diff(home[term], prepend=-1, append=-1))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        at, first = text[a:b], int(term[a])
+        own, index = np.unique(at, return_inverse=True)
+        columns = {
+            "id": pa.DictionaryArray.from_arrays(pa.array(index, pa.int32()), names.take(pa.array(own))), "field": pa.array(field[at]),
+            "term": pa.DictionaryArray.from_arrays(pa.array(term[a:b] - first, pa.int32()), words.slice(first, int(term[b - 1]) - first + 1)),
+            "len": pa.array(size[at], pa.int32()), "positions": pa.ListArray.from_arrays(pa.array(begins[a : b + 1] - begins[a], pa.int32()), pa.array(position[begins[a] : begins[b]])),
+        }
+        batch, sink = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns)), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(batch)
+        yield int(home[first]), sink.getvalue().to_pybytes()
+
+
+def _pack(buckets: int, files: int, tasks: int):
+    """Postings as few packed rows ``task, bucket, packed``; which file of a bucket takes them changes from pack to pack."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, fields, lengths, vocabulary, codes = [], [], [], {}, []
+
+        def packed() -> pa.RecordBatch:
+            part = zlib.crc32(repr(ids[0]).encode()) % files
+            rows = [((b * files + part) % tasks, b, p) for b, p in _pack_chunk(ids, fields, lengths, vocabulary, codes, buckets)]
+            for x in (ids, fields, lengths, vocabulary, codes):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], names=["task", "bucket", "packed"])
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                for i, *texts in zip(*(c.to_pylist() for c in batch.columns)):
+                    for k, text in enumerate(texts):
+                        found = terms(text or "")
+                        if found:
+                            ids.append(i)
+                            fields.append(k)
+                            lengths.append(len(found))
+                            codes.extend([vocabulary.setdefault(t, len(vocabulary)) for t in found])
+                    if len(codes) >= PACK_TERMS:
+                        yield packed()
+        if codes:
+            yield packed()
+
+    return run
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = pa.array(list(FIELD_WEIGHTS))
+    for batch in batches:
+        for home, packed in zip(batch.column("bucket").to_pylist(), batch.column("packed")):
+            for p in pa.ipc.open_stream(packed.as_buffer()):
+                tf = pc.list_value_length(p["positions"]).cast(pa.int64())
+                columns = [p["id"].dictionary_decode(), names.take(p["field"]), p["term"].dictionary_decode(), p["len"], tf, p["positions"], pa.repeat(pa.scalar(home, pa.int32()), p.num_rows)]
+                rows = pa.RecordBatch.from_arrays(columns, names=["id", "field", "term", "len", "tf", "positions", "bucket"])
+                for at in range(0, rows.num_rows, 16_384):
+                    yield rows.slice(at, 16_384)
+
+
 def bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.crc32(term.cast("binary")), F.lit(buckets)).cast("int")
 
@@ -81,14 +160,16 @@ def write_postings(docs: DataFrame, path: str, buckets: int | None = None) -> in
     """Write postings to ``path`` by bucket, each sorted by term; returns the number of buckets.
 
     Unless it is given, the number grows with the text, and a bucket has more files where there are many
-    documents, so that no frequent term is one task's.
+    documents, so that no frequent term is one task's. A task sorts the postings of one file, which it gets packed.
     """
     size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.coalesce("title", F.lit(""))) + F.octet_length(F.coalesce("body", F.lit("")))).alias("bytes")).first()
-    buckets = buckets or max(LEAST_BUCKETS, min(MOST_BUCKETS, (size.bytes or 0) // BUCKET_BYTES))
-    files = 1 + size.n // FILE_DOCUMENTS
-    posted = index_postings(docs).withColumn("bucket", bucket(F.col("term"), buckets))
-    dealt = posted.repartition(F.col("bucket"), F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(files)))
-    dealt.sortWithinPartitions("bucket", "term", "field", "id").write.partitionBy("bucket").parquet(path)
+    text = size.bytes or 0
+    buckets = buckets or max(LEAST_BUCKETS, min(MOST_BUCKETS, text // BUCKET_BYTES))
+    files = 1 + max(size.n // FILE_DOCUMENTS, text // (buckets * 2 * BUCKET_BYTES))
+    tasks = min(buckets * files, 1 + text // TASK_BYTES)
+    packed = docs.select("id", *FIELD_WEIGHTS).mapInArrow(_pack(buckets, files, tasks), "task int, bucket int, packed binary")
+    posted = packed.repartitionById(tasks, F.col("task")).mapInArrow(_unpack, f"{POSTINGS}, bucket int")
+    posted.sortWithinPartitions("bucket", "term", "field", "id").write.partitionBy("bucket").parquet(path)
     return buckets
 
 
