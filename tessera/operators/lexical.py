@@ -6,8 +6,11 @@ alternative, the best alternative of a group counts, and groups are summed.
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -209,20 +212,21 @@ def score(alternatives: DataFrame, posted: DataFrame, stats: DataFrame, df: Data
     """``query_id, id, score``: the sum over groups of the best alternative's BM25.
 
     Only the queries' own terms are read from the postings; ``selected`` says that ``posted`` and ``df``
-    hold no others.
+    hold no others, so that ``df`` and the alternatives are few.
     """
     wanted = alternatives.select("term").distinct()
     own = lambda table: table if selected else table.join(wanted, "term", "left_semi")
+    given = F.broadcast if selected else lambda table: table
     hits = own(posted.select("id", "field", "term", "tf", "len"))
     if eligible is not None:
         hits = hits.join(eligible.select("id"), "id", "left_semi")
     weighed = (
-        hits.join(own(df.select("field", "term", "df")), ["field", "term"]).join(F.broadcast(stats), "field")
+        hits.join(given(own(df.select("field", "term", "df"))), ["field", "term"]).join(F.broadcast(stats), "field")
         .withColumn("average", F.when(F.col("n") > 0, F.col("total_length") / F.col("n")).otherwise(1.0))
         .withColumn("base", contribution(F.lit(1.0), F.col("field"), idf(F.col("n"), F.col("df")), F.col("tf"), F.col("len"), F.col("average")))
         .select("id", "term", F.col("field").alias("hit_field"), "base")
     )
-    rows = alternatives.join(weighed, "term").where("field is null or field = hit_field")
+    rows = weighed.join(given(alternatives), "term").where("field is null or field = hit_field")
     by_alternative = rows.groupBy("query_id", "id", "grp", "alt").agg(F.sum(F.col("base") * F.col("weight")).alias("s"))
     by_group = by_alternative.groupBy("query_id", "id", "grp").agg(F.max("s").alias("s"))
     return by_group.groupBy("query_id", "id").agg(F.sum("s").alias("score"))
@@ -244,6 +248,122 @@ def top_k(scores: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
+def _rounded(scores: np.ndarray, digits: int | None) -> np.ndarray:
+    """As Spark rounds: halves of the shortest decimal form go up."""
+    if digits is None:
+        return scores
+    found, index = np.unique(scores, return_inverse=True)
+    step = Decimal(1).scaleb(-digits)
+    return np.array([float(Decimal(repr(float(x))).quantize(step, ROUND_HALF_UP)) for x in found])[index]
+
+
+def batch_top_k(alternatives: DataFrame, docs: DataFrame, stats: DataFrame, df: DataFrame, k: int, digits: int | None = None) -> DataFrame:
+    """``query_id, id, score, rank``, as ``top_k`` of ``score``, of many queries in one pass over ``docs(id, title, body)``.
+
+    Many queries share the frequent terms, so that rows of query and document are many times the postings. Here a
+    document's terms are scored against all queries where its text is read, and of a task's documents each
+    query's first ``k`` go on. The alternatives, with positive weights, are collected.
+    """
+    given = alternatives.select("query_id", "grp", "alt", "term", "field", "weight").collect()
+    if any(not r.weight > 0 for r in given):
+        raise ValueError("weights must be positive")
+    totals = {r.field: r for r in stats.collect()}
+    wanted = F.broadcast(alternatives.select("term").distinct())
+    # A term of a field is a feature, an alternative (or all groups of one alternative of a query) a column.
+    features: dict[tuple[str, str], int] = {}
+    rarity: list[float] = []
+    for r in df.join(wanted, "term", "left_semi").collect():
+        if r.df > 0:
+            features[r.field, r.term] = len(rarity)
+            rarity.append(FIELD_WEIGHTS[r.field] * math.log1p((totals[r.field].n - r.df + 0.5) / (r.df + 0.5)) * (K1 + 1))
+    grouped: dict[str, dict[str, set]] = {}
+    for r in given:
+        grouped.setdefault(r.query_id, {}).setdefault(r.grp, set()).add(r.alt)
+    slices = []
+    names = sorted(grouped)
+    for at in range(0, len(names), 64):
+        columns: dict[tuple, int] = {}
+        cells, inside = [], set(names[at : at + 64])
+        for r in (r for r in given if r.query_id in inside):
+            column = columns.setdefault((r.query_id, *((r.grp, r.alt) if len(grouped[r.query_id][r.grp]) > 1 else ())), len(columns))
+            cells += [(features[f, r.term], column, r.weight) for f in ((r.field,) if r.field else FIELD_WEIGHTS) if (f, r.term) in features]
+        sums: dict[tuple, list[int]] = {}
+        for c, column in columns.items():
+            sums.setdefault(c[:2], []).append(column)
+        slices.append((len(columns), cells, [(c[0], list(own)) for c, own in sums.items()]))
+    average = {f: r.total_length / r.n if r.n else 1.0 for f, r in totals.items()}
+    docs, every = docs.select("id", *FIELD_WEIGHTS), _best(features, rarity, average, slices, k, digits)
+    again = docs.groupBy("id").count().where("count > 1").select(F.col("id").alias("again"))
+    if again.isEmpty():
+        return top_k(docs.mapInArrow(every, "query_id string, id string, score double"), k)
+    # Documents of one id score together: they take the general way.
+    same = F.col("id").eqNullSafe(F.col("again"))
+    first = docs.join(again, same, "left_anti").mapInArrow(every, "query_id string, id string, score double")
+    rest = score(alternatives, index_postings(docs.join(again, same, "left_semi")), stats, df)
+    return top_k(first.unionByName(rest if digits is None else rest.withColumn("score", F.round("score", digits))), k)
+
+
+def _best(features: dict, rarity: list, average: dict, slices: list, k: int, digits: int | None):
+    margin = 0.0 if digits is None else 2 * 10.0**-digits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = []
+        for width, cells, _ in slices:
+            own = {f: i for i, f in enumerate(sorted({f for f, _, _ in cells}))}
+            place, w = np.full(len(rarity), len(own)), np.zeros((len(own) + 1, width))
+            place[np.array(list(own), np.int64)] = np.arange(len(own))
+            for f, c, x in cells:
+                w[own[f], c] += x
+            weights.append((place, w))
+        rare, best = np.array(rarity), {}
+
+        def block(ids: list, starts: list, hits: list) -> None:
+            feature, tf, part = (np.array(c) for c in zip(*hits))
+            base = rare[feature] * tf / (tf + part)
+            names = np.array(ids, object)
+            for (place, w), (_, _, sums) in zip(weights, slices):
+                cells = np.add.reduceat(base[:, None] * w[place[feature]], starts)
+                scores: dict[str, np.ndarray] = {}
+                for query, own in sums:
+                    s = cells[:, own].max(axis=1)
+                    scores[query] = scores[query] + s if query in scores else s
+                for query, s in scores.items():
+                    kept = best.get(query)
+                    least = kept[0][-1] - margin if kept and len(kept[0]) >= k else 0.0
+                    at = np.flatnonzero((s > 0) & (s >= least))
+                    if not len(at):
+                        continue
+                    if len(at) > k:
+                        at = at[s[at] >= np.partition(s[at], -k)[-k] - margin]
+                    new = _rounded(s[at], digits), names[at]
+                    both = [np.concatenate(c) for c in zip(kept, new)] if kept else new
+                    first = sorted(range(len(both[0])), key=lambda i: (-both[0][i], both[1][i] is not None, both[1][i] or ""))[:k]
+                    best[query] = tuple(c[first] for c in both)
+
+        ids, starts, hits = [], [], []
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                for i, *texts in zip(*(c.to_pylist() for c in whole.slice(at, 256).columns)):
+                    begin = len(hits)
+                    for field, text in zip(FIELD_WEIGHTS, texts):
+                        found = terms(text or "")
+                        counted = Counter(found)
+                        part = K1 * (1 - B + B * len(found) / average.get(field, 1.0))
+                        hits += [(features[field, t], n, part) for t, n in counted.items() if (field, t) in features]
+                    if len(hits) > begin:
+                        ids.append(i)
+                        starts.append(begin)
+                    if len(hits) >= 16_384:
+                        block(ids, starts, hits)
+                        ids, starts, hits = [], [], []
+        if hits:
+            block(ids, starts, hits)
+        for query, (s, names) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array([query] * len(s), pa.string()), pa.array(names, pa.string()), pa.array(s, pa.float64())], names=["query_id", "id", "score"])
+
+    return run
+
+
 def phrase_matches(posted: DataFrame, phrase: list[str], fields: tuple[str, ...] = tuple(FIELD_WEIGHTS)) -> DataFrame:
     """Ids and fields in which the terms stand in a row, from positional postings."""
     spark = posted.sparkSession

@@ -33,14 +33,15 @@ _TOP = "select query_id, id, round(score, 6) as score, row_number() over (partit
 
 
 def _scored(spark: SparkSession, d: str, rows: list[tuple] | DataFrame, k: int) -> DataFrame:
-    """Top ``k`` of queries given as rows, whose terms are read by literal, or as a table of many terms."""
+    """Top ``k`` of queries given as rows, whose terms are read by literal, or as a table of many queries, scored in one pass."""
     index = published(spark, d)
     if isinstance(rows, list):
         words = [r[3] for r in rows]
         scores = lexical.score(_alternatives(spark, rows), index.hits(words), index.stats, index.frequencies(words), selected=True)
+        best = lexical.top_k(scores, k, digits=6)
     else:
-        scores = lexical.score(rows, index.postings, index.stats, index.df)
-    return lexical.top_k(scores, k, digits=6).withColumn("rank", F.col("rank").cast("long"))
+        best = lexical.batch_top_k(rows, index.docs, index.stats, index.df, k, digits=6)
+    return best.withColumn("rank", F.col("rank").cast("long"))
 
 
 def _alternatives(spark: SparkSession, rows: list[tuple]) -> DataFrame:

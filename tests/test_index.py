@@ -40,6 +40,30 @@ def plan(t):
     return t._jdf.queryExecution().executedPlan().toString()
 
 
+ALTERNATIVES = [
+    *[(f"q{i}", g, 0, WORDS[(i + g * 2) % len(WORDS)], None, 1.0) for i in range(150) for g in range(3)],
+    ("alt", 0, 0, "license", None, 1.0), ("alt", 0, 1, "licence", "title", 0.7), ("alt", 0, 1, "licensed", None, 0.7), ("alt", 1, 0, "the", "body", 0.5), ("none", 0, 0, "absent", None, 1.0),
+]
+
+
+@pytest.mark.parametrize("more", [[], [("d1", "the license", "the"), ("d7", "idiot", None), (None, "the", "licensed"), (None, "the the", "")]])
+def test_batch_equals_general_scores(spark, monkeypatch, more):
+    docs = table(spark, texts(80) + [(f"copy{i}", "the license", "under license") for i in range(20)] + more)
+    posted = lexical.index_postings(docs)
+    given = spark.createDataFrame(ALTERNATIVES, lexical.QUERY_SCHEMA)
+    args = lexical.stats_of(posted), lexical.document_frequency(posted)
+    plain = lexical.top_k(lexical.score(given, posted, *args), 5, digits=6)
+    assert rows(lexical.batch_top_k(given, docs, *args, 5, digits=6), "query_id", "id", "score", "rank") == rows(plain, "query_id", "id", "score", "rank")
+    with pytest.raises(ValueError, match="positive"):
+        lexical.batch_top_k(given.withColumn("weight", F.lit(0.0)), docs, *args, 5)
+
+
+def test_batch_queries_do_not_move_pairs(spark, folder):
+    """Only each task's first of a query are moved, not a row for each query and document that share a term."""
+    p = plan(QUERIES["bm25_batch_queries"](spark, folder))
+    assert "MapInArrow" in p and "Join" not in p and "keys=[query_id" not in p
+
+
 def test_every_file_of_postings_is_sorted_by_its_own_task(spark, tmp_path, monkeypatch):
     docs = table(spark, texts(400)).cache()
     for name, value in (("BUCKET_BYTES", 400), ("MOST_BUCKETS", 20), ("TASK_BYTES", 1), ("PACK_TERMS", 300)):
