@@ -26,19 +26,24 @@ def fuzzy_variants(tokens: DataFrame, vocabulary: DataFrame, limit: int = MAX_VA
     for tokens of four letters or more); edit distance decides.
     """
     known = vocabulary.where(F.length("term") <= 64)
-    unknown = tokens.where(respellable(F.col("token"))).join(known.select(F.col("term").alias("token")), "token", "left_anti")
-    near = unknown.withColumn("r", radius(F.col("token"))).withColumn("g", F.explode(bigrams(F.col("token"))))
-    pairs = near.join(known.withColumn("g", F.explode(bigrams(F.col("term")))), "g").where(F.abs(F.length("token") - F.length("term")) <= F.col("r"))
-    pairs = pairs.select("token", "term", "df", "r").distinct().withColumn("distance", F.levenshtein("token", "term")).where(F.col("distance") <= F.col("r"))
+    proper = tokens.select("token").distinct().where(respellable(F.col("token")))
+    spelled = known.join(F.broadcast(proper.select(F.col("token").alias("term"))), "term", "left_semi").select(F.col("term").alias("token"))
+    unknown = proper.join(F.broadcast(spelled), "token", "left_anti").withColumn("r", radius(F.col("token")))
+    pairs = _sharing(unknown, known, F.col("r")).withColumn("distance", F.levenshtein("token", "term")).where(F.col("distance") <= F.col("r"))
     by = Window.partitionBy("token").orderBy("distance", F.desc("df"), "term")
     return pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit).select("token", "term", "distance", "df", "rank")
 
 
+def _sharing(tokens: DataFrame, vocabulary: DataFrame, r: Column) -> DataFrame:
+    """Tokens with the terms of fitting length that share bigrams, ``overlap`` of them; the tokens are few and given, the vocabulary streams by."""
+    left, right = tokens.withColumn("_t", bigrams(F.col("token"))), vocabulary.withColumn("_v", bigrams(F.col("term")))
+    near = right.join(F.broadcast(left), (F.abs(F.length("token") - F.length("term")) <= r) & F.arrays_overlap("_t", "_v"))
+    return near.withColumn("overlap", F.size(F.array_intersect("_t", "_v")).cast("long")).drop("_t", "_v")
+
+
 def bigram_candidates(tokens: DataFrame, vocabulary: DataFrame, limit: int = MAX_CANDIDATES) -> DataFrame:
     """The bounded form: the ``limit`` terms of fitting length that share most bigrams with a token."""
-    left = tokens.withColumn("g", F.explode(bigrams(F.col("token"))))
-    right = vocabulary.withColumn("g", F.explode(bigrams(F.col("term"))))
-    shared = left.join(right, "g").where(F.abs(F.length("token") - F.length("term")) <= radius(F.col("token"))).groupBy("token", "term").agg(F.count("*").alias("overlap"))
+    shared = _sharing(tokens.select("token").distinct(), vocabulary.select("term"), radius(F.col("token"))).select("token", "term", "overlap")
     by = Window.partitionBy("token").orderBy(F.desc("overlap"), "term")
     return shared.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= limit)
 

@@ -89,6 +89,19 @@ def test_postings_of_odd_documents(spark, tmp_path):
     assert spark.read.schema(f"{lexical.POSTINGS}, bucket int").parquet(f"{tmp_path}/none").isEmpty()
 
 
+def grams(w):
+    return {f"^{w}$"[i : i + 2] for i in range(len(w) + 1)}
+
+
+def test_bigram_candidates_stream_the_vocabulary(spark):
+    """The given tokens are sent to the vocabulary; a token that comes twice counts once."""
+    tokens = spark.createDataFrame([(t,) for t in ("licence", "idiott", "licence", "relased")], "token string")
+    got = retrieval.bigram_candidates(tokens, spark.createDataFrame([(w,) for w in WORDS], "term string"))
+    want = sorted((t, w, len(grams(t) & grams(w))) for t in ("licence", "idiott", "relased") for w in WORDS if abs(len(t) - len(w)) <= (1 if len(t) <= 7 else 2) and grams(t) & grams(w))
+    assert sorted((r.token, r.term, r.overlap) for r in got.collect()) == want
+    assert "Generate" not in plan(got) and "SortMergeJoin" not in plan(got)
+
+
 def test_zero_filled_scores_by_hand(spark, folder):
     got = {r.id: r.score for r in QUERIES["zero_filled_scores"](spark, folder).collect()}
     docs = {r.id: r for r in catalog.published(spark, folder).docs.collect()}
