@@ -341,9 +341,9 @@ def bm25_respelled(spark, d):
     """Each token and its respellings, at a lower weight, are alternatives of one group."""
     index = published(spark, d)
     tokens = spark.createDataFrame([(t,) for t in _TOKENS], "token string")
-    near = retrieval.fuzzy_variants(tokens, index.df.groupBy("term").agg(F.sum("df").alias("df")))
-    row = lambda t, alt, term, weight: t.select(F.lit("f").alias("query_id"), F.col("token").alias("grp"), alt.alias("alt"), F.col(term).alias("term"), F.lit(None).cast("string").alias("field"), F.lit(weight).alias("weight"))
-    return _scored(spark, d, row(tokens, F.lit(0), "token", 1.0).unionByName(row(near, F.col("rank"), "term", 0.7)), 50)
+    near = retrieval.fuzzy_variants(tokens, index.df.groupBy("term").agg(F.sum("df").alias("df"))).collect()
+    rows = [("f", _TOKENS.index(r.token), r["rank"], r.term, None, 0.7) for r in near]
+    return _scored(spark, d, [("f", g, 0, t, None, 1.0) for g, t in enumerate(_TOKENS)] + rows, 50)
 
 
 @_register("protected_terms", f"with {_POSTINGS} select distinct term from df where length(term) < 4 or length(term) > 64 or regexp_matches(term, '\\p{{Nd}}')")

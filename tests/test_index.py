@@ -102,6 +102,12 @@ def test_bigram_candidates_stream_the_vocabulary(spark):
     assert "Generate" not in plan(got) and "SortMergeJoin" not in plan(got)
 
 
+def test_respelled_reads_its_own_terms(spark, folder):
+    got = QUERIES["bm25_respelled"](spark, folder)
+    scans = [x for x in plan(got).split("\n") if "FileScan parquet" in x and "tf#" in x]
+    assert scans and all("In(term" in x for x in scans) and got.count() > 0
+
+
 def test_zero_filled_scores_by_hand(spark, folder):
     got = {r.id: r.score for r in QUERIES["zero_filled_scores"](spark, folder).collect()}
     docs = {r.id: r for r in catalog.published(spark, folder).docs.collect()}
