@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
@@ -27,7 +28,7 @@ FIELD_WEIGHTS = {"title": 2.0, "body": 1.0}
 BUCKET_BYTES, FILE_DOCUMENTS = 16 << 20, 1_000_000
 LEAST_BUCKETS, MOST_BUCKETS = 16, 4096
 #: Terms that are packed together, and bytes of text below which one task more does not pay.
-PACK_TERMS, TASK_BYTES = 2_000_000, 1 << 20
+PACK_TERMS, TASK_BYTES = 500_000, 1 << 20
 POSTINGS = "id string, field string, term string, len int, tf long, positions array<int>"
 QUERY_SCHEMA = "query_id string, grp int, alt int, term string, field string, weight double"
 
@@ -74,7 +75,7 @@ def index_postings(docs: DataFrame) -> DataFrame:
     return docs.select("id", *FIELD_WEIGHTS).mapInArrow(_count_terms, POSTINGS)
 
 
-def _pack_chunk(ids: list, fields: list[int], lengths: list[int], vocabulary: dict[str, int], codes: list[int], buckets: int) -> Iterator[tuple[int, bytes]]:
+def _pack_chunk(ids: list, fields: list[int], lengths: list[int], vocabulary: dict[str, int], codes: array, buckets: int) -> Iterator[tuple[int, bytes]]:
     """``bucket, packed postings`` of the texts whose terms ``codes`` hold one after the other."""
     known = list(vocabulary)
     home = np.fromiter((zlib.crc32(t.encode()) % buckets for t in known), np.int64, len(known))
@@ -109,13 +110,14 @@ def _pack(buckets: int, files: int, tasks: int):
     """Postings as few packed rows ``task, bucket, packed``; which file of a bucket takes them changes from pack to pack."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, fields, lengths, vocabulary, codes = [], [], [], {}, []
+        ids, fields, lengths, vocabulary, codes = [], [], [], {}, array("i")
 
         def packed() -> pa.RecordBatch:
             part = zlib.crc32(repr(ids[0]).encode()) % files
             rows = [((b * files + part) % tasks, b, p) for b, p in _pack_chunk(ids, fields, lengths, vocabulary, codes, buckets)]
-            for x in (ids, fields, lengths, vocabulary, codes):
+            for x in (ids, fields, lengths, vocabulary):
                 x.clear()
+            del codes[:]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary()))], names=["task", "bucket", "packed"])
 
         for whole in batches:
