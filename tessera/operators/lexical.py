@@ -6,6 +6,7 @@ alternative, the best alternative of a group counts, and groups are summed.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import zlib
 from array import array
@@ -135,10 +136,19 @@ def _pack(buckets: int, files: int, tasks: int):
                         yield packed()
         if codes:
             yield packed()
+        _give_back()
 
     return run
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system: the worker stays for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = pa.array(list(FIELD_WEIGHTS))
     for batch in batches:
@@ -149,6 +159,7 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows = pa.RecordBatch.from_arrays(columns, names=["id", "field", "term", "len", "tf", "positions", "bucket"])
                 for at in range(0, rows.num_rows, 16_384):
                     yield rows.slice(at, 16_384)
+    _give_back()
 
 
 def bucket(term: Column, buckets: int) -> Column:
@@ -360,6 +371,7 @@ def _best(features: dict, rarity: list, average: dict, slices: list, k: int, dig
                         ids, starts, hits = [], [], []
         if hits:
             block(ids, starts, hits)
+            _give_back()
         for query, (s, names) in best.items():
             yield pa.RecordBatch.from_arrays([pa.array([query] * len(s), pa.string()), pa.array(names, pa.string()), pa.array(s, pa.float64())], names=["query_id", "id", "score"])
 
